@@ -8,7 +8,7 @@ table is spread over as many tasks as it has chunks.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,7 +200,7 @@ def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    targets: Mapping[str, float],
+    targets: Mapping[str, float | Callable[[Column], Column]],
     rank_of: str = "linear",
     parts: int = 64,
 ) -> DataFrame:
@@ -208,7 +208,8 @@ def exact_quantiles(
 
     Values are pre-counted, cut into ranges, and only the ranges that hold a
     wanted rank are numbered.  ``rank_of``: ``linear`` interpolates at
-    (n-1)*q; ``higher`` takes the ceil of that rank.
+    (n-1)*q; ``higher`` takes the ceil of that rank.  A target may be a function
+    of the group's row count.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("__n")
@@ -230,7 +231,9 @@ def exact_quantiles(
         *[
             F.struct(
                 F.lit(n).alias("t"),
-                ((F.col("__total") - 1) * F.lit(float(q))).alias("r"),
+                ((F.col("__total") - 1) * (
+                    q(F.col("__total")) if callable(q) else F.lit(float(q))
+                )).alias("r"),
             )
             for n, q in targets.items()
         ]
