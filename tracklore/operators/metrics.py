@@ -64,11 +64,11 @@ def bleu(pairs: DataFrame, key: list[str], ref: Column, hyp: Column, max_n: int
     """Corpus BLEU-1..max_n in percent; n-grams are counted per pair, then clipped."""
     toks = pairs.select(*key, ref.alias("r"), hyp.alias("h"))
     grams = toks.select(
-        *key, F.explode(_ngrams("r", max_n)).alias("x"), F.lit(1).alias("in_r"), F.lit(0).alias("in_h")
+        *key, F.explode_outer(_ngrams("r", max_n)).alias("x"), F.lit(1).alias("in_r"), F.lit(0).alias("in_h")
     ).unionByName(toks.select(
-        *key, F.explode(_ngrams("h", max_n)).alias("x"), F.lit(0).alias("in_r"), F.lit(1).alias("in_h")
+        *key, F.explode_outer(_ngrams("h", max_n)).alias("x"), F.lit(0).alias("in_r"), F.lit(1).alias("in_h")
     ))
-    counts = grams.groupBy(*key, "x.n", "x.g").agg(
+    counts = grams.where("x is not null").groupBy(*key, "x.n", "x.g").agg(
         F.sum("in_r").alias("r"), F.sum("in_h").alias("h")
     )
     sums = counts.agg(*[

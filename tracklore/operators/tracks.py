@@ -30,7 +30,7 @@ def stencil(df: DataFrame, halo: int, span: int = SPAN) -> DataFrame:
     here, at = F.floor(f / span), f % span
     segs = F.array_compact(F.array(
         F.when((at < halo) & (here > 0), here - 1), here, F.when(at >= span - halo, here + 1)))
-    return df.withColumn("__seg", F.explode(segs)).withColumn("__own", F.col("__seg") == here)
+    return df.withColumn("__seg", F.explode_outer(segs)).withColumn("__own", F.col("__seg") == here)
 
 
 def owned(df: DataFrame) -> DataFrame:
@@ -310,7 +310,7 @@ def resample(sized: DataFrame, n: Column) -> DataFrame:
     cand = F.when(t == 1, F.sequence(F.lit(0), (m - 1).cast("int"))).otherwise(
         F.sequence(lo, F.greatest(lo, hi.cast("int"))))
     pos = F.when(m > 1, F.col("i") * (t - 1) / (m - 1)).otherwise(F.lit(0.0))
-    out = seg.withColumn("i", F.explode(cand)).withColumn("__p", pos)
+    out = seg.withColumn("i", F.explode_outer(cand)).withColumn("__p", pos)
     out = out.where((F.floor("__p") == f) & (F.col("i") < m))
     frac = F.col("__p") - f
     return out.select(

@@ -152,7 +152,7 @@ def weighted_quantiles(
     # the thresholds of light test rows crowd into few ranges: only those are
     # repeated per salt (at most `parts` range numbers are broadcast)
     used = asked.where(F.col("__b").isNotNull()).select("__b").distinct()
-    both = cum.join(F.broadcast(used), "__b", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))).unionByName(
+    both = cum.join(F.broadcast(used), "__b", "left_semi").withColumn("salt", F.explode_outer(F.sequence(F.lit(0), F.lit(15)))).unionByName(
         asked.where(F.col("__b").isNotNull()).select(
             "__b", F.lit(None).cast("double").alias("score"), F.col("goal").alias("cum"), "row_id",
             salt.cast("int").alias("salt")))
@@ -173,7 +173,7 @@ def free_energy(preds: DataFrame, temperature: float = 1.0) -> DataFrame:
 def mean_class(preds: DataFrame, keys: list[str]) -> DataFrame:
     """Average probability per class over all rows of a key."""
     return (
-        preds.select(*keys, F.posexplode(V.softmax("logits")).alias("c", "p"))
+        preds.select(*keys, F.posexplode_outer(V.softmax("logits")).alias("c", "p"))
         .groupBy(*keys, "c").agg(F.avg("p").alias("p"))
     )
 

@@ -70,7 +70,7 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
     return e.select(
         F.col("vec_id").alias("clip_id"),
         F.lit(0).alias("kp"),
-        F.posexplode(F.col("embedding").cast("array<double>")).alias("frame_idx", "x"),
+        F.posexplode_outer(F.col("embedding").cast("array<double>")).alias("frame_idx", "x"),
     )
 
 
@@ -87,7 +87,7 @@ def triples(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(
         F.col("vec_id").alias("clip_id"),
         F.lit(0).alias("kp"),
-        F.explode(
+        F.explode_outer(
             F.transform(
                 F.sequence(F.lit(0), F.lit(20)),
                 lambda i: F.struct(

@@ -16,7 +16,7 @@ W = "OVER (PARTITION BY clip_id ORDER BY frame_idx)"
 
 def points(df, *more):
     """One row per keypoint, coordinates rounded, for comparison."""
-    p = df.select("clip_id", "frame_idx", *more, F.posexplode("kps").alias("kp", "p"))
+    p = df.select("clip_id", "frame_idx", *more, F.posexplode_outer("kps").alias("kp", "p"))
     return p.select("clip_id", "frame_idx", "kp", *more,
                     *[F.round(F.col(f"p.{c}"), 6).alias(c) for c in "xyz"])
 
@@ -72,7 +72,7 @@ def _(s, d):
 SELECT clip_id, frame_idx, CAST(kp AS INTEGER) AS kp, abs(x) > 1e-4 OR abs(y) > 1e-4 AS valid FROM hand_pts""")
 def _(s, d):
     v = P.validity(I.hands(s, d))
-    return v.select("clip_id", "frame_idx", F.posexplode("kps").alias("kp", "p")).select(
+    return v.select("clip_id", "frame_idx", F.posexplode_outer("kps").alias("kp", "p")).select(
         "clip_id", "frame_idx", "kp", "p.valid")
 
 
@@ -135,17 +135,17 @@ def _(s, d):
 
 
 @Q.add("w9_reference_normalize", f"""{BL.replace('WITH', 'WITH RECURSIVE', 1)},
-f AS (SELECT clip_id, frame_idx, k, k[43].valid AND k[44].valid AS both, k[43].valid AND k[44].valid AND k[45].valid AND k[46].valid AS hip,
+f AS (SELECT clip_id, frame_idx, k, k[43].valid AND k[44].valid AS bth, k[43].valid AND k[44].valid AND k[45].valid AND k[46].valid AS hip,
   sqrt({d2('k[43]', 'k[44]')}) AS w,
   {", ".join(f"(k[43].{c} + k[44].{c}) * 0.5 AS m{c}, (k[45].{c} + k[46].{c}) * 0.5 AS p{c}" for c in "xyz")} FROM b),
-pr AS (SELECT clip_id, count(*) FILTER (WHERE both) AS ns, median(w) FILTER (WHERE both) AS wid,
+pr AS (SELECT clip_id, count(*) FILTER (WHERE bth) AS ns, median(w) FILTER (WHERE bth) AS wid,
   median(sqrt(w * w + (mx - px) * (mx - px) + (my - py) * (my - py) + (mz - pz) * (mz - pz))) FILTER (WHERE hip) AS diag,
-  {", ".join(f"avg(m{c}) FILTER (WHERE both) AS a{c}" for c in "xyz")}, count(*) AS n FROM f GROUP BY clip_id),
+  {", ".join(f"avg(m{c}) FILTER (WHERE bth) AS a{c}" for c in "xyz")}, count(*) AS n FROM f GROUP BY clip_id),
 hp AS (SELECT clip_id, {", ".join(f"avg({c}) AS h{c}" for c in "xyz")} FROM body WHERE valid AND kp < 42 GROUP BY clip_id),
 rd AS (SELECT body.clip_id, max(sqrt((x - hx) * (x - hx) + (y - hy) * (y - hy) + (z - hz) * (z - hz))) AS radius
        FROM body JOIN hp ON hp.clip_id = body.clip_id WHERE valid AND kp < 42 GROUP BY body.clip_id),
-nb AS (SELECT *, max(CASE WHEN both THEN frame_idx END) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS lo,
-  min(CASE WHEN both THEN frame_idx END) OVER (PARTITION BY clip_id ORDER BY frame_idx DESC) AS hi FROM f),
+nb AS (SELECT *, max(CASE WHEN bth THEN frame_idx END) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS lo,
+  min(CASE WHEN bth THEN frame_idx END) OVER (PARTITION BY clip_id ORDER BY frame_idx DESC) AS hi FROM f),
 ip AS (SELECT nb.clip_id, nb.frame_idx, {", ".join(f"CASE WHEN nb.lo IS NULL THEN h.m{c} WHEN nb.hi IS NULL OR nb.hi = nb.lo THEN l.m{c} ELSE l.m{c} + (h.m{c} - l.m{c}) * (nb.frame_idx - nb.lo) / (nb.hi - nb.lo) END AS m{c}" for c in "xyz")}
   FROM nb LEFT JOIN f l ON l.clip_id = nb.clip_id AND l.frame_idx = nb.lo LEFT JOIN f h ON h.clip_id = nb.clip_id AND h.frame_idx = nb.hi),
 em(clip_id, frame_idx, ex, ey, ez) AS (SELECT clip_id, frame_idx, mx, my, mz FROM ip WHERE frame_idx = 0 UNION ALL
@@ -158,7 +158,7 @@ SELECT o.clip_id, o.frame_idx, CAST(o.kp AS INTEGER) AS kp, round(scale, 6) AS s
 FROM body o JOIN sc ON sc.clip_id = o.clip_id JOIN em ON em.clip_id = o.clip_id AND em.frame_idx = o.frame_idx""")
 def _(s, d):
     out = r6(P.reference_normalize(I.bodies(s, d)), "scale")
-    p = out.select("clip_id", "frame_idx", "scale", F.posexplode("kps").alias("kp", "p"))
+    p = out.select("clip_id", "frame_idx", "scale", F.posexplode_outer("kps").alias("kp", "p"))
     return p.select("clip_id", "frame_idx", "kp", "scale",
                     *[F.round(F.col(f"p.{c}"), 5).alias(c) for c in "xyz"])
 
@@ -196,7 +196,7 @@ FROM body o JOIN p ON p.clip_id = o.clip_id AND p.frame_idx = o.frame_idx"""
 @Q.add("w12_part_normalize", _part_sql())
 def _(s, d):
     p = P.part_normalize(I.bodies(s, d)).select(
-        "clip_id", "frame_idx", F.round("hands.x", 5).alias("hands_x"), F.posexplode("kps").alias("kp", "p"))
+        "clip_id", "frame_idx", F.round("hands.x", 5).alias("hands_x"), F.posexplode_outer("kps").alias("kp", "p"))
     return p.select("clip_id", "frame_idx", "kp", "hands_x",
                     *[F.round(F.col(f"p.{c}"), 5).alias(c) for c in "xyz"])
 
@@ -327,7 +327,7 @@ p AS (SELECT clip_id, frame_idx, {", ".join(f"(k[43].{c} + k[44].{c}) * 0.5 AS m
 SELECT o.clip_id, o.frame_idx, CAST(o.kp AS INTEGER) AS kp, {", ".join(f"round((o.{c} - m{c}) / w, 5) AS {c}" for c in "xyz")}
 FROM body o JOIN p ON p.clip_id = o.clip_id AND p.frame_idx = o.frame_idx""")
 def _(s, d):
-    p = P.shoulder_normalize(I.bodies(s, d)).select("clip_id", "frame_idx", F.posexplode("kps").alias("kp", "p"))
+    p = P.shoulder_normalize(I.bodies(s, d)).select("clip_id", "frame_idx", F.posexplode_outer("kps").alias("kp", "p"))
     return p.select("clip_id", "frame_idx", "kp", *[F.round(F.col(f"p.{c}"), 5).alias(c) for c in "xyz"])
 
 

@@ -209,7 +209,7 @@ def _(s, d):
 
 def _bio(s, d):
     v = F.col("embedding").cast("array<double>")
-    e = table(s, d, "embeddings").select(F.col("vec_id").alias("clip_id"), F.explode(F.transform(
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("clip_id"), F.explode_outer(F.transform(
         F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(
             i.alias("frame_idx"), *[(F.element_at(v, i * 4 + k) * 12).alias(n)
                                     for k, n in ((1, "o"), (2, "b"), (3, "i"), (4, "tok"))]))).alias("s"))
