@@ -13,6 +13,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklore.functions.vectors import let
+
 _LOCAL = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 
@@ -132,12 +134,8 @@ def _range_bucket(df: DataFrame, code: Column, parts: int) -> DataFrame:
         F.percentile_approx(code, probs, parts * 20).alias("b")
     ).select(F.array_distinct("b")).scalar()
     # the array holds at most `parts` numbers whatever the table's size
-    return (
-        df.withColumn("__code", code)
-        .withColumn("__bounds", bounds)
-        .withColumn("__b", F.size(F.filter("__bounds", lambda b: b < F.col("__code"))))
-        .drop("__code", "__bounds")
-    )
+    bucket = let(code, lambda c: F.size(F.filter("__bounds", lambda b: b < c)))
+    return df.withColumn("__bounds", bounds).withColumn("__b", bucket).drop("__bounds")
 
 
 def positions(
