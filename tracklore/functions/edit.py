@@ -74,3 +74,59 @@ def edit_ops(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(T.LongType())
 def lcs_len(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(list(r), list(h)) for r, h in zip(ref, hyp)], dtype="int64")
+
+
+# fixed values: handshapes that are easily taken for one another
+CONFUSION_GROUPS = ("MNTSAE", "UVRWK", "DLIJZ1", "COB", "GHPQ")
+SHORT_FORMS = {("u", "you"), ("r", "are"), ("ur", "your")}
+_ALIKE = {frozenset((a, b)) for g in CONFUSION_GROUPS for a in g.lower() for b in g.lower() if a != b}
+
+
+def spelling_cost(typed: str, word: str) -> float:
+    """Edit cost of fingerspelling: alike handshapes, lost doubles and a lost final
+    'e' are cheap, and so is deleting a repeat."""
+    s, w = typed.strip().lower(), word.strip().lower()
+    if s == w:
+        return 0.0
+    if (s, w) in SHORT_FORMS:
+        return 0.1
+    row = [float(j) for j in range(len(w) + 1)]
+    for i, a in enumerate(s, 1):
+        drop = 0.20 if i > 1 and s[i - 2] == a else 1.0
+        new = [float(i)]
+        for j, b in enumerate(w, 1):
+            doubled = j > 1 and w[j - 2] == b and a != b
+            add = 0.15 if doubled or (j == len(w) and b == "e") else 1.0
+            swap = 0.0 if a == b else 0.35 if frozenset((a, b)) in _ALIKE else 1.0
+            new.append(min(row[j] + drop, new[-1] + add, row[j - 1] + swap))
+        row = new
+    return row[-1]
+
+
+@F.pandas_udf(T.DoubleType())
+def spelling_distance(typed: pd.Series, word: pd.Series) -> pd.Series:
+    return pd.Series([spelling_cost(a, b) for a, b in zip(typed, word)], dtype="float64")
+
+
+def dtw_costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Alignment cost of each row pair of two stacks of series, all pairs at once."""
+    n, m = a.shape[1], b.shape[1]
+    prev = np.full((a.shape[0], m + 1), np.inf)
+    prev[:, 0] = 0.0
+    for i in range(n):
+        cur = np.full_like(prev, np.inf)
+        cost = np.abs(a[:, i : i + 1] - b)
+        for j in range(1, m + 1):
+            step = np.minimum(np.minimum(prev[:, j], prev[:, j - 1]), cur[:, j - 1])
+            cur[:, j] = cost[:, j - 1] + step
+        prev = cur
+    return prev[:, m]
+
+
+@F.pandas_udf(T.DoubleType())
+def dtw_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = np.empty(len(a))
+    shapes = pd.Series([(len(x), len(y)) for x, y in zip(a, b)])
+    for _, idx in shapes.groupby(shapes).groups.items():
+        out[idx] = dtw_costs(np.stack(a.iloc[idx].to_list()), np.stack(b.iloc[idx].to_list()))
+    return pd.Series(out)
