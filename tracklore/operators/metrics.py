@@ -7,18 +7,13 @@ from pyspark.sql import functions as F
 
 from tracklore.functions import edit
 from tracklore.functions import vectors as V
+from tracklore.session import spread
 
 
 def _rate(part: Column, whole: Column) -> Column:
     return part / F.greatest(F.lit(1), whole) * 100.0
 
 
-def spread(pairs: DataFrame) -> DataFrame:
-    """Even out rows before a costly UDF; adaptive coalescing leaves this alone."""
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartition(n)
-
-
 def error_rates(pairs: DataFrame, ref: Column, hyp: Column) -> DataFrame:
     """Pooled substitution, deletion and insertion rates over all pairs."""
     ops = spread(pairs).select(F.size(ref).alias("n"), edit.edit_ops(ref, hyp).alias("o"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklore.functions import vectors as V
 from tracklore.operators.learner import catalogue
+from tracklore.session import spread
 
 BUCKET = 64  # frames per bucket of a range join
 
@@ -160,8 +161,6 @@ def weave(tokens: DataFrame, spans: DataFrame) -> DataFrame:
 def align_exemplars(rows: DataFrame, key: str, series: str, exemplars: DataFrame, label: str, centre: str) -> DataFrame:
     """Nearest exemplar of each series by dynamic time warping."""
     from tracklore.functions.edit import dtw_distance
-    from tracklore.operators.metrics import spread
-
     src = spread(rows.select(key, series)).withColumn("__e", F.explode_outer(catalogue(exemplars, label, centre)))
     d = src.select(key, F.col(f"__e.{label}").alias("exemplar"), F.round(dtw_distance(series, f"__e.{centre}"), 6).alias("cost"))
     return d.groupBy(key).agg(F.min(F.struct("cost", "exemplar")).alias("b")).select(key, "b.exemplar", "b.cost")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklore.functions import edit
 from tracklore.functions.vectors import let
+from tracklore.session import spread
 
 PREFIX = 7  # two edits leave a shared deletion variant within this prefix
 TOP = 12
@@ -33,7 +34,7 @@ def candidates(words: DataFrame, unigrams: DataFrame, top: int = TOP) -> DataFra
     Both sides meet on shared deletion variants, an equi join; ``levenshtein``
     then confirms.
     """
-    q = words.select("word").distinct().select("word", F.explode_outer(variants(F.col("word"))).alias("v"))
+    q = spread(words.select("word").distinct(), "word").select("word", F.explode_outer(variants(F.col("word"))).alias("v"))
     d = unigrams.select(F.col("word").alias("term"), "freq").select(
         "term", "freq", F.explode_outer(variants(F.col("term"))).alias("v"))
     near = q.join(d, "v").where(F.abs(F.char_length("word") - F.char_length("term")) <= 2)
@@ -44,7 +45,7 @@ def candidates(words: DataFrame, unigrams: DataFrame, top: int = TOP) -> DataFra
 
 
 def scored_candidates(words: DataFrame, unigrams: DataFrame) -> DataFrame:
-    c = candidates(words, unigrams)
+    c = spread(candidates(words, unigrams), "word", "term")
     base = -F.log10(F.greatest(F.lit(10), F.col("freq"))) * 0.25
     return c.withColumn("score", edit.spelling_distance("word", "term") + base)
 
@@ -78,7 +79,7 @@ def correct_phrases(tokens: DataFrame, unigrams: DataFrame, bigrams: DataFrame,
     in first; the fold then only reads arrays of one phrase."""
     c = scored_candidates(tokens.select("word"), unigrams).groupBy("word").agg(
         F.array_sort(F.collect_list(F.struct("rank", "term", "score"))).alias("c"))
-    t = tokens.join(c, "word", "left")
+    t = spread(tokens.join(c, "word", "left"), key)
     w = Window.partitionBy(key).orderBy("pos")
     terms = F.coalesce(F.transform("c", lambda s: s["term"]), F.array("word"))
     t = t.withColumn("terms", terms).withColumn("before", F.lag("terms").over(w))

@@ -58,8 +58,8 @@ def _(s, d):
     return W.resume_filter(table(s, d, "documents").select("doc_id"), table(s, d, "labels").where("quality = 1"), "doc_id")
 
 
-@Q.add("s10_quarantine", """SELECT CASE WHEN quality IS NULL THEN 'unlabeled' WHEN quality = 0 THEN 'low quality' WHEN toxic = 1 THEN 'toxic' END AS reason, source, count(*) AS n
-FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL HAVING reason IS NOT NULL""")
+@Q.add("s10_quarantine", """WITH m AS (SELECT CASE WHEN quality IS NULL THEN 'unlabeled' WHEN quality = 0 THEN 'low quality' WHEN toxic = 1 THEN 'toxic' END AS reason, source
+FROM documents LEFT JOIN labels USING (doc_id)) SELECT reason, source, count(*) AS n FROM m WHERE reason IS NOT NULL GROUP BY reason, source""")
 def _(s, d):
     j = table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left")
     reason = F.when(F.col("quality").isNull(), "unlabeled").when(F.col("quality") == 0, "low quality").when(F.col("toxic") == 1, "toxic")

@@ -50,5 +50,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+WIDE_TABLES = {"documents", "conversations", "embeddings", "pages"}
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread rows when a table has fewer scan splits than the session has cores.
+
+    A table of many files is read in many tasks and passes unchanged; only a
+    single small file, whose per-row work would sit in one task, is dealt out.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df if splits >= cores else df.repartition(cores)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle to the full partition count before costly per-row work.
+
+    Adaptive execution merges partitions by their bytes; an explicit count keeps
+    small rows that expand or cost much per row on every core.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return widen(df) if name in WIDE_TABLES else df
