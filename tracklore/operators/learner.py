@@ -257,6 +257,13 @@ def clamped_fold(
     return out.select(*keys, v.alias(name))
 
 
+def days_after(ts: str, days: str) -> Column:
+    """Timestamp plus days; an interval past the calendar ends shortly before 9999."""
+    room = F.datediff(F.lit("9999-01-01"), F.to_date(ts))
+    whole = F.least(F.col(days), room).cast("bigint") * 86_400_000_000
+    return F.timestamp_micros(F.unix_micros(ts) + whole)
+
+
 def ease_step(q: Column) -> Column:
     return F.lit(0.1) - (5 - q) * (F.lit(0.08) + (5 - q) * F.lit(0.02))
 
@@ -322,7 +329,7 @@ def sm2_server(reviews: DataFrame, keys: list[str], order: list[str], chunk: Col
             F.coalesce("interval", F.lit(1)).alias("interval"),
             F.coalesce("ease", F.lit(FIRST_EASE)).alias("ease"),
         )
-        .withColumn("due_date", F.expr("last_reviewed + make_dt_interval(interval)"))
+        .withColumn("due_date", days_after("last_reviewed", "interval"))
     )
 
 
@@ -383,7 +390,7 @@ def sm2_device(answers: DataFrame, keys: list[str], order: list[str], chunk: Col
             F.coalesce("repetitions", F.lit(0)).alias("repetitions"),
             F.coalesce("interval", F.lit(1)).alias("interval"),
         )
-        .withColumn("next_review", F.expr("last_reviewed + make_dt_interval(interval)"))
+        .withColumn("next_review", days_after("last_reviewed", "interval"))
     )
 
 
