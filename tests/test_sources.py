@@ -56,7 +56,7 @@ def test_media_names_and_listing(spark, tmp_path):
     got = {r.file: (r.category, r.title) for r in c.collect()}
     assert got == {"A.mp4": ("Alphabet", "ASL Letter: A"), "food_red_apple.mp4": ("food", "red_apple"), "wave.mp4": ("General", "wave")}
     assert R.media_listing(c).count() == 3
-    assert [r.id for r in R.number_rows(c, ["file"]).collect()] == [1, 2, 3]
+    assert [r.id for r in R.number_rows(c).orderBy("file").collect()] == [1, 2, 3]
 
 
 def test_metrics_csv_tolerates_bad_lines(spark, tmp_path):

@@ -28,7 +28,8 @@ def catalogue(dim: DataFrame, *cols: str) -> Column:
     """A small dimension as one sorted array, its size checked while it is read."""
     packed = F.array_sort(F.collect_list(F.struct(*cols)))
     size = F.count(F.lit(1))
-    return dim.agg(
+    # one row past the bound is enough to refuse, so the aggregate stays bounded
+    return dim.select(*cols).limit(CATALOGUE_ROWS + 1).agg(
         F.when(size <= CATALOGUE_ROWS, packed).otherwise(
             F.raise_error(F.lit("catalogue too large for a per-learner grid"))
         ).alias("c")

@@ -121,10 +121,66 @@ def _(s, d):
     return v.select("clip_id", "frame_idx", F.round("vx", 4).alias("vx"), F.round("ax", 3).alias("ax"))
 
 
+def flat(s, d):
+    return I.bodies(s, d).select("clip_id", "frame_idx", F.flatten(F.transform(
+        "kps", lambda p: F.array(p["x"], p["y"], p["z"]))).alias("flat"))
+
+
+@Q.add("t9_hand_swap_repair")
+def _(s, d):
+    return fold_batch(flat(s, d), "clip_id", ["frame_idx"], ["frame_idx", "flat"], M.HandSwap)
+
+
+@Q.add("t10_dominance_mirror", f"""WITH {I.BODIES}, v AS (SELECT clip_id, frame_idx, kp, sqrt((x - lag(x) OVER w)**2 + (y - lag(y) OVER w)**2 + (z - lag(z) OVER w)**2) AS sp
+  FROM body WHERE kp IN (0, 21) WINDOW w AS (PARTITION BY clip_id, kp ORDER BY frame_idx)),
+p AS (SELECT clip_id, frame_idx, COALESCE(max(sp) FILTER (WHERE kp = 0), 0) AS l, COALESCE(max(sp) FILTER (WHERE kp = 21), 0) AS r FROM v GROUP BY ALL),
+s AS (SELECT *, sum(l) OVER w AS sl, sum(r) OVER w AS sr, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY clip_id ORDER BY frame_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+SELECT clip_id, frame_idx, n >= 10 AND sl / (sl + sr + 1e-6) > 0.52 AS left_dominant FROM s""")
+def _(s, d):
+    m = P.with_motion(I.bodies(s, d)).select("clip_id", "frame_idx", P.length(P.pt(0, "vel")).alias("l"), P.length(P.pt(21, "vel")).alias("r"))
+    return fold_batch(m, "clip_id", ["frame_idx"], ["frame_idx", "l", "r"], LowDominance)
+
+
+class LowDominance(M.Dominance):
+    """The vectors have no clearly dominant hand: a lower share splits them."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.guard.DOMINANCE = 0.52
+
+
+@Q.add("t11_backchannel_gate", f"""WITH {I.TRIPLES}, a AS (SELECT *, z > 0.05 OR abs(z) > 0.15 AS act FROM triples),
+l AS (SELECT *, COALESCE(max(CASE WHEN act THEN frame_idx END) OVER (PARTITION BY clip_id ORDER BY frame_idx), -1) AS la FROM a),
+h AS (SELECT o.clip_id, o.frame_idx, any_value(o.act) AS act, list(p.x ORDER BY p.frame_idx) AS xs FROM l o JOIN l p
+  ON p.clip_id = o.clip_id AND p.frame_idx <= o.frame_idx AND p.frame_idx > o.la AND p.frame_idx > o.frame_idx - 15 GROUP BY ALL)
+SELECT t.clip_id, CAST(t.frame_idx AS INTEGER) AS frame_idx, COALESCE(len(xs) >= 8 AND list_stddev_pop(xs) > 0.05 AND
+  len(list_filter(generate_series(2, len(xs)), lambda i: sign(xs[i]) <> sign(xs[i - 1]))) BETWEEN 1 AND 4, false) AS nodding
+FROM l t LEFT JOIN h ON h.clip_id = t.clip_id AND h.frame_idx = t.frame_idx""")
+def _(s, d):
+    t = I.triples(s, d).withColumn("energy", F.abs("z"))
+    return fold_batch(t, "clip_id", ["frame_idx"], ["frame_idx", "x", "z", "energy"], M.Backchannel)
+
+
+@Q.add("t4_frame_pipeline")
+def _(s, d):
+    """Stabilized letters to sentences, corrected against part names, punctuated."""
+    from tracklore.functions import text as X
+    from tracklore.operators import corpus as C
+    from tracklore.operators import spelling as SP
+
+    said = fold_batch(spelled(s, d), "session", ["ts", "event_id", "i"], ["letter", "conf"], M.LetterStabilizer).where(
+        "event = 'END'").groupBy("session").agg(F.max("text").alias("text"))
+    tokens = said.select("session", F.posexplode_outer(X.tokens(F.lower("text"))).alias("pos", "word")).where("word is not null")
+    part = table(s, d, "part").select(F.split("p_name", " ").alias("w"))
+    uni = C.explode_tokens(part, F.col("w")).groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("freq"))
+    bi = part.groupBy(F.get("w", F.lit(0)).alias("w1"), F.get("w", F.lit(1)).alias("w2")).agg(F.count(F.lit(1)).alias("freq"))
+    fixed = SP.correct_phrases(tokens, uni, bi, "session")
+    return fixed.select("session", X.sentence_case("words", F.array(F.lit("anna"))).alias("sentence"))
+
+
 @Q.add("t13_stream_guard")
 def _(s, d):
-    b = I.bodies(s, d).select("clip_id", "frame_idx", (F.col("frame_idx") / 30.0).alias("t"), F.flatten(F.transform(
-        "kps", lambda p: F.array(p["x"], p["y"], p["z"]))).alias("flat"))
+    b = flat(s, d).withColumn("t", F.col("frame_idx") / 30.0)
     return fold_batch(b, "clip_id", ["frame_idx"], ["frame_idx", "t", "flat"], M.Guard)
 
 

@@ -10,10 +10,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracklore.operators import ordered
+
 ID_NAMES = ("sentence_name", "clip_id", "video_id", "id", "name", "filename")
 TEXT_NAMES = ("sentence", "text", "transcript", "translation", "label", "gloss")
 # fixed values: where the canonical 60 points sit in other layouts
@@ -231,6 +233,6 @@ def hand_wide(hands: DataFrame, key: str) -> DataFrame:
     return hands.select(key, *cols, triples.alias("landmarks"))
 
 
-def number_rows(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
-    """Sequential ids of a small listing (one media folder)."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+def number_rows(files: DataFrame, name: str = "id") -> DataFrame:
+    """Sequential ids along the file names."""
+    return ordered.positions(files, [F.col("file")], ordered.sort_code(F.col("file")), name)
