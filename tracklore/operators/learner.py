@@ -234,9 +234,10 @@ def achievement_progress(shown: DataFrame) -> DataFrame:
 
 def clamped_fold(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column,
-    delta: Column, start: float, floor: float, name: str,
+    delta: Column, start: float, floor: float, name: str, count: str | None = None,
 ) -> DataFrame:
-    """Final v of v := max(floor, v + delta) over each key's rows in order.
+    """Final v of v := max(floor, v + delta) over each key's rows in order, and on
+    request the number of rows.
 
     The fold equals S + max(start, floor - min prefix), which merges over chunks:
     windows stay inside a chunk and one (sum, lowest prefix) row per chunk moves on.
@@ -250,12 +251,13 @@ def clamped_fold(
         df.select(*keys, *order, chunk.alias("__ch"), delta.alias("__d"))
         .withColumn("__pre", F.sum(d).over(inside))
         .groupBy(*keys, "__ch")
-        .agg(F.sum(d).alias("__s"), F.min("__pre").alias("__low"))
+        .agg(F.sum(d).alias("__s"), F.min("__pre").alias("__low"), F.count(F.lit(1)).alias("__n"))
         .withColumn("__low", F.col("__low") + F.coalesce(F.sum("__s").over(upto), F.lit(0)))
     )
-    out = per_chunk.groupBy(*keys).agg(F.sum("__s").alias("__s"), F.min("__low").alias("__low"))
+    out = per_chunk.groupBy(*keys).agg(
+        F.sum("__s").alias("__s"), F.min("__low").alias("__low"), F.sum("__n").alias("__n"))
     v = F.col("__s") + F.greatest(F.lit(start), F.lit(floor) - F.col("__low"))
-    return out.select(*keys, v.alias(name))
+    return out.select(*keys, v.alias(name), *([F.col("__n").alias(count)] if count else []))
 
 
 def days_after(ts: str, days: str) -> Column:
@@ -269,11 +271,13 @@ def ease_step(q: Column) -> Column:
     return F.lit(0.1) - (5 - q) * (F.lit(0.08) + (5 - q) * F.lit(0.02))
 
 
-def _tail(df: DataFrame, keys: list[str], order: list[str], stop: Column) -> DataFrame:
-    """Rows of each key after its last row where ``stop`` holds."""
-    mark = F.max(F.when(stop, F.struct(*order))).alias("__stop")
-    marks = df.groupBy(*keys).agg(mark)
-    return df.join(marks, keys).where(
+def _last_stop(stop: Column, order: list[str]) -> Column:
+    return F.max(F.when(stop, F.struct(*order))).alias("__stop")
+
+
+def _tail(df: DataFrame, marks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of each key after its last stop."""
+    return df.join(marks.select(*keys, "__stop"), keys).where(
         F.col("__stop").isNull() | (F.struct(*order) > F.col("__stop"))
     )
 
@@ -295,9 +299,16 @@ def sm2_server(reviews: DataFrame, keys: list[str], order: list[str], chunk: Col
     A failed review resets everything, so only reviews after the last failure
     matter; the interval saturates within the first SATURATED of them.
     """
-    tail = _tail(reviews, keys, order, F.col("quality") < 3)
+    everything = reviews.groupBy(*keys).agg(
+        _last_stop(F.col("quality") < 3, order),
+        F.max("ts").alias("last_reviewed"),
+        F.least(F.lit(100.0), 100 + 10 * F.sum("quality")).alias("retention"),
+        (F.count_if(F.col("quality") >= 3) * REVIEW_XP).alias("xp"),
+    )
+    tail = _tail(reviews, everything, keys, order)
     ease = clamped_fold(
-        tail, keys, order, chunk, ease_step(F.col("quality")), FIRST_EASE, LOWEST_EASE, "ease"
+        tail, keys, order, chunk, ease_step(F.col("quality")), FIRST_EASE, LOWEST_EASE,
+        "ease", "repetitions",
     )
     start = F.struct(
         F.lit(0).alias("n"), F.lit(1.0).alias("i"), F.lit(FIRST_EASE).alias("e")
@@ -315,15 +326,8 @@ def sm2_server(reviews: DataFrame, keys: list[str], order: list[str], chunk: Col
     intervals = _first_grades(tail, keys, order, "quality").select(
         *keys, F.aggregate("__g", start, step)["i"].cast("int").alias("interval")
     )
-    counts = tail.groupBy(*keys).agg(F.count(F.lit(1)).alias("repetitions"))
-    everything = reviews.groupBy(*keys).agg(
-        F.max("ts").alias("last_reviewed"),
-        F.least(F.lit(100.0), 100 + 10 * F.sum("quality")).alias("retention"),
-        (F.count_if(F.col("quality") >= 3) * REVIEW_XP).alias("xp"),
-    )
     return (
-        everything.join(counts, keys, "left").join(ease, keys, "left")
-        .join(intervals, keys, "left")
+        everything.join(ease, keys, "left").join(intervals, keys, "left")
         .select(
             *keys, "last_reviewed", "retention", "xp",
             F.coalesce("repetitions", F.lit(0)).alias("repetitions"),
@@ -351,13 +355,15 @@ def sm2_device(answers: DataFrame, keys: list[str], order: list[str], chunk: Col
     fold = lambda rows, name: clamped_fold(
         rows, keys, order, chunk, ease_step(F.col("g")), FIRST_EASE, LOWEST_EASE, name
     )
-    marks = graded.groupBy(*keys).agg(
-        F.max(F.when(F.col("g") < 3, F.struct(*order))).alias("__stop")
+    totals = graded.groupBy(*keys).agg(
+        _last_stop(F.col("g") < 3, order),
+        F.count_if("correct").alias("correct_count"),
+        F.count_if(~F.col("correct")).alias("incorrect_count"),
+        F.max("ts").alias("last_reviewed"),
     )
-    marked = graded.join(marks, keys)
-    here = F.struct(*order)
-    head = marked.where(here <= F.col("__stop"))
-    tail = marked.where(F.col("__stop").isNull() | (here > F.col("__stop")))
+    head = graded.join(totals.select(*keys, "__stop"), keys).where(
+        F.struct(*order) <= F.col("__stop"))
+    tail = _tail(graded, totals, keys, order)
     start = lambda e: F.struct(
         F.lit(0).alias("n"), F.lit(1.0).alias("i"), e.alias("e")
     )
@@ -378,11 +384,6 @@ def sm2_device(answers: DataFrame, keys: list[str], order: list[str], chunk: Col
         )["i"].cast("int").alias("interval"))
     )
     reps = tail.groupBy(*keys).agg(F.count(F.lit(1)).alias("repetitions"))
-    totals = graded.groupBy(*keys).agg(
-        F.count_if("correct").alias("correct_count"),
-        F.count_if(~F.col("correct")).alias("incorrect_count"),
-        F.max("ts").alias("last_reviewed"),
-    )
     return (
         totals.join(fold(graded, "ease"), keys).join(reps, keys, "left")
         .join(intervals, keys, "left")

@@ -236,13 +236,16 @@ def reference_normalize(frames: DataFrame) -> DataFrame:
         *[(F.sum(sums(n)) / F.sum(F.size(seen))).alias(f"h{n}") for n in "xyz"],
         F.count(F.lit(1)).alias("n"))
     hand_mean = [F.col(f"h{n}") for n in "xyz"]
-    radius = frames.join(per.select("clip_id", "hx", "hy", "hz"), "clip_id").groupBy("clip_id").agg(
+    # only clips without shoulders need the hand radius
+    lone = per.where("n_sh = 0").select("clip_id", "hx", "hy", "hz")
+    radius = frames.join(lone, "clip_id").groupBy("clip_id").agg(
         F.max(F.array_max(F.transform(seen, lambda p: length(sub(xyz(p), hand_mean))))).alias("radius"))
-    per = per.join(radius, "clip_id")
+    per = per.join(radius, "clip_id", "left")
     torso = F.greatest(F.lit(1e-3), F.coalesce(F.col("diag") * 0.65, F.col("width")))
     scale = F.when(F.col("n_sh") > 0, torso).when(
         F.col("hx").isNotNull(), F.greatest(F.lit(1e-3), F.col("radius"))).otherwise(1.0)
-    j = frames.join(per, "clip_id").join(_anchors(frames, both), ["clip_id", "frame_idx"])
+    # narrow tables meet first, the wide frames move once
+    j = frames.join(_anchors(frames, both).join(per, "clip_id"), ["clip_id", "frame_idx"])
     single = (F.col("n") == 1) | (F.col("n_sh") == 1)
     anchor = [
         F.when(F.col("n_sh") > 0, F.when(single, F.col(f"m{n}")).otherwise(F.col(f"anchor.{n}")))
@@ -262,7 +265,7 @@ def unified_normalize(frames: DataFrame) -> DataFrame:
     present = flat(42) & flat(43)
     per = pre_scaled.groupBy("clip_id").agg(
         F.median(F.when(present, length(sub(pt(42), pt(43))))).alias("width"))
-    j = pre_scaled.join(per, "clip_id").join(_anchors(pre_scaled, present), ["clip_id", "frame_idx"])
+    j = pre_scaled.join(_anchors(pre_scaled, present).join(per, "clip_id"), ["clip_id", "frame_idx"])
     hand = [mean_of(_hand(0), lambda p, n=n: p[n]) for n in "xyz"]
     has = F.col("width").isNotNull()
     at = [F.when(has, F.col(f"anchor.{n}")).otherwise(h) for n, h in zip("xyz", hand)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklore.functions import vectors as V
 from tracklore.operators.learner import catalogue
-from tracklore.session import spread
+from tracklore.session import cut, spread
 
 BUCKET = 64  # frames per bucket of a range join
 
@@ -92,6 +92,8 @@ def hard_negatives(rows: DataFrame, key: str, label: str, parts: dict[str, tuple
         distance(lambda v: F.col(v), lambda v: p[v]).alias("d"), p["cell"].alias("cell")))
     placed = base.withColumn("__p", cells).withColumn("__d", near).drop("__p")
     placed = placed.withColumn("cell", F.array_min("__d")["cell"]).withColumn("r", F.array_min("__d")["d"])
+    # read four times below: written once to the shared folder instead of recomputed
+    placed = cut(placed)
     radius = placed.groupBy("cell").agg(F.max("r").alias("radius"))
     # two labels per cell are enough: a row differs from at least one of them
     first = placed.groupBy("cell", label).agg(F.min_by(F.struct(*vecs), "r").alias("v"), F.min("r").alias("r"))

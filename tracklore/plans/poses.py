@@ -163,7 +163,19 @@ def _(s, d):
                     *[F.round(F.col(f"p.{c}"), 5).alias(c) for c in "xyz"])
 
 
-@Q.add("w10_unified_normalize")
+@Q.add("w10_unified_normalize", f"""{BL.replace('WITH', 'WITH RECURSIVE', 1)},
+f AS (SELECT clip_id, frame_idx, sqrt(k[43].x**2 + k[43].y**2) > 0.01 AND sqrt(k[44].x**2 + k[44].y**2) > 0.01 AS ok, sqrt({d2('k[43]', 'k[44]')}) AS w,
+  {", ".join(f"(k[43].{c} + k[44].{c}) * 0.5 AS m{c}" for c in "xyz")} FROM b),
+pr AS (SELECT clip_id, GREATEST(1e-3, median(w) FILTER (WHERE ok)) AS scale FROM f GROUP BY clip_id),
+nb AS (SELECT *, max(CASE WHEN ok THEN frame_idx END) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS lo,
+  min(CASE WHEN ok THEN frame_idx END) OVER (PARTITION BY clip_id ORDER BY frame_idx DESC) AS hi FROM f),
+ip AS (SELECT nb.clip_id, nb.frame_idx, {", ".join(f"CASE WHEN nb.lo IS NULL THEN h.m{c} WHEN nb.hi IS NULL OR nb.hi = nb.lo THEN l.m{c} ELSE l.m{c} + (h.m{c} - l.m{c}) * (nb.frame_idx - nb.lo) / (nb.hi - nb.lo) END AS m{c}" for c in "xyz")}
+  FROM nb LEFT JOIN f l ON l.clip_id = nb.clip_id AND l.frame_idx = nb.lo LEFT JOIN f h ON h.clip_id = nb.clip_id AND h.frame_idx = nb.hi),
+em(clip_id, frame_idx, ex, ey, ez) AS (SELECT clip_id, frame_idx, mx, my, mz FROM ip WHERE frame_idx = 0 UNION ALL
+  SELECT em.clip_id, ip.frame_idx, {", ".join(f"0.9::DOUBLE * e{c} + 0.1::DOUBLE * m{c}" for c in "xyz")} FROM em
+  JOIN ip ON ip.clip_id = em.clip_id AND ip.frame_idx = em.frame_idx + 1)
+SELECT o.clip_id, o.frame_idx, CAST(o.kp AS INTEGER) AS kp, round(scale, 6) AS scale, {", ".join(f"round((o.{c} - e{c}) / scale, 6) AS {c}" for c in "xyz")}
+FROM body o JOIN pr ON pr.clip_id = o.clip_id JOIN em ON em.clip_id = o.clip_id AND em.frame_idx = o.frame_idx""")
 def _(s, d):
     return points(r6(P.unified_normalize(I.bodies(s, d)), "scale"), "scale")
 
