@@ -112,8 +112,10 @@ def hard_negatives(rows: DataFrame, key: str, label: str, parts: dict[str, tuple
         *[F.col(v).alias(f"n_{v}") for v in vecs])
     pairs = asked.join(members, "visit").where(F.col(label) != F.col("other"))
     d = distance(lambda v: F.col(v), lambda v: F.col(f"n_{v}"))
-    return pairs.select(key, "negative", F.round(d, 9).alias("distance")).groupBy(key).agg(
-        F.min(F.struct("distance", "negative")).alias("b")).select(key, "b.negative", "b.distance")
+    # ties are judged on nine places, the distance itself stays unrounded
+    near = pairs.select(key, "negative", d.alias("distance")).withColumn("near", F.round("distance", 9))
+    return near.groupBy(key).agg(F.min(F.struct("near", "negative", "distance")).alias("b")).select(
+        key, "b.negative", "b.distance")
 
 
 # -- lexicon --------------------------------------------------------------------
