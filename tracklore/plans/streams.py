@@ -161,7 +161,7 @@ def _(s, d):
     return fold_batch(t, "clip_id", ["frame_idx"], ["frame_idx", "x", "z", "energy"], M.Backchannel)
 
 
-@Q.add("t4_frame_pipeline")
+@Q.add("t4_letters_to_sentence")
 def _(s, d):
     """Stabilized letters to sentences, corrected against part names, punctuated."""
     from tracklore.functions import text as X
