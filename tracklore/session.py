@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,22 @@ def build_session(cpus: str = "*", partitions: int = 8, memory: str = "16g") ->
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    name = os.path.basename(root)
+    sc.addPyFile(shutil.make_archive(
+        os.path.join(folder, name), "zip", os.path.dirname(root), name))
+    _shipped.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for cut lineage: the cluster's setting, a temporary one only where unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
