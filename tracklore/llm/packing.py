@@ -60,12 +60,28 @@ def fit(counts: np.ndarray, rows: np.ndarray, rounds: int = 400) -> np.ndarray:
     return x
 
 
-def groups(counts: np.ndarray, size: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Sequences as (list of (length, times), repeats); every counted piece is in exactly one."""
-    left = counts.copy()
-    out: list[tuple[list[tuple[int, int]], int]] = []
+Group = tuple[list[tuple[int, int]], int]
+
+
+def groups(counts: np.ndarray, size: int) -> list[Group]:
+    """Sequences as (list of (length, times), repeats); every counted piece is in exactly one.
+
+    Patterns of up to two, three and four pieces, fitted wholly or by half, are tried on the histogram; the fewest
+    sequences win.
+    """
     rows = patterns(size)
-    x = fit(counts.astype(float), rows)
+    tried = []
+    for most in (2, 3, 4):
+        some = rows[(rows > 0).sum(1) <= most]
+        x = fit(counts.astype(float), some)
+        tried += [filled(counts, size, some, x * share) for share in (1.0, 0.5, 0.25)]
+    return min(tried, key=lambda gs: sum(n for _, n in gs))
+
+
+def filled(counts: np.ndarray, size: int, rows: np.ndarray, x: np.ndarray) -> list[Group]:
+    """Sequences of the patterns `rows`, each x times rounded down, and of what is left, best-fit and longest first."""
+    left = counts.copy()
+    out: list[Group] = []
     for i in np.argsort(-x, kind="stable").tolist():
         if x[i] < 1:
             break
@@ -74,7 +90,7 @@ def groups(counts: np.ndarray, size: int) -> list[tuple[list[tuple[int, int]], i
         if repeats:
             left[lengths] -= repeats * times
             out.append((list(zip(lengths.tolist(), times.tolist(), strict=True)), repeats))
-    room: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}  # open sequences by their free places
+    room: dict[int, list[Group]] = {}  # open sequences by their free places
     for length in range(size, 0, -1):
         todo = int(left[length])
         while todo:

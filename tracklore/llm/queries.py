@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tracklore.plans.registry import QuerySet
 from tracklore.session import shared_dir
 
-from . import packing, token_files
+from . import decontamination, discriminant, license_scan, packing, pseudonyms, quality_rules, token_files, warc
 
 Q = QuerySet()
+PUBLIC_KEY = "demonstration key"  # a real run passes its own secret
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,3 +26,33 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark, read(spark, sf_dir, "documents"))
+
+
+@Q.add("op4_quality_discriminant")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discriminant.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@Q.add("op5_pseudonyms")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.report(read(spark, sf_dir, "documents"), PUBLIC_KEY)
+
+
+@Q.add("op7_warc_archives")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archives(spark, read(spark, sf_dir, "pages"))
+
+
+@Q.add("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(read(spark, sf_dir, "documents"))
+
+
+@Q.add("op9_license_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+@Q.add("op10_decontamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

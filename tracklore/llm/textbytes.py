@@ -136,5 +136,25 @@ def gram_hash(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+_PLACE = np.uint64((1 << 28) - 1)
+
+
+def window_argmin(h: np.ndarray, w: int) -> np.ndarray:
+    """Position of the minimum of each run of w hashes, by their upper 36 bits and then the leftmost."""
+    n = len(h) - w + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    if len(h) > int(_PLACE):
+        raise ValueError("a text of more than 2**28 places")
+    low = h & ~_PLACE | np.arange(len(h), dtype=np.uint64)
+    have = 1
+    while have * 2 <= w:
+        low = np.minimum(low[:-have], low[have:])
+        have *= 2
+    if have < w:
+        low = np.minimum(low[:n], low[w - have:w - have + n])
+    return (low & _PLACE).astype(np.int64)
+
+
 def lists(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values, kind))
