@@ -40,7 +40,7 @@ def put(path: str, data: bytes) -> None:
     """Write a whole file under a name that no other attempt of the task uses."""
     system, inner = filesystem(path)
     system.create_dir(os.path.dirname(inner), recursive=True)
-    with system.open_output_stream(inner) as out:
+    with system.open_output_stream(inner, compression=None) as out:
         out.write(data)
 
 

@@ -103,6 +103,8 @@ class Reader:
         if end > have:
             self.source.seek(have)
             self.data += self.source.read(max(end - have, min(self.step, self.size - have)))
+            if self.first + len(self.data) < end:
+                raise EOFError(f"the archive ends before byte {end}")
 
     def drop(self, at: int) -> None:
         self.data = self.data[at - self.first:]
