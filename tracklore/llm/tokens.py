@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from . import textbytes as tb
 
-LIMIT = 1_500_000  # pieces in the table; past it only those of the last block stay
+LIMIT = 600_000  # pieces in the table; past it only those of the last block stay
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LETTER = np.zeros(256, bool)
