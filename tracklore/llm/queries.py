@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracklore.plans.registry import QuerySet
 from tracklore.session import shared_dir
 
-from . import decontamination, discriminant, license_scan, packing, pseudonyms, quality_rules, token_files, warc
+from . import decontamination, discriminant, license_scan, packing, pseudonyms, quality_rules, set_join, substring_dedup, token_files, warc
 
 Q = QuerySet()
 PUBLIC_KEY = "demonstration key"  # a real run passes its own secret
@@ -56,3 +56,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add("op10_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@Q.add("op1_substring_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(read(spark, sf_dir, "documents"))
+
+
+@Q.add("op3_set_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.linked(read(spark, sf_dir, "documents"))
