@@ -196,7 +196,7 @@ def masked(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, in
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
-    """All columns of `docs` with `text` replaced, and n_<kind> counts in `_found` (an array in the order of KINDS)."""
+    """All columns of `docs` with `text` replaced, and last `_found` (counts in the order of KINDS)."""
     secret = hashlib.sha256(key.encode()).digest()
     names = docs.columns
     fields = [f"`_{i}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)]

@@ -104,20 +104,20 @@ def measure(b: tb.Block) -> dict[str, np.ndarray]:
 
 
 def ledger(docs: DataFrame, *carry: str) -> DataFrame:
-    """carry columns, measurements and `fail_bits` (bit i: rule i failed) of each row of `docs`."""
+    """The carried columns, `ledger` (a struct of the measurements) and `fail_bits` (bit i: rule i failed) of each row."""
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    given = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)), F.coalesce("text", F.lit("")).alias("_text"))
+    names = [*carry, *(["text"] if "text" not in carry else [])]
+    given = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)))
 
     def rows(batches):
         for batch in batches:
-            for b in tb.blocks(batch.column(len(carry))):
-                yield {f"_c{i}": batch.column(i).slice(b.first, b.n) for i in range(len(carry))} | {f"_{k}": v for k, v in measure(b).items()}
+            for b in tb.blocks(batch.column(names.index("text"))):
+                yield {f"_{i}": batch.column(i).slice(b.first, b.n) for i in range(len(carry))} | measure(b)
 
-    schema = ", ".join([f"_c{i} {fields[c]}" for i, c in enumerate(carry)] + [f"_{m} long" for m in MEASURES])
+    schema = ", ".join([f"_{i} {fields[c]}" for i, c in enumerate(carry)] + [f"{m} long" for m in MEASURES])
     out = store.map_arrow(given, rows, schema)
-    out = out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)), *(F.col(f"_{m}").alias(m) for m in MEASURES if m not in carry))
     bits = sum((F.when(F.expr(cond), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, cond in enumerate(RULES.values())), F.lit(0).cast("long"))
-    return out.withColumn("fail_bits", bits)
+    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)), F.struct(*MEASURES).alias("ledger"), bits.alias("fail_bits"))
 
 
 def rejected(policy: str, bits: str = "fail_bits") -> Column:
@@ -142,6 +142,14 @@ def quality(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """The contract's columns and the ledger's mask for each document."""
     base = F.col("fail_bits").bitwiseAND(F.lit(mask(BASE))) != 0
     return ledger(docs, "doc_id").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
+        "doc_id", *(f"ledger.{m}" for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), base.alias("base_failed"),
         (~base & ~rejected(policy)).alias("kept"), "fail_bits",
     )
+
+
+def accepted(docs: DataFrame, policy: str = "v2") -> DataFrame:
+    """The rows of `docs` that pass a policy and the base rules, with their columns unchanged."""
+    names = docs.columns
+    found = ledger(docs, *names).toDF(*(f"_{i}" for i in range(len(names))), "_ledger", "_bits")
+    reject = mask({*POLICIES[policy], *BASE})
+    return found.where(F.col("_bits").bitwiseAND(F.lit(reject)) == 0).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)))

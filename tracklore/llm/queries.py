@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from tracklore.plans.registry import QuerySet
@@ -66,3 +67,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add("op3_set_join")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.linked(read(spark, sf_dir, "documents"))
+
+
+@Q.add("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

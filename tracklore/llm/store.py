@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tracklore.session import shared_dir, ship
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder for one run of an operator."""
@@ -21,11 +23,17 @@ def folder(spark: SparkSession, name: str) -> str:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write the rows as Parquet in the shared folder and reread them.
 
-    The rows survive lost executors and are computed once however often they are read.
+    The rows survive lost executors and are computed once however often they are read. Shuffle files of the write go
+    when it has ended, as nothing else reads them.
     """
     spark = df.sparkSession
     path = folder(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
