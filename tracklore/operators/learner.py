@@ -19,26 +19,25 @@ MAX_INT = 2147483647
 # an interval grows by 1.3 or more per success, so it passes the int limit and
 # stays there before this many successes in a row
 SATURATED = 96
-# a lesson catalogue is written by people; above this many rows `catalogue`
-# refuses instead of building an array per row
-CATALOGUE_ROWS = 100_000
+# rows of a dimension that travel together as one array
+CHUNK = 256
 
 
-def catalogue(dim: DataFrame, *cols: str) -> Column:
-    """A small dimension as one sorted array, its size checked while it is read."""
-    packed = F.array_sort(F.collect_list(F.struct(*cols)))
-    size = F.count(F.lit(1))
-    # one row past the bound is enough to refuse, so the aggregate stays bounded
-    return dim.select(*cols).limit(CATALOGUE_ROWS + 1).agg(
-        F.when(size <= CATALOGUE_ROWS, packed).otherwise(
-            F.raise_error(F.lit("catalogue too large for a per-learner grid"))
-        ).alias("c")
-    ).scalar()
+def chunked(rows: DataFrame, dim: DataFrame, *cols: str) -> DataFrame:
+    """Each row with each chunk ``__c`` (an array of structs) of a dimension of any size.
+
+    The dimension is dealt into chunks of about ``CHUNK`` rows by hash and met by an equi-join on the chunk number, which
+    Spark broadcasts or shuffles by the chunks' size; only the number of chunks is read ahead.
+    """
+    n = F.greatest(F.lit(1), F.ceil(dim.agg(F.count(F.lit(1))).scalar() / CHUNK)).cast("int")
+    packed = dim.select(*cols, F.pmod(F.xxhash64(*cols), n).cast("int").alias("__k"))
+    packed = packed.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("__c"))
+    return rows.withColumn("__k", F.explode(F.sequence(F.lit(0), n - 1))).join(packed, "__k").drop("__k")
 
 
 def grid(users: DataFrame, dim: DataFrame, *cols: str) -> DataFrame:
-    """Every learner with every catalogue row: the shape the reports print."""
-    return users.withColumn("__d", F.explode(catalogue(dim, *cols))).select(
+    """Every learner with every row of a dimension: the shape the reports print."""
+    return chunked(users, dim, *cols).withColumn("__d", F.explode("__c")).select(
         *users.columns, *[F.col(f"__d.{c}").alias(c) for c in cols]
     )
 
@@ -149,31 +148,37 @@ def daily_goal(ul: DataFrame, today: Column) -> DataFrame:
 
 def recommendation(ul: DataFrame, lessons: DataFrame) -> DataFrame:
     """Weakest category, then its first open lesson, then any open lesson, then
-    the least completed one.  Open lessons come from array differences against
-    the catalogue, so no learner x lesson rows are shuffled."""
-    weakest = category_average(ul, lessons).groupBy("user_id").agg(
-        F.min(F.struct("average", "category_id")).alias("w")
-    )
-    done = ul.groupBy("user_id").agg(
-        F.collect_set(F.when(F.col("is_completed"), F.col("lesson_id"))).alias("done"),
-        F.min(F.struct("completion", "lesson_id")).alias("least"),
-    )
-    everything = catalogue(lessons, "lesson_id", "category_id")
-    open_ = F.filter("everything", lambda s: ~F.array_contains("done", s["lesson_id"]))
-    here = F.filter(F.col("open"), lambda s: s["category_id"] == F.col("w.category_id"))
-    pick = F.coalesce(
-        F.get(here, F.lit(0))["lesson_id"], F.get("open", F.lit(0))["lesson_id"],
-        F.col("least.lesson_id"),
-    )
+    the least completed one.
+
+    Lessons are numbered within their category; the first number that a learner's completed lessons leave out is
+    the length of their gapless beginning plus one, and one equi-join finds that lesson.
+    """
+    average = category_average(ul, lessons)
+    number = Window.partitionBy("category_id").orderBy("lesson_id")
+    ranked = lessons.select("lesson_id", "category_id").distinct().withColumn("number", F.row_number().over(number))
+    mine = Window.partitionBy("user_id", "category_id").orderBy("number")
+    done = ul.where("is_completed").select("user_id", "lesson_id").distinct().join(ranked, "lesson_id")
+    begun = done.withColumn("at", F.row_number().over(mine)).groupBy("user_id", "category_id").agg(
+        F.count_if(F.col("at") == F.col("number")).alias("begun"))
+    open_ = (
+        average.join(begun, ["user_id", "category_id"], "left")
+        .withColumn("number", F.coalesce("begun", F.lit(0)) + 1)
+        .join(ranked, ["category_id", "number"], "left")
+    )
+    weakest = open_.groupBy("user_id").agg(
+        F.min(F.struct("average", "category_id")).alias("w"),
+        F.min_by("lesson_id", F.struct("average", "category_id")).alias("here"),
+        F.min("lesson_id").alias("anywhere"),
+    )
+    least = ul.groupBy("user_id").agg(F.min(F.struct("completion", "lesson_id")).alias("least"))
     reason = (
         F.when(F.col("w.average") < 25, "You need to focus on this category!")
         .when(F.col("w.average") < 50, "Keep improving in this category.")
         .otherwise("Challenge yourself with the next category!")
     )
-    both = weakest.join(done, "user_id").withColumn("everything", everything)
-    return both.withColumn("open", open_).select(
-        "user_id", F.col("w.category_id").alias("category_id"),
-        F.col("w.average").alias("average"), pick.alias("lesson_id"), reason.alias("reason"),
+    return weakest.join(least, "user_id").select(
+        "user_id", F.col("w.category_id").alias("category_id"), F.col("w.average").alias("average"),
+        F.coalesce("here", "anywhere", "least.lesson_id").alias("lesson_id"), reason.alias("reason"),
     )
 
 
@@ -206,12 +211,16 @@ def open_lessons(ul: DataFrame, lessons: DataFrame) -> DataFrame:
 
 
 def fill_recommendations(ul: DataFrame, lessons: DataFrame, n: int = 3) -> DataFrame:
-    """First n catalogue items a learner has not been shown yet."""
+    """First n lessons a learner has not been shown yet.
+
+    Each chunk of lessons gives its first n open ones, and the first n of those are kept.
+    """
     seen = ul.groupBy("user_id").agg(F.collect_set("lesson_id").alias("seen"))
-    fresh = F.filter("everything", lambda s: ~F.array_contains("seen", s["lesson_id"]))
-    return seen.withColumn("everything", catalogue(lessons, "lesson_id")).select(
-        "user_id", F.posexplode(F.slice(fresh, 1, n)).alias("p", "s")
-    ).select("user_id", (F.col("p") + 1).alias("position"), F.col("s.lesson_id").alias("lesson_id"))
+    fresh = F.filter("__c", lambda s: ~F.array_contains("seen", s["lesson_id"]))
+    some = chunked(seen, lessons, "lesson_id").select("user_id", F.slice(fresh, 1, n).alias("some"))
+    best = some.groupBy("user_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, n).alias("best"))
+    return best.select("user_id", F.posexplode("best").alias("p", "s")).select(
+        "user_id", (F.col("p") + 1).alias("position"), F.col("s.lesson_id").alias("lesson_id"))
 
 
 def achievements(users: DataFrame, badges: DataFrame, unlocked: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklore.functions import vectors as V
-from tracklore.operators.learner import catalogue
+from tracklore.operators.learner import chunked
 from tracklore.session import cut, spread
 
 BUCKET = 64  # frames per bucket of a range join
@@ -24,26 +24,30 @@ def centroids(rows: DataFrame, vec: str, label: str) -> DataFrame:
 
 def classify(rows: DataFrame, key: str, vec: str, candidates: DataFrame, label: str, centre: str,
              scale: float = 100.0) -> DataFrame:
-    """Best candidate by cosine and its softmax share.  The candidate table is a
-    label set of checked size, read once as an array."""
-    packed = candidates.select(label, F.transform(centre, lambda x: x / V.norm(centre)).alias(centre))
-    src = rows.select(key, vec).withColumn("__c", catalogue(packed, label, centre))
+    """Best candidate by cosine and its softmax share.
+
+    Every chunk of candidates gives its best and its exponential sum relative to it; a row adds them up.
+    """
+    unit = candidates.select(label, F.transform(centre, lambda x: x / V.norm(centre)).alias(centre))
     size = V.norm(vec)
     cos = F.transform("__c", lambda c: F.struct(
         (V.dot(vec, c[centre]) / size).alias("cos"), c[label].alias("label")))
-    src = src.withColumn("__s", cos)
+    part = chunked(rows.select(key, vec), unit, label, centre).withColumn("__s", cos)
     best = F.array_max("__s")
-    spread = F.aggregate("__s", F.lit(0.0), lambda a, s: a + F.exp(scale * (s["cos"] - best["cos"])))
-    return src.select(key, best["label"].alias("predicted"), best["cos"].alias("similarity"),
-                      (1 / spread).alias("probability"))
+    total = F.aggregate("__s", F.lit(0.0), lambda a, s: a + F.exp(scale * (s["cos"] - best["cos"])))
+    each = part.select(key, best.alias("best"), total.alias("total")).groupBy(key).agg(
+        F.max("best").alias("best"), F.collect_list(F.struct("best", "total")).alias("parts"))
+    spread = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["total"] * F.exp(scale * (p["best"]["cos"] - F.col("best.cos"))))
+    return each.select(key, F.col("best.label").alias("predicted"), F.col("best.cos").alias("similarity"),
+                       (1 / spread).alias("probability"))
 
 
 def nearest_code(rows: DataFrame, key: str, vec: str, codes: DataFrame, code: str, centre: str) -> DataFrame:
     """Closest codebook entry by squared distance; ties take the smaller code."""
-    src = rows.select(key, vec).withColumn("__c", catalogue(codes, code, centre))
     d = F.transform("__c", lambda c: F.struct(
         V.squared_distance(vec, c[centre]).alias("distance"), c[code].alias("code")))
-    return src.select(key, F.array_min(d).alias("b")).select(key, "b.code", "b.distance")
+    best = chunked(rows.select(key, vec), codes, code, centre).select(key, F.array_min(d).alias("b"))
+    return best.groupBy(key).agg(F.min("b").alias("b")).select(key, "b.code", "b.distance")
 
 
 def fit_codes(rows: DataFrame, vec: str, k: int, seed: int = 7) -> DataFrame:
@@ -71,6 +75,11 @@ def bone_directions(kps: str = "kps") -> Column:
 # -- exact nearest different label ----------------------------------------------
 
 
+def packed(few: DataFrame, *cols: str) -> Column:
+    """A table of a number of rows that a parameter bounds (pivots and what is kept of each), as one sorted array."""
+    return few.agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("c")).scalar()
+
+
 def hard_negatives(rows: DataFrame, key: str, label: str, parts: dict[str, tuple[str, float]], pivots: int = 32) -> DataFrame:
     """For each row the nearest row of another label, by a weighted sum of part
     distances.
@@ -87,7 +96,7 @@ def hard_negatives(rows: DataFrame, key: str, label: str, parts: dict[str, tuple
 
     base = rows.select(key, label, *vecs)
     picked = base.orderBy(F.xxhash64(F.lit(17), F.col(key)), key).limit(pivots)
-    cells = catalogue(picked.select(F.col(key).alias("cell"), *vecs), "cell", *vecs)
+    cells = packed(picked.select(F.col(key).alias("cell"), *vecs), "cell", *vecs)
     near = F.transform("__p", lambda p: F.struct(
         distance(lambda v: F.col(v), lambda v: p[v]).alias("d"), p["cell"].alias("cell")))
     placed = base.withColumn("__p", cells).withColumn("__d", near).drop("__p")
@@ -99,7 +108,7 @@ def hard_negatives(rows: DataFrame, key: str, label: str, parts: dict[str, tuple
     first = placed.groupBy("cell", label).agg(F.min_by(F.struct(*vecs), "r").alias("v"), F.min("r").alias("r"))
     w = Window.partitionBy("cell").orderBy("r", label)
     reps = first.withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("cell", "v", F.col(label).alias("l"))
-    bounded = placed.withColumn("__r", catalogue(reps, "cell", "l", "v")).withColumn("__rad", catalogue(radius, "cell", "radius"))
+    bounded = placed.withColumn("__r", packed(reps, "cell", "l", "v")).withColumn("__rad", packed(radius, "cell", "radius"))
     others = F.transform(F.filter("__r", lambda q: q["l"] != F.col(label)),
                          lambda q: distance(lambda v: F.col(v), lambda v: q["v"][v]))
     bounded = bounded.withColumn("bound", F.coalesce(F.array_min(others), F.lit(float("inf"))))
@@ -165,6 +174,6 @@ def weave(tokens: DataFrame, spans: DataFrame) -> DataFrame:
 def align_exemplars(rows: DataFrame, key: str, series: str, exemplars: DataFrame, label: str, centre: str) -> DataFrame:
     """Nearest exemplar of each series by dynamic time warping."""
     from tracklore.functions.edit import dtw_distance
-    src = spread(rows.select(key, series)).withColumn("__e", F.explode_outer(catalogue(exemplars, label, centre)))
+    src = chunked(spread(rows.select(key, series)), exemplars, label, centre).withColumn("__e", F.explode_outer("__c"))
     d = src.select(key, F.col(f"__e.{label}").alias("exemplar"), F.round(dtw_distance(series, f"__e.{centre}"), 6).alias("cost"))
     return d.groupBy(key).agg(F.min(F.struct("cost", "exemplar")).alias("b")).select(key, "b.exemplar", "b.cost")
