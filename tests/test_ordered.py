@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracklore.functions.text import natural_key
 from tracklore.operators import ordered
 
 
@@ -37,7 +38,7 @@ def test_previous_matches_lag(rows):
 
 def test_positions_and_rank(rows):
     r = rows.where("v is not null")
-    p = ordered.positions(r, [F.col("v"), F.col("t")], F.col("v"), parts=5).collect()
+    p = ordered.positions(r, [F.col("v"), F.col("t")]).collect()
     want = sorted((x.v, x.t) for x in r.collect())
     assert [(x.v, x.t) for x in sorted(p, key=lambda x: x.pos)] == want
     assert sorted(x.pos for x in p) == list(range(1, len(want) + 1))
@@ -55,9 +56,19 @@ def test_exact_quantiles(rows):
         assert np.allclose([r.a, r.b, r.c], np.quantile(v, [0.1, 0.5, 1.0]))
 
 
-def test_sort_code_keeps_order(spark):
-    words = ["", "a", "ab", "abcdefg", "abcdefh", "b", "é", "z", "日本"]
-    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", ordered.sort_code(F.col("w")).alias("c"))
-    codes = {r.w: r.c for r in df.collect()}
-    by_bytes = sorted(words, key=lambda w: w.encode())
-    assert all(codes[a] <= codes[b] for a, b in zip(by_bytes, by_bytes[1:]))
+def test_positions_use_many_ranges_for_a_common_prefix(spark):
+    df = spark.range(200_000).select(F.format_string("a common prefix of names %06d", "id").alias("w"))
+    p = ordered.positions(df, [F.col("w")])
+    assert p.where("pos <> cast(substring(w, 26) as int) + 1").count() == 0 and p.count() == 200_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else these few rows share a task
+    try:
+        assert df.repartitionByRange("w").groupBy(F.spark_partition_id()).count().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_natural_key_orders_long_numbers(spark):
+    names = ["a2", "a10", "a0010", "a" + "9" * 25, "a1" + "0" * 25, "b1", "a2x3", "a2x20"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").withColumn("k", natural_key("n"))
+    got = [r.n for r in df.orderBy("k", "n").collect()]
+    assert got == ["a2", "a2x3", "a2x20", "a0010", "a10", "a" + "9" * 25, "a1" + "0" * 25, "b1"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracklore.functions.vectors import let
+
 # fixed values
 ALIASES = {"spelling": "fs", "finger_spelling": "fs", "space": " ", "nothing": "<none>", "del": "<delete>"}
 NEGATIONS = ("not", "n't", "no", "never", "none", "cannot", "cant", "wont", "dont", "didnt", "isnt",
@@ -88,11 +90,11 @@ def route_task(task: Column | str, source: Column | str) -> Column:
             .when((t == "sentence_level") | s.startswith("how2sign"), 2).otherwise(0))
 
 
-def natural_key(v: Column | str, digits: int = 20) -> Column:
-    """Sort key in which digit runs compare as numbers."""
+def natural_key(v: Column | str) -> Column:
+    """Sort key in which digit runs of any length compare as numbers: each is led by its length, five digits wide."""
     runs = F.regexp_extract_all(F.lower(_c(v)), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
     return F.array_join(F.transform(runs, lambda r: F.when(
-        r.rlike("^[0-9]"), F.lpad(F.ltrim(r, F.lit("0")), digits, "0")).otherwise(r)), "")
+        r.rlike("^[0-9]"), let(F.ltrim(r, F.lit("0")), lambda d: F.concat(F.lpad(F.length(d).cast("string"), 5, "0"), d))).otherwise(r)), "")
 
 
 def hash_fraction(v: Column | str) -> Column:

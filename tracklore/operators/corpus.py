@@ -26,14 +26,14 @@ def explode_tokens(docs: DataFrame, words: Column, *keep: str) -> DataFrame:
 def build_vocab(tokens: DataFrame) -> DataFrame:
     """Distinct tokens in sorted order, ids from 4 after the reserved four."""
     distinct = tokens.select("token").distinct()
-    p = ordered.positions(distinct, [F.col("token")], ordered.sort_code(F.col("token")))
+    p = ordered.positions(distinct, [F.col("token")])
     return p.select("token", (F.col("pos") + X.OFFSET - 1).alias("id"))
 
 
 def label_ids(rows: DataFrame, label: str, order: str) -> DataFrame:
     """Labels numbered by first appearance along ``order``."""
     first = rows.groupBy(F.col(label).alias("label")).agg(F.min(order).alias("first"))
-    p = ordered.positions(first, [F.col("first"), F.col("label")], F.col("first").cast("double"))
+    p = ordered.positions(first, [F.col("first"), F.col("label")])
     return p.select("label", (F.col("pos") - 1).alias("id"))
 
 
@@ -41,7 +41,7 @@ def add_tokens(vocab: DataFrame, words: DataFrame) -> DataFrame:
     """Unseen words appended with the next ids."""
     fresh = words.select("token").distinct().join(vocab, "token", "left_anti")
     top = vocab.agg(F.max("id")).scalar()
-    p = ordered.positions(fresh, [F.col("token")], ordered.sort_code(F.col("token")))
+    p = ordered.positions(fresh, [F.col("token")])
     return p.select("token", (F.col("pos") + top).alias("id"))
 
 
@@ -91,8 +91,8 @@ def missing_ids(vocab: DataFrame) -> DataFrame:
     after = ids.select((F.col("id") + 1).alias("id")).join(ids, "id", "left_anti")
     before = ids.select((F.col("id") - 1).alias("id")).join(ids, "id", "left_anti")
     # starts and ends of gaps alternate, so equal positions belong together
-    a = ordered.positions(after, [F.col("id")], F.col("id"), "k").withColumnRenamed("id", "lo")
-    b = ordered.positions(before, [F.col("id")], F.col("id"), "k").select(
+    a = ordered.positions(after, [F.col("id")], "k").withColumnRenamed("id", "lo")
+    b = ordered.positions(before, [F.col("id")], "k").select(
         (F.col("k") - 1).alias("k"), F.col("id").alias("hi"))
     return a.join(b, "k").select(F.explode(F.sequence("lo", "hi")).alias("id"))
 
@@ -138,8 +138,8 @@ def shuffled(rows: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
 
 def alternate(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Even positions from ``a``, odd ones from ``b``; the shorter side wraps."""
-    pa = ordered.positions(a.select(key), [F.col(key)], F.col(key).cast("double"), "p").withColumn("p", F.col("p") - 1)
-    pb = ordered.positions(b.select(key), [F.col(key)], F.col(key).cast("double"), "p").withColumn("p", F.col("p") - 1)
+    pa = ordered.positions(a.select(key), [F.col(key)], "p").withColumn("p", F.col("p") - 1)
+    pb = ordered.positions(b.select(key), [F.col(key)], "p").withColumn("p", F.col("p") - 1)
     na, nb = a.agg(F.count(F.lit(1))).scalar(), b.agg(F.count(F.lit(1))).scalar()
 
     def side(p: DataFrame, parity: int) -> DataFrame:
@@ -285,11 +285,11 @@ def per_class_cap(rows: DataFrame, cls: str, order: str, n: int) -> DataFrame:
     return rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
 
 
-def curriculum_subset(rows: DataFrame, order: list[Column], code: Column, stage: int) -> DataFrame:
+def curriculum_subset(rows: DataFrame, order: list[Column], stage: int) -> DataFrame:
     """First 33 %, 66 % or all rows by difficulty, at least ten."""
     share = {1: 0.33, 2: 0.66, 3: 1.0}[stage]
     n = rows.agg(F.count(F.lit(1))).scalar()
-    p = ordered.positions(rows, order, code).withColumn("__n", n)
+    p = ordered.positions(rows, order).withColumn("__n", n)
     return p.where(F.col("pos") <= F.greatest(F.lit(10), F.floor(F.col("__n") * share))).drop("__n")
 
 
@@ -299,7 +299,7 @@ def stitch(clips: DataFrame, k: int, seed: int, limit: int, pause: int = 4) -> D
     Groups hold at most ``k`` clips: positions along a seeded hash, cut every k.
     """
     h = F.xxhash64(F.col("clip_id"), F.lit(seed))
-    p = ordered.positions(clips.withColumn("__h", h), [F.col("__h"), F.col("clip_id")], F.col("__h"))
+    p = ordered.positions(clips.withColumn("__h", h), [F.col("__h"), F.col("clip_id")])
     p = p.withColumn("group_id", F.floor((F.col("pos") - 1) / k))
     w = Window.partitionBy("group_id").orderBy("pos")
     p = p.withColumn("start", F.coalesce(F.sum(F.col("length") + pause).over(

@@ -557,5 +557,4 @@ def audit_counts(actions: DataFrame) -> DataFrame:
 
 def distinct_categories(items: DataFrame, col: str) -> DataFrame:
     names = items.select(F.col(col).alias("category")).distinct()
-    return ordered.positions(names, [F.col("category")], ordered.sort_code(F.col("category")),
-                             "position")
+    return ordered.positions(names, [F.col("category")], "position")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklore.functions.vectors import let
+from tracklore.session import cut
 
 _LOCAL = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
@@ -121,55 +122,43 @@ def previous(
     return out.drop("__chunk", "__p", "__lag", "__carry")
 
 
-def sort_code(col: Column) -> Column:
-    """Order-preserving number of a string's first six bytes (ties allowed)."""
-    padded = F.rpad(F.substring(F.hex(F.encode(col, "UTF-8")), 1, 12), 12, "0")
-    return F.conv(padded, 16, 10).cast("bigint")
+def _range_bucket(df: DataFrame, code: Column, parts: int | None) -> DataFrame:
+    """Attach ``__b``: the range bucket of ``code``, bounds from one sketch row.
 
-
-def _range_bucket(df: DataFrame, code: Column, parts: int) -> DataFrame:
-    """Attach ``__b``: the range bucket of ``code``, bounds from one sketch row."""
+    There are as many ranges as the session has shuffle partitions, unless ``parts`` says otherwise.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     probs = [i / parts for i in range(1, parts)]
     bounds = df.agg(
         F.percentile_approx(code, probs, parts * 20).alias("b")
     ).select(F.array_distinct("b")).scalar()
-    # the array holds at most `parts` numbers whatever the table's size
+    # the array holds at most `parts` numbers
     bucket = let(code, lambda c: F.size(F.filter("__bounds", lambda b: b < c)))
     return df.withColumn("__bounds", bounds).withColumn("__b", bucket).drop("__bounds")
 
 
-def positions(
-    df: DataFrame, order: Sequence[Column], code: Column, name: str = "pos", parts: int = 64
-) -> DataFrame:
+def positions(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
     """1-based global row number without a single-task window.
 
-    ``code`` is a number that never decreases along ``order`` (use
-    :func:`sort_code` for strings): it splits rows into ranges, counts per range
-    give each range its offset, and a window numbers rows inside a range.
-    Upstream should end in a shuffle so that Spark reuses it for the three reads.
+    Rows are dealt by ranges of the order columns themselves and written once, so that the ranges are drawn from
+    one sample; counts per range give each range its offset, and a window numbers rows inside a range. The order
+    should tell rows apart: equal rows share a range.
     """
-    src = _range_bucket(df, code, parts)
-    sizes = src.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    # at most `parts` rows: a one-partition window over them is bounded
-    offsets = sizes.select(
-        "__b",
-        F.coalesce(
-            F.sum("__n").over(
-                Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("__off"),
-    )
+    placed = cut(df.repartitionByRange(*order).withColumn("__b", F.spark_partition_id()))
+    sizes = placed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    # one row per range: a one-partition window over them is bounded by the partition count
+    before = F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("__b", F.coalesce(before, F.lit(0)).alias("__off"))
     inside = Window.partitionBy("__b").orderBy(*order)
     return (
-        src.withColumn("__rn", F.row_number().over(inside))
+        placed.withColumn("__rn", F.row_number().over(inside))
         .join(F.broadcast(offsets), "__b")
         .withColumn(name, (F.col("__rn") + F.col("__off")).cast("bigint"))
         .drop("__b", "__rn", "__off")
     )
 
 
-def competition_rank(df: DataFrame, value: str, name: str = "rank", parts: int = 64) -> DataFrame:
+def competition_rank(df: DataFrame, value: str, name: str = "rank", parts: int | None = None) -> DataFrame:
     """1 + number of rows with a greater value, for every row."""
     per_value = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
     src = _range_bucket(per_value, -F.col(value), parts)
@@ -200,7 +189,7 @@ def exact_quantiles(
     value: str,
     targets: Mapping[str, float | Callable[[Column], Column]],
     rank_of: str = "linear",
-    parts: int = 64,
+    parts: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per group without gathering a group in one task.
 

@@ -64,7 +64,7 @@ def prioritized_pool(scored: DataFrame) -> DataFrame:
     for action in ("ORACLE_ANNOTATION", "PSEUDO_LABEL"):
         one = queued.where(F.col("action") == action)
         parts.append(ordered.positions(
-            one, [F.col("key"), F.col("seq_id")], F.col("key"), "position"))
+            one, [F.col("key"), F.col("seq_id")], "position"))
     return parts[0].unionByName(parts[1]).select("action", "position", "seq_id")
 
 
@@ -118,7 +118,7 @@ def coverage(sets: DataFrame) -> DataFrame:
 
 
 def weighted_quantiles(
-    calib: DataFrame, tests: DataFrame, alpha: float = 0.1, parts: int = 64
+    calib: DataFrame, tests: DataFrame, alpha: float = 0.1, parts: int | None = None
 ) -> DataFrame:
     """Per test weight: first score whose cumulative weight share reaches 1 - alpha.
 

@@ -231,7 +231,7 @@ def _(s, d):
 SELECT doc_id, pos FROM r WHERE pos <= GREATEST(10, floor(n * 0.33))""")
 def _(s, d):
     r = docs(s, d).select("doc_id", "n_chars")
-    return C.curriculum_subset(r, [F.col("n_chars"), F.col("doc_id")], F.col("n_chars"), 1).drop("n_chars")
+    return C.curriculum_subset(r, [F.col("n_chars"), F.col("doc_id")], 1).drop("n_chars")
 
 
 @Q.add("o11_deterministic_split", f"WITH {SPLIT} SELECT doc_id, split FROM sp")
@@ -262,8 +262,7 @@ def _(s, d):
 SELECT doc_id, row_number() OVER (ORDER BY n, doc_id) AS pos FROM k""")
 def _(s, d):
     p = docs(s, d).select("doc_id", X.natural_key("source").alias("k"))
-    digits = F.substring("k", 4, 20).cast("bigint")
-    return ordered.positions(p, [F.col("k"), F.col("doc_id")], digits).select("doc_id", "pos")
+    return ordered.positions(p, [F.col("k"), F.col("doc_id")]).select("doc_id", "pos")
 
 
 @Q.add("o5_seeded_shuffle")
@@ -369,7 +368,7 @@ g(idx, k, off, n, acc) AS (SELECT idx, 2 + idx % 3, CAST(0 AS BIGINT), n, [CAST(
 SELECT idx, (acc || [CAST(2 AS BIGINT)])[1:16] AS ids FROM g WHERE off = k""")
 def _(s, d):
     part = table(s, d, "part").select("p_partkey")
-    p = ordered.positions(part, [F.col("p_partkey")], F.col("p_partkey"), "idx")
+    p = ordered.positions(part, [F.col("p_partkey")], "idx")
     k = F.col("p_partkey")
     r = p.withColumn("n", part.agg(F.count(F.lit(1))).scalar()).select(
         (F.col("idx") - 1).alias("idx"), "n", F.transform(

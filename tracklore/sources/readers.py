@@ -235,4 +235,4 @@ def hand_wide(hands: DataFrame, key: str) -> DataFrame:
 
 def number_rows(files: DataFrame, name: str = "id") -> DataFrame:
     """Sequential ids along the file names."""
-    return ordered.positions(files, [F.col("file")], ordered.sort_code(F.col("file")), name)
+    return ordered.positions(files, [F.col("file")], name)
