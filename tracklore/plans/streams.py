@@ -8,6 +8,7 @@ from tracklore.operators import poses as P
 from tracklore.plans import inputs as I
 from tracklore.plans.registry import QuerySet
 from tracklore.session import table
+from tracklore.streaming import guard as G
 from tracklore.streaming import machines as M
 from tracklore.streaming import stateless as S
 from tracklore.streaming.run import fold_batch
@@ -48,7 +49,8 @@ def _(s, d):
 def _(s, d):
     f = spelled(s, d)
     out = fold_batch(f, "session", ["ts", "event_id", "i"], ["letter", "conf"], M.LetterStabilizer)
-    return out.where("event = 'END'").select("session", "text")
+    # an unfinished sentence ends with its session
+    return out.where("event in ('END', 'OPEN')").select("session", "text")
 
 
 @Q.add("f22_gesture_rule", f"""WITH {I.HANDS}, h AS (SELECT clip_id, frame_idx, list(x ORDER BY kp) AS x, list(y ORDER BY kp) AS y FROM hand_pts GROUP BY ALL),
@@ -105,7 +107,7 @@ def _(s, d):
     FROM f JOIN triples t ON t.clip_id = f.clip_id AND t.frame_idx = f.frame_idx + 1)))
 SELECT clip_id, CAST(frame_idx AS INTEGER) AS frame_idx, round(x, 6) AS x FROM f""")
 def _(s, d):
-    out = fold_batch(I.triples(s, d), "clip_id", ["frame_idx"], ["frame_idx", "x", "y", "z"], M.OneEuroTrack)
+    out = G.one_euro(I.triples(s, d), "x", "y", "z")
     return r6(out.select("clip_id", "frame_idx", "x"), "x")
 
 
@@ -128,7 +130,9 @@ def flat(s, d):
 
 @Q.add("t9_hand_swap_repair")
 def _(s, d):
-    return fold_batch(flat(s, d), "clip_id", ["frame_idx"], ["frame_idx", "flat"], M.HandSwap)
+    f = flat(s, d).select("clip_id", F.col("frame_idx").cast("int").alias("frame_idx"), F.slice("flat", 1, 3).alias("left"), F.slice("flat", 64, 3).alias("right"))
+    pick = lambda a, b: F.when(F.col("swapped"), F.col(b)[0]).otherwise(F.col(a)[0])
+    return G.orientation(f).select("clip_id", "frame_idx", "swapped", pick("left", "right").alias("left_x"), pick("right", "left").alias("right_x"))
 
 
 @Q.add("t10_dominance_mirror", f"""WITH {I.BODIES}, v AS (SELECT clip_id, frame_idx, kp, sqrt((x - lag(x) OVER w)**2 + (y - lag(y) OVER w)**2 + (z - lag(z) OVER w)**2) AS sp
@@ -138,15 +142,8 @@ s AS (SELECT *, sum(l) OVER w AS sl, sum(r) OVER w AS sr, count(*) OVER w AS n F
 SELECT clip_id, frame_idx, n >= 10 AND sl / (sl + sr + 1e-6) > 0.52 AS left_dominant FROM s""")
 def _(s, d):
     m = P.with_motion(I.bodies(s, d)).select("clip_id", "frame_idx", P.length(P.pt(0, "vel")).alias("l"), P.length(P.pt(21, "vel")).alias("r"))
-    return fold_batch(m, "clip_id", ["frame_idx"], ["frame_idx", "l", "r"], LowDominance)
-
-
-class LowDominance(M.Dominance):
-    """The vectors have no clearly dominant hand: a lower share splits them."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.guard.DOMINANCE = 0.52
+    # the vectors have no clearly dominant hand: a lower share splits them
+    return G.dominance(m, "l", "r", 0.52).select("clip_id", "frame_idx", "left_dominant")
 
 
 @Q.add("t11_backchannel_gate", f"""WITH {I.TRIPLES}, a AS (SELECT *, z > 0.05 OR abs(z) > 0.15 AS act FROM triples),
@@ -158,7 +155,31 @@ SELECT t.clip_id, CAST(t.frame_idx AS INTEGER) AS frame_idx, COALESCE(len(xs) >=
 FROM l t LEFT JOIN h ON h.clip_id = t.clip_id AND h.frame_idx = t.frame_idx""")
 def _(s, d):
     t = I.triples(s, d).withColumn("energy", F.abs("z"))
-    return fold_batch(t, "clip_id", ["frame_idx"], ["frame_idx", "x", "z", "energy"], M.Backchannel)
+    return G.nodding(t, "x", "z", "energy").select("clip_id", F.col("frame_idx").cast("int").alias("frame_idx"), "nodding")
+
+
+class Sentences(M.LetterStabilizer):
+    """The sentences of a session with their number, the open one included."""
+
+    SCHEMA = "number int, text string"
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.number = 0
+
+    def _only(self, events: list[tuple]) -> list[tuple]:
+        out = []
+        for event, _, text in events:
+            if event in ("END", "OPEN") and text:
+                self.number += 1
+                out.append((self.number, text))
+        return out
+
+    def step(self, row) -> list[tuple]:
+        return self._only(super().step(row))
+
+    def finish(self) -> list[tuple]:
+        return self._only(super().finish())
 
 
 @Q.add("t4_letters_to_sentence")
@@ -168,20 +189,21 @@ def _(s, d):
     from tracklore.operators import corpus as C
     from tracklore.operators import spelling as SP
 
-    said = fold_batch(spelled(s, d), "session", ["ts", "event_id", "i"], ["letter", "conf"], M.LetterStabilizer).where(
-        "event = 'END'").groupBy("session").agg(F.max("text").alias("text"))
-    tokens = said.select("session", F.posexplode_outer(X.tokens(F.lower("text"))).alias("pos", "word")).where("word is not null")
+    f = spelled(s, d)
+    said = fold_batch(f, "session", ["ts", "event_id", "i"], ["letter", "conf"], Sentences)
+    tokens = said.select(F.concat_ws("#", "session", "number").alias("sentence_id"), F.posexplode_outer(X.tokens(F.lower("text"))).alias("pos", "word")).where("word is not null")
     part = table(s, d, "part").select(F.split("p_name", " ").alias("w"))
     uni = C.explode_tokens(part, F.col("w")).groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("freq"))
     bi = part.groupBy(F.get("w", F.lit(0)).alias("w1"), F.get("w", F.lit(1)).alias("w2")).agg(F.count(F.lit(1)).alias("freq"))
-    fixed = SP.correct_phrases(tokens, uni, bi, "session")
-    return fixed.select("session", X.sentence_case("words", F.array(F.lit("anna"))).alias("sentence"))
+    fixed = SP.correct_phrases(tokens, uni, bi, "sentence_id")
+    name = F.split("sentence_id", "#")
+    return fixed.select(name[0].alias("session"), name[1].cast("int").alias("number"), X.sentence_case("words", F.array(F.lit("anna"))).alias("sentence"))
 
 
 @Q.add("t13_stream_guard")
 def _(s, d):
     b = flat(s, d).withColumn("t", F.col("frame_idx") / 30.0)
-    return fold_batch(b, "clip_id", ["frame_idx"], ["frame_idx", "t", "flat"], M.Guard)
+    return G.guarded(fold_batch(b, "clip_id", ["frame_idx"], ["frame_idx", "t", "flat"], M.Steady))
 
 
 @Q.add("t14_adaptive_chunk")
@@ -263,4 +285,5 @@ def _(s, d):
 SELECT clip_id, CAST(frame_idx AS INTEGER) AS frame_idx, round(v, 6) AS value, occluded FROM f""")
 def _(s, d):
     t = I.triples(s, d).withColumn("near", F.abs("x") + F.abs("y"))
-    return r6(fold_batch(t, "clip_id", ["frame_idx"], ["frame_idx", "near", "z"], M.OcclusionHold), "value")
+    out = G.held(t, "near", "z").select("clip_id", F.col("frame_idx").cast("int").alias("frame_idx"), "value", "occluded")
+    return r6(out, "value")

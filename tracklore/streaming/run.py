@@ -20,7 +20,8 @@ def _out_schema(df: DataFrame, key: str, machine) -> T.StructType:
 def fold_batch(df: DataFrame, key: str, order: list[str], inputs: list[str], machine: Callable) -> DataFrame:
     """One pass per task over rows sorted by (session, order).
 
-    A task holds one machine and one Arrow batch at a time, never a whole session.
+    A task holds one machine and one Arrow batch at a time, never a whole session. What a machine holds open at the
+    end of its session comes from its ``finish``, where it has one.
     Sessions should be cut by time (a user's day, a recording), which bounds them.
     """
     schema = _out_schema(df, key, machine)
@@ -28,13 +29,16 @@ def fold_batch(df: DataFrame, key: str, order: list[str], inputs: list[str], mac
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
+        ended = lambda: [(current, *r) for r in getattr(state, "finish", list)()]
         for pdf in batches:
             rows = []
             for k, *values in pdf[[key, *inputs]].itertuples(index=False, name=None):
                 if state is None or k != current:
+                    rows += ended()
                     current, state = k, machine()
                 rows += [(k, *r) for r in state.step(values)]
             yield pd.DataFrame(rows, columns=names)
+        yield pd.DataFrame(ended(), columns=names)
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = df.select(*dict.fromkeys([key, *order, *inputs])).repartition(n, key)
