@@ -296,7 +296,9 @@ def curriculum_subset(rows: DataFrame, order: list[Column], stage: int) -> DataF
 def stitch(clips: DataFrame, k: int, seed: int, limit: int, pause: int = 4) -> DataFrame:
     """Concatenate clips(clip_id, length, text, ids, weight) in seeded groups of k.
 
-    Groups hold at most ``k`` clips: positions along a seeded hash, cut every k.
+    Groups hold at most ``k`` clips: positions along a seeded hash, cut every k. Clips that begin within ``limit`` frames
+    stay, and everything in the row is of those; the last one is cut at the limit. A text that lacks a final mark gets
+    a full stop.
     """
     h = F.xxhash64(F.col("clip_id"), F.lit(seed))
     p = ordered.positions(clips.withColumn("__h", h), [F.col("__h"), F.col("clip_id")])
@@ -304,15 +306,18 @@ def stitch(clips: DataFrame, k: int, seed: int, limit: int, pause: int = 4) -> D
     w = Window.partitionBy("group_id").orderBy("pos")
     p = p.withColumn("start", F.coalesce(F.sum(F.col("length") + pause).over(
         w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    p = p.where(F.col("start") < limit)
     g = p.groupBy("group_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "clip_id", "start", "text", "ids"))).alias("m"),
         (F.sum("length") + (F.count(F.lit(1)) - 1) * pause).alias("frames"), F.avg("weight").alias("weight"))
-    texts = F.filter(F.transform("m", lambda s: s["text"]), lambda t: t != "")
+    single = lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))
+    texts = F.filter(F.transform("m", lambda s: single(s["text"])), lambda t: t != "")
+    texts = F.transform(texts, lambda t: F.when(t.rlike("[.!?]$"), t).otherwise(F.concat(t, F.lit("."))))
     ids = F.concat(F.array(F.lit(X.BOS)), F.flatten(F.transform("m", lambda s: s["ids"])), F.array(F.lit(X.EOS)))
     return g.select(
         "group_id", F.transform("m", lambda s: s["clip_id"]).alias("clips"),
         F.transform("m", lambda s: s["start"]).alias("starts"), F.least(F.col("frames"), F.lit(limit)).alias("frames"),
-        F.array_join(texts, ". ").alias("text"), ids.alias("ids"), "weight")
+        F.array_join(texts, " ").alias("text"), ids.alias("ids"), "weight")
 
 
 def merge_adjacent(rows: DataFrame, max_k: int, max_len: int, period: int) -> DataFrame:

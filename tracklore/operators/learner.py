@@ -64,7 +64,7 @@ def weekly_xp(activities: DataFrame, today: Column) -> DataFrame:
     """Seven calendar days ending today, days without activity at zero."""
     start = F.date_sub(today, 6)
     sums = (
-        activities.where(F.to_date("ts") >= start)
+        activities.where(F.col("ts") >= start.cast("timestamp"))  # on the column itself, so that the scan can skip
         .groupBy("user_id", F.to_date("ts").alias("day"))
         .agg(F.sum("points").cast("bigint").alias("s"))
     )
@@ -450,10 +450,12 @@ def review_queue(signs: DataFrame, now: Column, n: int = 10) -> DataFrame:
 
 
 def forgotten_signs(signs: DataFrame, now: Column) -> DataFrame:
+    """Signs missed often or not seen for a month, the most missed first."""
+    order = Window.partitionBy("user_id").orderBy(F.desc("incorrect_count"), "item")
     late = F.unix_micros(now) - F.unix_micros("last_reviewed") > F.lit(30 * 86_400_000_000)
     return signs.where(
         (F.col("incorrect_count") > F.col("correct_count") * 0.5) | late
-    ).select("user_id", "item", "incorrect_count", "correct_count")
+    ).select("user_id", "item", "incorrect_count", "correct_count", F.row_number().over(order).alias("position"))
 
 
 def weekly_report(signs: DataFrame) -> DataFrame:
@@ -467,7 +469,7 @@ def weekly_report(signs: DataFrame) -> DataFrame:
 def daily_activity(answers: DataFrame, today: Column) -> DataFrame:
     """Minutes with activity and accuracy per learner and day of the last week."""
     return (
-        answers.where(F.to_date("ts") > F.date_sub(today, 7))
+        answers.where(F.col("ts") >= F.date_sub(today, 6).cast("timestamp"))
         .groupBy("user_id", F.to_date("ts").cast("string").alias("day"))
         .agg(
             F.count_distinct(F.date_trunc("minute", "ts")).alias("minutes"),

@@ -10,7 +10,7 @@ from tracklore.functions.text import unit
 from tracklore.operators import poses as P
 from tracklore.operators import tracks
 
-JERK_LIMIT = 1500.0
+JERK_LIMIT = 50.0  # fixed value: the limit in force where the score is computed
 
 
 def _clamp(v: Column, lo: float, hi: float) -> Column:

@@ -317,7 +317,7 @@ def _(s, d):
 
 
 @Q.add("a34_forgotten_signs", f"""{HD}
-SELECT user_id, item, incorrect_count, correct_count FROM signs, today
+SELECT user_id, item, incorrect_count, correct_count, CAST(row_number() OVER (PARTITION BY user_id ORDER BY incorrect_count DESC, item) AS INTEGER) AS position FROM signs, today
 WHERE incorrect_count > correct_count * 0.5 OR epoch_us(now) - epoch_us(last_reviewed) > 2592000000000""")
 def _(s, d):
     return L.forgotten_signs(signs(s, d), I.now(I.events(s, d)))

@@ -145,7 +145,7 @@ def _(s, d):
 a AS (SELECT clip_id, z, abs(x) > 1e-4 OR abs(y) > 1e-4 AS seen, sqrt((x - 2 * lag(x) OVER w + lag(x, 2) OVER w)**2 + (y - 2 * lag(y) OVER w + lag(y, 2) OVER w)**2) AS j
   FROM body WINDOW w AS (PARTITION BY clip_id, kp ORDER BY frame_idx))
 SELECT clip_id, round(LEAST(1, GREATEST(0.25, avg(z) FILTER (WHERE seen))), 6) AS score, round(avg(z) FILTER (WHERE seen), 6) AS detector_conf,
-  round(1 - LEAST(1, max(j) / 1500), 6) AS temporal FROM a GROUP BY clip_id""")
+  round(1 - LEAST(1, max(j) / 50), 6) AS temporal FROM a GROUP BY clip_id""")
 def _(s, d):
     return r6(K.video_quality(I.bodies(s, d)), "score", "detector_conf", "temporal")
 
