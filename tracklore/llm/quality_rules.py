@@ -21,7 +21,7 @@ RULES = {
     "few_words": "n_words < 50",
     "repeated_words": "100 * n_repeat_words > 50 * n_words",
     "symbols": "10 * n_symbols > n_words",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
+    "duplicate_lines": "n_dup_lines >= 4 and 100 * n_dup_lines > 30 * n_lines",  # a header that closes a short text is no junk
     "word_length": "word_chars > 15 * n_words or word_chars < 2 * n_words",
     "capitals": "100 * n_upper > 50 * n_ascii_letters",
     "exclamations": "10 * n_exclaim > n_words",
