@@ -140,6 +140,33 @@ def test_stream_equals_batch(spark, tmp_path, machine, inputs):
     assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
 
 
+def test_event_time_restores_order_drops_late_rows_and_ends_sessions(spark, tmp_path):
+    rows = []
+    for s in ("a", "b"):
+        rows += [(s, i, "AB"[i // 14 % 2] if i % 30 < 20 else None, 0.9) for i in range(120)]
+    df = spark.createDataFrame(rows, "session string, i int, letter string, conf double").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("i")))
+    want = R.fold_batch(df, "session", ["i"], ["letter", "conf"], M.LetterStabilizer)
+    later = df.where("i = 0").withColumn("session", F.lit("c"))
+    src = tmp_path / "in"
+    parts = [df.where(F.col("i").between(k * 40, k * 40 + 39)).orderBy(F.rand(k)) for k in range(3)]  # shuffled within their files
+    parts += [later.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000 + 10_000 * k))) for k in (1, 2)]
+    parts += [df.where("i = 5").withColumn("letter", F.lit("Z"))]  # hours too late
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    out = R.fold_stream(stream, "session", ["i"], ["letter", "conf"], M.LetterStabilizer, event_time="ts", idle_seconds=600)
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = (out.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(conf)
+    got = spark.read.schema(want.schema).parquet(str(tmp_path / "out")).where("session <> 'c'")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_ingest_reads_new_files_once(spark, tmp_path):
     src, dst, cp = (str(tmp_path / n) for n in ("src", "dst", "cp"))
     one = spark.range(3)

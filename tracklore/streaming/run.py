@@ -69,14 +69,68 @@ class _Session(StatefulProcessor):
         pass
 
 
+class _TimedSession(_Session):
+    """Keeps the machine and the rows that the watermark has not passed; folds those in order, ends idle sessions."""
+
+    def __init__(self, *args, event_time: str, idle_ms: int) -> None:
+        super().__init__(*args)
+        self.event_time, self.idle_ms = event_time, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def _load(self):
+        kept = self.state.get()
+        return pickle.loads(kept[0]) if kept is not None else (self.machine(), [], 0)
+
+    def _fold(self, key, m, waiting, last, watermark):
+        """Rows up to the watermark go through the machine; timers call back for the rest and for the end."""
+        waiting.sort(key=lambda w: (w[0], w[1]))
+        ready = [w for w in waiting if w[0] <= watermark]
+        rest = waiting[len(ready):]
+        out = [(*key, *r) for w in ready for r in m.step(w[2])]
+        last = max([last, *(w[0] for w in ready)])
+        self.handle.registerTimer(rest[-1][0] if rest else last + self.idle_ms)
+        self.state.update((pickle.dumps((m, rest, last)),))
+        return pd.DataFrame(out, columns=self.names)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        m, waiting, last = self._load()
+        pdf = pd.concat(list(rows))
+        at = pdf[self.event_time].astype("datetime64[ms]").astype("int64").tolist()
+        order = pdf[self.order].itertuples(index=False, name=None)
+        waiting += zip(at, order, map(tuple, pdf[self.inputs].itertuples(index=False, name=None)))
+        yield self._fold(key, m, waiting, last, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        if self.state.get() is None:
+            yield pd.DataFrame([], columns=self.names)
+            return
+        m, waiting, last = self._load()
+        if waiting or expiredTimerInfo.getExpiryTimeInMs() < last + self.idle_ms:
+            yield self._fold(key, m, waiting, last, timerValues.getCurrentWatermarkInMs())
+            return
+        self.state.clear()
+        yield pd.DataFrame([(*key, *r) for r in getattr(m, "finish", list)()], columns=self.names)
+
+
 def fold_stream(df: DataFrame, key: str, order: list[str], inputs: list[str], machine: Callable,
-                event_time: str | None = None, late: str = "1 minute") -> DataFrame:
-    """The same machine on a stream; rows later than the watermark are dropped."""
+                event_time: str | None = None, late: str = "1 minute", idle_seconds: int = 1800) -> DataFrame:
+    """The same machine on a stream.
+
+    With ``event_time``, rows wait until the watermark passes them and are folded in order, rows later than it are
+    dropped, and a session that is idle for ``idle_seconds`` is finished and forgotten. Without it, rows are folded as they
+    arrive and a session never ends.
+    """
     schema = _out_schema(df, key, machine)
-    src = df if event_time is None else df.withWatermark(event_time, late)
-    return src.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_Session(key, order, inputs, machine, schema.names),
-        outputStructType=schema, outputMode="Append", timeMode="None")
+    if event_time is None:
+        processor = _Session(key, order, inputs, machine, schema.names)
+        return df.groupBy(key).transformWithStateInPandas(
+            statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    processor = _TimedSession(key, order, inputs, machine, schema.names, event_time=event_time, idle_ms=idle_seconds * 1000)
+    return df.withWatermark(event_time, late).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def ingest_new(spark, schema: T.StructType, source: str, target: str, checkpoint: str, transform=None):
