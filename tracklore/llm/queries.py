@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracklore.plans.registry import QuerySet
 from tracklore.session import shared_dir
 
-from . import decontamination, discriminant, license_scan, packing, pseudonyms, quality_rules, set_join, substring_dedup, token_files, warc
+from . import decontamination, discriminant, license_scan, packing, pseudonyms, quality_rules, set_join, sql, substring_dedup, token_files, warc
 
 Q = QuerySet()
 PUBLIC_KEY = "demonstration key"  # a real run passes its own secret
@@ -39,12 +39,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.report(read(spark, sf_dir, "documents"), PUBLIC_KEY)
 
 
-@Q.add("op7_warc_archives")
+@Q.add("op7_warc_archives", sql.WARC)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archives(spark, read(spark, sf_dir, "pages"))
 
 
-@Q.add("op8_quality_rules")
+@Q.add("op8_quality_rules", sql.quality(quality_rules.RULES, quality_rules.mask(quality_rules.BASE), quality_rules.mask(quality_rules.POLICIES["v2"])))
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(read(spark, sf_dir, "documents"))
 
@@ -54,7 +54,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
-@Q.add("op10_decontamination")
+@Q.add("op10_decontamination", sql.DECONTAMINATION)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
