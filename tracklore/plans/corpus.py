@@ -64,9 +64,9 @@ def _(s, d):
     return r6(C.class_weights(C.class_counts(toks(s, d))), "weight")
 
 
-@Q.add("a8_build_vocab", f"WITH {VOC} SELECT token, id FROM voc")
+@Q.add("a8_build_vocab", f"""WITH {TOK} SELECT token, row_number() OVER (ORDER BY token) + 3 AS id FROM (SELECT DISTINCT token FROM tok)""")
 def _(s, d):
-    return vocab(s, d)
+    return C.build_vocab(toks(s, d))
 
 
 @Q.add("a8_label_ids", """WITH f AS (SELECT source AS label, min(doc_id) AS first FROM documents GROUP BY source)

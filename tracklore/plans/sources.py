@@ -87,12 +87,12 @@ def _(s, d):
 
 
 @Q.add("s13_parallel_corpus", f"""WITH {I.PAIRS}, t AS (SELECT conv_id, turn, {I.WORDS_SQL.format(c="ref")} AS w FROM pair),
-v AS (SELECT token, row_number() OVER (ORDER BY token) + 3 AS id FROM (SELECT DISTINCT unnest(w) AS token FROM t WHERE turn = 0)),
+v AS (SELECT token, row_number() OVER (ORDER BY token) + 3 AS id FROM (SELECT DISTINCT unnest(w) AS token FROM t)),
 p AS (SELECT conv_id * 100 + turn AS key, unnest(w) AS token, unnest(generate_series(1, len(w))) AS i FROM t)
 SELECT key, list_concat(list_concat([1], list(COALESCE(id, 3) ORDER BY i)), [2]) AS ids FROM p LEFT JOIN v USING (token) GROUP BY key""")
 def _(s, d):
     p = I.pairs(s, d).withColumn("key", F.col("conv_id") * 100 + F.col("turn"))
-    voc = C.build_vocab(C.explode_tokens(p.where("turn = 0"), I.words("ref")))
+    voc = C.build_vocab(C.explode_tokens(p, I.words("ref")))
     return C.encode(p, I.words("ref"), voc, "key").select("key", R.with_bounds("ids").alias("ids"))
 
 
