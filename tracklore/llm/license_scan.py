@@ -15,9 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracklore.functions.vectors import let
+
+from . import store
+
 #: Fixed values of the contract: words of a phrase and the label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what separates words
 #: Openings of common public license notices, in words of the same definition.
 NOTICES = {
     "mit": ["released under the mit license",
@@ -40,12 +44,20 @@ LEAST = 0.75  # share of a notice's words that must stand in the span
 
 def words(text: Column) -> Column:
     """Words of a text in lower case (letters beyond A-Z are never told apart by these templates)."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    none = F.array().cast("array<string>")
+
+    def trimmed(w: Column) -> Column:  # a separator at either end leaves an empty word there
+        first, last = (F.when(F.element_at(w, i) == "", 1).otherwise(0) for i in (1, -1))
+        return F.when(F.size(w) > first + last, F.slice(w, first + 1, F.size(w) - first - last)).otherwise(none)
+
+    return let(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), trimmed)
 
 
-def grams(w: Column) -> Column:
-    """Rolling hash of each pair of neighbouring words."""
-    return F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))
+def grams(rows: DataFrame, key: str, w: str, place: str) -> DataFrame:
+    """key, place, gram: the rolling hash of each pair of neighbouring words (the last word stands alone and is left out)."""
+    n = F.size(w)
+    pairs = F.arrays_zip(F.slice(w, 1, n - 1).alias("a"), F.slice(w, 2, n - 1).alias("b"), F.sequence(F.lit(0), n - 2).alias("p"))
+    return rows.where(n >= 2).select(key, F.inline(pairs).alias("a", "b", place)).select(key, place, F.xxhash64("a", "b").alias("gram"))
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -58,17 +70,18 @@ def templates(spark: SparkSession) -> DataFrame:
 def spans(docs: DataFrame) -> DataFrame:
     """Merged candidate spans: scan_doc, template, label, phrase, at (place of the template's first word), last (place behind), words."""
     known = templates(docs.sparkSession)
-    marks = F.broadcast(known.select("template", F.posexplode(grams(F.col("words"))).alias("spot", "gram")))
+    marks = F.broadcast(grams(known, "template", "words", "spot"))
     n_grams = F.size("words") - 1
-    long = docs.select(F.col("doc_id").alias("scan_doc"), words(F.col("text")).alias("w")).where(F.size("w") >= 2)
-    hits = long.select("scan_doc", F.posexplode(grams(F.col("w"))).alias("pos", "gram")).join(marks, "gram")
+    given = docs.select(F.col("doc_id").alias("scan_doc"), words(F.col("text")).alias("w"))
+    hits = grams(given, "scan_doc", "w", "pos").join(marks, "gram")
     votes = hits.groupBy("scan_doc", "template", (F.col("pos") - F.col("spot")).alias("diagonal")).agg(
         F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     votes = votes.join(F.broadcast(known.select("template", "label", "phrase", "words")), "template")
-    exact = votes.where(F.col("phrase") & (F.col("n") >= n_grams)).select(
+    votes = store.kept(votes.where(F.when(F.col("phrase"), F.col("n") >= n_grams).otherwise(F.col("n") > 1)), "votes")  # read twice
+    exact = votes.where("phrase").select(
         "scan_doc", "label", "phrase", "words", F.col("diagonal").alias("at"), (F.col("diagonal") + F.size("words")).alias("end"))
     line = Window.partitionBy("scan_doc", "template").orderBy("diagonal")
-    loose = votes.where(~F.col("phrase") & (F.col("n") > 1)).withColumn("new", (F.col("diagonal") - F.lag("diagonal", 1, -1_000_000).over(line) > SHIFT).cast("int"))
+    loose = votes.where("not phrase").withColumn("new", (F.col("diagonal") - F.lag("diagonal", 1, -1_000_000).over(line) > SHIFT).cast("int"))
     loose = loose.withColumn("run", F.sum("new").over(line)).groupBy("scan_doc", "template", "run").agg(
         F.sum("n").alias("n"), F.min("first").alias("at"), (F.max("last") + 2).alias("end"), *(F.first(c).alias(c) for c in ("label", "phrase", "words")))
     loose = loose.where(F.col("n") >= VOTES * n_grams).select("scan_doc", "label", "phrase", "words", "at", "end")
