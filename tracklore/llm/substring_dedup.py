@@ -53,13 +53,19 @@ def anchors(b: tb.Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return text, start - b.at[text], many, h[low[start]], low[start] - start
 
 
+def packed(text: np.ndarray, k: int) -> np.ndarray:
+    """The k symbols (at most seven, below 512) from each place on as one number."""
+    wide = np.concatenate([text, np.zeros(k, text.dtype)]).astype(np.uint64)
+    key = np.zeros(len(text), np.uint64)
+    for i in range(k):
+        key = key << np.uint64(9) | wide[i:len(text) + i]
+    return key
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of symbols below 512 in the order of their first `depth` symbols or more, by prefix doubling."""
     n = len(text)
-    wide = np.concatenate([text, np.zeros(7, text.dtype)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for i in range(7):
-        key = key << np.uint64(9) | wide[i:n + i]
+    key = packed(text, 7)
     order = np.argsort(key)
     new = np.ones(n + 1, bool)
     new[1:n] = key[order[1:]] != key[order[:-1]]
@@ -88,31 +94,47 @@ def classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
     Breadth-first backward extension: an interval of suffixes that begin with some string gives, for each symbol before
     them, the interval of the longer string. The first time a border is met, the common prefix across it
-    is one shorter than the string; intervals that meet no new border are not taken further.
+    is one shorter than the string; intervals that meet no new border are not taken further. Letters of the transform are
+    runs of k symbols, with k the largest divisor of `length` up to seven, so prefixes grow by k at a time.
     """
+    k = max(d for d in range(1, 8) if length % d == 0)
     n = len(text)
     order = suffix_order(text, length)
-    before = text[order - 1]
-    back = np.empty(n, np.int64)  # backward step of each place
-    back[np.argsort(before, kind="stable")] = np.arange(n)
-    symbol = np.sort(text)
+    letter = packed(text, k)
+    before = letter[order - k]
+    back = np.empty(n, np.int32)  # backward step of each place
+    back[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
+    start = np.ones(n, bool)  # where another first letter begins
+    start[1:] = letter[order[1:]] != letter[order[:-1]]
     border = np.zeros(n + 1, bool)
     border[0] = border[n] = True
-    low, high = np.zeros(1, np.int64), np.full(1, n)
-    for _ in range(length):
-        size = high - low
-        to = back[spread(low, size)]
-        source = np.repeat(np.arange(len(low)), size)
-        by = np.argsort(to)
-        to, source = to[by], source[by]
-        first = np.ones(len(to), bool)
-        first[1:] = (source[1:] != source[:-1]) | (to[1:] != to[:-1] + 1) | (symbol[to[1:]] != symbol[to[:-1]])
+    mark = np.full(n, -1, np.int32)
+    low, high = np.zeros(1, np.int32), np.full(1, n, np.int32)
+    alone = np.zeros(0, np.int32)  # intervals of one suffix
+    for _ in range(length // k):
+        to = back[spread(low, high - low)]
+        source = np.repeat(np.arange(len(low), dtype=np.int32), high - low)
+        if len(to) * 16 > n:  # in order by scattering
+            mark[to] = source
+            to = np.flatnonzero(mark >= 0).astype(np.int32)
+            source = mark[to]
+            mark[to] = -1
+        else:
+            by = np.argsort(to)
+            to, source = to[by], source[by]
+        first = start[to]
+        first[:1] = True
+        first[1:] |= (source[1:] != source[:-1]) | (to[1:] != to[:-1] + 1)
         at = np.flatnonzero(first)
-        low, high = to[at], to[np.append(at[1:], len(to)) - 1] + 1
-        new = ~(border[low] & border[high])
-        border[low] = border[high] = True
+        low, high = to[at], to[np.append(at[1:], len(to)) - 1] + 1 if len(to) else to
+        alone = back[alone]
+        new, fresh = ~(border[low] & border[high]), ~(border[alone] & border[alone + 1])
+        border[low] = border[high] = border[alone] = border[alone + 1] = True
         low, high = low[new], high[new]
-        if not len(low):
+        one = high - low == 1
+        alone = np.concatenate([alone[fresh], low[one]])
+        low, high = low[~one], high[~one]
+        if not len(low) and not len(alone):
             break
     return order, np.cumsum(border[:n]) - 1
 
@@ -131,13 +153,42 @@ def repeated(fragments: list[bytes], weights: np.ndarray, length: int) -> list[n
     return [twice[a:a + n - length + 1] for a, n in zip(first.tolist(), sizes.tolist(), strict=True)]
 
 
+def live(fragments: list[bytes], key: np.ndarray, place: np.ndarray, weights: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """Runs (fragment, first window, window behind) that can be repeated.
+
+    Windows at nearly the same distance before the key share the text around it; where that text occurs once under
+    the key, none of them is repeated.
+    """
+    width = max(1, length // 8)
+    sizes = np.array([len(f) for f in fragments])
+    first = np.cumsum(sizes) - sizes
+    sums = tb.prefix(np.frombuffer(b"".join(fragments), np.uint8), False)
+    low, high = (place - (sizes - length)) // width, place // width  # strips of distance
+    owner = np.repeat(np.arange(len(sizes)), high - low + 1)
+    strip = spread(low, high - low + 1)
+    at = first[owner] + place[owner]
+    core = tb.span_hash(sums, at - strip * width, at - (strip + 1) * width + 1 + length)
+    name = tb.mix(core + key.astype(np.int64).view(np.uint64)[owner] * _SALT + strip.astype(np.uint64))
+    _, same = np.unique(name, return_inverse=True)
+    good = np.bincount(same, weights[owner])[same] >= 2
+    owner, strip = owner[good], strip[good]
+    a = np.maximum(place[owner] - (strip + 1) * width + 1, 0)
+    z = np.minimum(place[owner] - strip * width, sizes[owner] - length) + 1
+    by = np.lexsort((a, owner))
+    owner, a, z = owner[by], a[by], z[by]
+    new = np.ones(len(a), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (a[1:] > z[:-1])
+    head = np.flatnonzero(new)
+    return list(zip(owner[head].tolist(), a[head].tolist(), z[np.append(head[1:], len(a)) - 1].tolist(), strict=True)) if len(a) else []
+
+
 def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(flags.astype(np.int8), prepend=0, append=0))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
 def transformed(parts: DataFrame, length: int) -> DataFrame:
-    """key, name, low, high: ranges of repeated windows of the fragments (key, name, weight, fragment), whole keys together."""
+    """key, name, low, high: ranges of repeated windows of the fragments (key, name, weight, place, fragment), whole keys together."""
 
     def solve(rows):
         """Rows of whole keys, sorted by key; a key of a single fragment is decided by its weight."""
@@ -145,12 +196,14 @@ def transformed(parts: DataFrame, length: int) -> DataFrame:
         alone = np.ones(len(rows), bool)
         alone[1:] &= same[1:] != same[:-1]
         alone[:-1] &= same[1:] != same[:-1]
-        out = [(k, m, 0, len(f) - length + 1) for (k, m, w, f), one in zip(rows, alone, strict=True) if one and w > 1]
+        out = [(k, m, 0, len(f) - length + 1) for (k, m, w, _, f), one in zip(rows, alone, strict=True) if one and w > 1]
         several = [r for r, one in zip(rows, alone, strict=True) if not one]
         if several:
             weights = np.array([min(r[2], 2) for r in several])
-            for r, flags in zip(several, repeated([r[3] for r in several], weights, length), strict=True):
-                out += [(r[0], r[1], a, z) for a, z in _ranges(flags)]
+            runs = live([r[4] for r in several], np.array([r[0] for r in several]), np.array([r[3] for r in several]), weights, length)
+            parts = [several[i][4][a:z - 1 + length] for i, a, z in runs]
+            for (i, low, _), flags in zip(runs, repeated(parts, weights[[i for i, _, _ in runs]], length) if runs else (), strict=True):
+                out += [(several[i][0], several[i][1], low + a, low + z) for a, z in _ranges(flags)]
         return {c: pa.array(v, t) for c, v, t in zip(("key", "name", "low", "high"), zip(*out, strict=True) if out else ((),) * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)}
 
     def rows(batches):
@@ -163,11 +216,11 @@ def transformed(parts: DataFrame, length: int) -> DataFrame:
                         yield solve(held)
                         held, size, done = [], 0, 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield solve(held)
 
-    ordered = parts.select("key", "name", "weight", "fragment").repartition("key").sortWithinPartitions("key")
+    ordered = parts.select("key", "name", "weight", "place", "fragment").repartition("key").sortWithinPartitions("key")
     return store.map_arrow(ordered, rows, "key long, name long, low int, high int")
 
 
