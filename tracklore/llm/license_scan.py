@@ -92,7 +92,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     docs = docs.select("doc_id", "text")
     per_doc = spans(docs).groupBy("scan_doc").agg(F.collect_list(F.struct("label", "phrase", "words", "at", "end")).alias("spans"))
-    joined = docs.join(per_doc, docs["doc_id"].eqNullSafe(F.col("scan_doc")), "left").select("doc_id", words(F.col("text")).alias("w"), "spans")
+    # few or many documents with spans: texts are always joined by the same plan
+    joined = docs.join(per_doc.hint("merge"), docs["doc_id"].eqNullSafe(F.col("scan_doc")), "left").select("doc_id", words(F.col("text")).alias("w"), "spans")
 
     def share(s: Column) -> Column:
         there = F.slice(F.col("w"), s["at"] + 1, s["end"] - s["at"])
