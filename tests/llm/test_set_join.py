@@ -87,3 +87,31 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("shingles", [300, 100_000])
+def test_families_of_many_components_are_compared_in_blocks(spark, monkeypatch, shingles):
+    monkeypatch.setattr(set_join, "SHINGLES", shingles)
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(60):  # copies with edits of their own: some pairs are linked, most are not
+        words = list(base)
+        for k in rng.choice(120, int(rng.integers(1, 6)), replace=False):
+            words[k] = f"e{i}-{k}" if rng.random() < 0.8 else f"e{k}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert table(set_join.linked(df)) == brute(rows)
+
+
+def test_products_find_what_joins_components():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 400, 200).astype(np.uint64)) for _ in range(20)]
+    sets += [np.unique(np.append(s[:-5], rng.integers(500, 900, 4).astype(np.uint64))) for s in sets]
+    n = len(sets)
+    both = lambda a, b: len(set(a.tolist()) & set(b.tolist()))
+    want = {(i, j) for i in range(n) for j in range(i) if 185 * both(sets[i], sets[j]) >= 85 * (len(sets[i]) + len(sets[j]))}
+    for side in (np.zeros(n, int), np.arange(n) % 2, (np.arange(n) >= 20).astype(int)):
+        got = set_join.products(np.arange(n), np.arange(n), side, sets, 85)
+        expected = {(i, j) for i, j in want if side[i] != side[j] or not side.any()}
+        assert {(max(p), min(p)) for p in got} <= expected and len(got) == len(expected)

@@ -8,9 +8,10 @@ count double and are indexed with their one-deletion neighbourhood. A set is ind
 partner can lie there, in the next. Only signatures that different sets share survive (a grouped minimum and
 maximum, no lists), and candidates are verified on whole shingle arrays.
 
-Equal sets are one node throughout, so copies cost nothing. Candidates of a signature are first verified against one
-centre, then pairs that links found so far leave in different components are: a star cannot
-explode, and no link between components is lost. Nodes are named by a 64-bit hash of their set.
+Equal sets are one node throughout, so copies cost nothing. Candidates of a signature are first verified against its
+centre: a star cannot explode. What signatures still hold of different components is compared in blocks of bounded size,
+as products of bit matrices inside a task: no pair of them becomes a row, and only links that join components
+are given, so no link between components is lost. Nodes are named by a 64-bit hash of their set.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; rows of equal doc_id are sets of
 their own that share an id; a null doc_id links like any other but never names a component.
@@ -31,6 +32,8 @@ from . import textbytes as tb
 from .components import components
 
 RATIO = 1.6
+SHINGLES = 200_000  # of a block; a single longer set makes a larger one
+COLUMNS = 2048  # of a bit matrix at a time
 _C = [np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 
 
@@ -214,6 +217,89 @@ def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return store.map_arrow(both, rows, "a long, b long")
 
 
+def mixed(found: DataFrame, root: DataFrame) -> DataFrame:
+    """sig, node, root of the signatures that more than one component has."""
+    of = root.toDF("node", "root")
+    placed = found.join(of, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    several = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return placed.join(several.select("sig"), "sig")
+
+
+def products(node: np.ndarray, root: np.ndarray, side: np.ndarray, tokens: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join different components, of sets on the two sides (of all sets where there is one side)."""
+    size = np.array([len(t) for t in tokens])
+    flat = np.concatenate(tokens)
+    names, column, many = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(tokens)), size)
+    shared = many[column] > 1
+    number = np.cumsum(many > 1) - 1
+    row, column = row[shared], number[column[shared]]
+    one = np.flatnonzero(side == side.min())
+    two = np.flatnonzero(side == side.max())
+    both = np.zeros((len(one), len(two)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, z = np.searchsorted(column, (first, first + COLUMNS))
+        part = np.zeros((len(tokens), COLUMNS), np.float32)
+        part[row[a:z], column[a:z] - first] = 1
+        both += part[one] @ part[two].T
+    good = (100 + percent) * both.astype(np.int64) >= percent * (size[one][:, None] + size[two][None, :])
+    good &= root[one][:, None] != root[two][None, :]
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(good), strict=True):  # only what joins what is apart
+        x, y = top(int(root[one[i]])), top(int(root[two[j]]))
+        if x != y:
+            parent[x] = y
+            out.append((int(node[one[i]]), int(node[two[j]])))
+    return out
+
+
+def blocks(rest: DataFrame, tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of the open signatures (sig, node, root).
+
+    Sets that open signatures connect are a family. A family is dealt into blocks of about `SHINGLES` shingles, every
+    two blocks meet in one group, and a task holds one group at a time.
+    """
+    first = rest.groupBy("sig").agg(F.min("node").alias("low"))
+    families = components(rest.join(first, "sig").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+    member = store.kept(rest.select("node", F.col("root").alias("own")).distinct().join(families.toDF("node", "family"), "node").join(sizes, "node"), "families")
+    dealt = member.groupBy("family").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("n_blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
+    placed = member.join(dealt, "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    given = placed.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "own").join(tokens, "node")
+    given = given.select("family", "x", "y", "block", "node", "own", "tokens").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y")
+
+    def rows(batches):
+        key, held = None, []
+
+        def solve():
+            node, own, side = (np.array([h[i] for h in held], np.int64) for i in (0, 1, 2))
+            pairs = products(node, own, side, [h[3] for h in held], percent)
+            return {"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())}
+
+        for batch in batches:
+            family, x, y, side, node, own = (batch.column(i).to_pylist() for i in range(6))
+            for i in range(batch.num_rows):
+                if (family[i], x[i], y[i]) != key:
+                    if held:
+                        yield solve()
+                    key, held = (family[i], x[i], y[i]), []
+                held.append((node[i], own[i], side[i], np.frombuffer(batch.column(6)[i].as_py(), np.uint64)))
+        if held:
+            yield solve()
+
+    return store.map_arrow(given, rows, "a long, b long")
+
+
 def linked(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
     known = store.kept(measured(docs, k), "set-nodes")
@@ -235,26 +321,23 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     tried = store.kept(fitting(best), "pairs-1")
     links = store.kept(verified(tried, tokens, percent), "links-1")
     root = components(links)
-    # 2: each node with the centres of its signatures that are still in another component; 3: all such pairs
-    for step in (2, 3):
-        of = root.toDF("node", "root")
-        open_ = found.join(of, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-        mixed = open_.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("root", "node")).alias("first")).where("low < high")
-        if step == 2:
-            pairs = open_.join(mixed.select("sig", "first"), "sig").where("root <> first.root").select(F.col("first.node").alias("x"), F.col("node").alias("y"))
-        else:
-            rest = store.kept(open_.join(mixed.select("sig"), "sig"), "open-signatures")
-            other = rest.select("sig", F.col("node").alias("y"), F.col("root").alias("other"))
-            pairs = rest.join(other, "sig").where("root < other").select(F.col("node").alias("x"), "y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = store.kept(fitting(pairs.join(done, ["a", "b"], "left_anti")), f"pairs-{step}")
-        if new.isEmpty():
-            continue
-        more = store.kept(verified(new, tokens, percent), f"links-{step}")
-        tried, links = tried.unionByName(new), links.unionByName(more)
+    # 2: each node with the centres of its signatures that are still in another component
+    open_ = mixed(found, root)
+    centre = open_.groupBy("sig").agg(F.min(F.struct("root", "node")).alias("first"))
+    pairs = open_.join(centre, "sig").where("root <> first.root").select(F.col("first.node").alias("x"), F.col("node").alias("y"))
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    new = store.kept(fitting(pairs.join(done, ["a", "b"], "left_anti")), "pairs-2")
+    more = store.kept(verified(new, tokens, percent), "links-2")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        root = components(links)
+    # 3: whatever signatures still hold of different components, in blocks
+    rest = store.kept(mixed(found, root), "open-signatures")
+    if not rest.isEmpty():
+        more = store.kept(blocks(rest, tokens, sizes, percent), "links-3")
         if not more.isEmpty():
-            root = components(links)
+            root = components(links.unionByName(more))
     of = root.toDF("node", "root")
     placed = known.join(of, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
     names = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("smallest"))
