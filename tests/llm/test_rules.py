@@ -158,6 +158,23 @@ def test_pseudonyms_keep_format_and_invert(value):
     assert pseudonyms.masked(f"{value}, and", b"k" * 32)[0][:-5] == new[4:-4]
 
 
+@pytest.mark.parametrize("value", ["+1 (017) 555-7713", "(132) 555-1352", "374-155-3953", "+44 20 7946 0958 1234", "+500 12345", "233.254.104.120", "0.0.0.0", "255.255.255.255", "192.168.001.010"])
+def test_phones_and_addresses_outside_the_usual_ranges(value):
+    new, counts = pseudonyms.masked(f"see {value} now", b"k" * 32)
+    assert sum(counts.values()) == 1 and value not in new
+    assert pseudonyms.masked(new, b"k" * 32, back=True) == (f"see {value} now", counts)
+    assert pseudonyms.masked("see 256.1.2.3 now", b"k" * 32) == ("see 256.1.2.3 now", {})
+
+
+def test_classes_of_addresses_and_phones_stay_apart():
+    new = lambda v: pseudonyms.masked(v, b"k" * 32)[0]
+    for i in range(200):
+        a, b = f"{224 + i % 32}.{i}.7.9", f"{1 + i}.{i}.7.9"
+        assert not 0 < int(new(a).split(".")[0]) < 224 and 0 < int(new(b).split(".")[0]) < 224
+    assert re.sub(r"\D", "", new("+1 (017) 555-7713"))[1:] == re.sub(r"\D", "", new("017-555-7713"))
+    assert [int(p) for p in new("192.168.001.010").split(".")] == [int(p) for p in new("192.168.1.10").split(".")]
+
+
 def test_feistel_is_a_permutation():
     for size in (2, 10, 97, 1000):
         got = [pseudonyms.permuted(b"k", "t", v, size) for v in range(size)]

@@ -7,6 +7,9 @@ can invert the map. Values: card numbers, IBANs, phone and social-security numbe
 e-mail addresses (letters and digits of the name and host) and hexadecimal credentials after a word that names one.
 
 Defined results: null text stays null and an empty one stays empty; a value that fails its validation is left alone.
+Every phone number of the found form and every address with octets 0-255 is replaced: ten-digit numbers that cannot be
+dialled and addresses that are not unicast are permuted among themselves. Leading zeros of octets stay where the new
+octets leave room for them.
 Work is one narrow pass, so no key or document meets another.
 """
 
@@ -138,10 +141,13 @@ def pseudonym(kind: str, found: str, key: bytes, back: bool = False) -> str | No
         return _fill(found, f"{permuted(key, 'ssn', int(digits), 10 ** 9, ok, back):09d}", "[0-9]") if ok(int(digits)) else None
     if kind == "ip":
         parts = found.split(".")
-        if any(int(p) > 255 or p != str(int(p)) for p in parts):
+        if any(int(p) > 255 for p in parts):
             return None
-        v = permuted(key, "ip", int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, lambda v: 0 < v >> 24 < 224, back) if 0 < int(parts[0]) < 224 else None
-        return None if v is None else ".".join(map(str, v.to_bytes(4, "big")))
+        unicast = lambda v: 0 < v >> 24 < 224
+        given = int.from_bytes(bytes(map(int, parts)), "big")
+        new = permuted(key, "ip", given, 1 << 32, lambda v: unicast(v) == unicast(given), back).to_bytes(4, "big")
+        padded = any(p != str(int(p)) for p in parts)
+        return ".".join(str(n).zfill(len(p) if padded else 1) for n, p in zip(new, parts, strict=True))
     if kind == "date":
         parts = re.split("[-/.]", found)
         if (day := _day(*parts)) is None:
@@ -154,14 +160,11 @@ def pseudonym(kind: str, found: str, key: bytes, back: bool = False) -> str | No
         code = re.match(r"\+([0-9]{1,3})(?![0-9])", found)
         kept = len(code[1]) if code else 0
         own = digits[kept:]
-        if not 7 <= len(own) <= 14 or len(digits) > 15:
-            return None
         nanp = len(own) == 10 and digits[:kept] in ("", "1")
-        ok = (lambda v: str(v).zfill(10)[0] > "1" and str(v).zfill(10)[3] > "1") if nanp else (lambda v: True)
-        if not ok(int(own)):
-            return None
+        dialled = lambda v: not nanp or str(v).zfill(10)[0] > "1" and str(v).zfill(10)[3] > "1"
         tweak = "phone1" if nanp else f"phone{digits[:kept]}-{len(own)}"
-        return _fill(found, digits[:kept] + str(permuted(key, tweak, int(own), 10 ** len(own), ok, back)).zfill(len(own)), "[0-9]")
+        new = permuted(key, tweak, int(own), 10 ** len(own), lambda v: dialled(v) == dialled(int(own)), back)
+        return _fill(found, digits[:kept] + str(new).zfill(len(own)), "[0-9]")
     if kind == "email":
         name, _, host = found.rpartition("@")
         domain, _, top = host.rpartition(".")
