@@ -175,6 +175,21 @@ def test_classes_of_addresses_and_phones_stay_apart():
     assert [int(p) for p in new("192.168.001.010").split(".")] == [int(p) for p in new("192.168.1.10").split(".")]
 
 
+@pytest.mark.parametrize("before, value, behind", [
+    ("pay ", "4111 1111 1111 1111", " 12/26"), ("pay ", "4111 1111 1111 1111", " 123"), ("pay ", "4111-1111-1111-1111", "-12"), ("12 ", "4111 1111 1111 1111", ""), ("no. 77 12 ", "4111111111111111", " 9 9"),
+    ("to ", "DE89 3704 0044 0532 0130 00", " EUR 50"), ("to ", "DE89370400440532013000", " BIC COBADEFF"), ("QQ12 ", "DE89 3704 0044 0532 0130 00", " X"), ("NO99 ", "NO93 8601 1117 947", " NOK 7"),
+])
+def test_cards_and_ibans_inside_longer_runs(before, value, behind):
+    alone, one = pseudonyms.masked(value, b"k" * 32)
+    new, counts = pseudonyms.masked(before + value + behind, b"k" * 32)
+    assert alone != value and counts == one and new == before + alone + behind
+
+
+def test_runs_without_a_value_stay():
+    for text in ("4111111111111112 x", "4111 1111 1111 1112 12", "DE88 3704 0044 0532 0130 00 EUR", "0000 0000 0000 0000 000", "1 2 3 4"):
+        assert pseudonyms.masked(text, b"k" * 32) == (text, {})
+
+
 def test_feistel_is_a_permutation():
     for size in (2, 10, 97, 1000):
         got = [pseudonyms.permuted(b"k", "t", v, size) for v in range(size)]

@@ -9,7 +9,9 @@ e-mail addresses (letters and digits of the name and host) and hexadecimal crede
 Defined results: null text stays null and an empty one stays empty; a value that fails its validation is left alone.
 Every phone number of the found form and every address with octets 0-255 is replaced: ten-digit numbers that cannot be
 dialled and addresses that are not unicast are permuted among themselves. Leading zeros of octets stay where the new
-octets leave room for them.
+octets leave room for them. A card or IBAN is also found in front of more symbols, if a separator ends it; the longest
+start with right check digits is taken (an IBAN by the length of its country). The inverse finds values anew, so where a
+card stands before more digits it may read a longer card.
 Work is one narrow pass, so no key or document meets another.
 """
 
@@ -41,6 +43,11 @@ _PATTERN = re.compile(
   | (?P<card>(?<![0-9A-Za-z])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z]))
     """, re.VERBOSE)
 _HINT = re.compile(r"[0-9]")
+#: Symbols of an IBAN by country.
+_IBAN = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
 _DIGITS, _LETTERS, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 
 
@@ -181,21 +188,32 @@ def _written(ordinal: int, order: str) -> list[str]:
     return [part[c] for c in order]
 
 
+def _readings(kind: str, found: str) -> list[str]:
+    """What may be the value in a run of symbols, best first: the run, or a start of it that ends at a separator."""
+    if kind == "card":
+        return [found, *(found[:m.start()] for m in reversed(list(re.finditer("[ -]", found))))]
+    if kind == "iban" and found[:2] in _IBAN:
+        fixed = re.match("(?:[A-Z0-9] ?){%d}[A-Z0-9](?= )" % (_IBAN[found[:2]] - 1), found)
+        return [fixed[0], found] if fixed else [found]
+    return [found]
+
+
 def masked(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with its valid values permuted, and how many of each kind."""
     counts: dict[str, int] = {}
     if not _HINT.search(text) and "@" not in text:
         return text, counts
 
-    def one(m: re.Match) -> str:
-        kind = m.lastgroup
-        new = pseudonym(kind, m[0], key, back)
-        if new is None:
-            return m[0]
-        counts[kind] = counts.get(kind, 0) + 1
-        return new
-
-    return _PATTERN.sub(one, text), counts
+    out, done, at = [], 0, 0
+    while m := _PATTERN.search(text, at):
+        kind, at = m.lastgroup, m.start() + 1  # one symbol further, if there is no value
+        for found in _readings(kind, m[0]):
+            if (new := pseudonym(kind, found, key, back)) is not None:
+                counts[kind] = counts.get(kind, 0) + 1
+                out += [text[done:m.start()], new]
+                done = at = m.start() + len(found)
+                break
+    return "".join([*out, text[done:]]), counts
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
