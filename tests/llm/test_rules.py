@@ -197,6 +197,27 @@ def test_feistel_is_a_permutation():
         assert [pseudonyms.permuted(b"k", "t", v, size, back=True) for v in got] == list(range(size))
 
 
+@pytest.mark.parametrize("n", [38, 40, 46, 300, 9000])
+def test_long_names_and_hosts(n):
+    rng = np.random.default_rng(n)
+    name, host = ("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n)) for _ in range(2))
+    value = f"{name}@{host}.example.org"
+    new, counts = pseudonyms.masked(f"see {value} now", b"k" * 32)
+    assert counts == {"email": 1} and pseudonyms.masked(new, b"k" * 32, back=True) == (f"see {value} now", counts)
+    for a, b in zip((name, host), re.match("see ([a-z]*)@([a-z]*)", new).groups(), strict=True):
+        for part in (slice(0, n // 2), slice(n // 2, n)):  # no part of a name stays
+            assert sum(x == y for x, y in zip(a[part], b[part], strict=True)) < n // 6 + 4
+
+
+@pytest.mark.parametrize("n", [12, 13, 65, 128])
+def test_long_credentials_change_everywhere(n):
+    value = ("0123456789abcdef" * 8)[:n]
+    new, counts = pseudonyms.masked(f"token={value}", b"k" * 32)
+    assert counts == {"secret": 1} and pseudonyms.masked(new, b"k" * 32, back=True)[0] == f"token={value}"
+    for part in (slice(6, 6 + n // 4), slice(6 + n // 4, 6 + n // 2), slice(6 + n // 2, 6 + 3 * n // 4), slice(6 + 3 * n // 4, 6 + n)):
+        assert sum(x == y for x, y in zip(new[part], f"token={value}"[part], strict=True)) < n // 8 + 3
+
+
 def test_pseudonyms_leave_the_rest_alone(spark, docs, rows, none):
     got = {(r["doc_id"], r["text"]): r for r in pseudonyms.report(docs, "k").collect()}
     for d, t in rows:

@@ -20,6 +20,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import hmac
+import math
 import re
 from functools import lru_cache
 
@@ -54,9 +55,14 @@ _DIGITS, _LETTERS, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "012345678
 def feistel(key: bytes, tweak: str, value: int, left: int, right: int, back: bool = False) -> int:
     """Keyed permutation of 0..left*right-1 (an unbalanced Feistel network of ROUNDS rounds); `back` inverts it."""
     a, b = divmod(value, right)
+    wide = max(left, right).bit_length()
     for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
         x, size = (b, left) if i % 2 == 0 else (a, right)
-        f = int.from_bytes(hmac.digest(key, f"{tweak}|{left}|{right}|{i}|{x}".encode(), "sha256")[:16], "big")
+        if wide <= 128:
+            f = int.from_bytes(hmac.digest(key, f"{tweak}|{left}|{right}|{i}|{x}".encode(), "sha256")[:16], "big")
+        else:  # as many bytes as the half needs, else its first symbols would stay; hexadecimal, as decimals are limited to 4,300
+            seed = hmac.digest(key, f"{tweak}|{left:x}|{right:x}|{i}|{x:x}".encode(), "sha256")
+            f = int.from_bytes(hashlib.shake_256(seed).digest(wide // 8 + 9), "big")
         if back:
             f = -f
         if i % 2 == 0:
@@ -68,9 +74,7 @@ def feistel(key: bytes, tweak: str, value: int, left: int, right: int, back: boo
 
 def permuted(key: bytes, tweak: str, value: int, size: int, valid=lambda v: True, back: bool = False) -> int:
     """Permutation of the valid numbers below `size`: walk the cycle of a Feistel network on a slightly larger square."""
-    root = max(2, int(size ** 0.5))
-    while root * root < size:
-        root += 1
+    root = max(2, math.isqrt(size - 1) + 1)
     for _ in range(1 << 20):
         value = feistel(key, tweak, value, root, root, back)
         if value < size and valid(value):
