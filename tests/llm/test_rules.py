@@ -77,6 +77,23 @@ def test_decontamination_matches_brute_force(spark, docs, rows, none):
     assert not any(r["contaminated"] for r in decontamination.decontaminate(docs, bench.limit(0)).collect())
 
 
+def test_rows_of_one_doc_id_are_judged_by_their_own_text(spark):
+    filler = [f"f{i}" for i in range(900)]
+    long_ = " ".join([*filler[:500], PASSAGE, *filler[500:]])
+    short, other = " ".join(filler[:40]), " ".join(filler[860:]) + " " + PASSAGE
+    rows = [(d, t) for d in (7, None) for t in (long_, short, other, "", None)] + [(7, long_), (8, short)]
+    items = [(1, PASSAGE), (2, " ".join(PASSAGE.split()[30:60]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = table(decontamination.decontaminate(df, spark.createDataFrame(items, "item_id long, text string")))
+    assert got == contaminated(rows, items)
+
+
+def test_seeds_outside_the_text_or_on_other_words_give_no_run():
+    words, item = PASSAGE.split()[:20], PASSAGE.split()
+    assert decontamination.extended(words, item, [(500, 3), (21, 2), (20, 20), (5, 7)], 13) == []
+    assert decontamination.extended(words, item, [(500, 3), (4, 4)], 13) == [(0, 20)]
+
+
 @pytest.mark.parametrize("span", range(1, 16))
 def test_winnowing_guarantee(span):
     rng = np.random.default_rng(span)

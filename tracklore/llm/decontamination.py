@@ -76,7 +76,7 @@ def extended(words: list[str], item: list[str], seeds, span: int) -> list[tuple[
     """Maximal runs (first, end) of equal words through the seeds (place in words, place in item), of min(span, item) or more."""
     need, done, out = min(span, len(item)), {}, []
     for p, q in sorted(seeds):
-        if p < done.get(p - q, 0):
+        if p < done.get(p - q, 0) or p >= len(words) or words[p] != item[q]:  # equal hashes of different words
             continue
         a, i = p, q
         while a and i and words[a - 1] == item[i - 1]:
@@ -98,15 +98,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 13) -> Data
         .groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("ids")).select(F.md5("words").alias("item"), "words", "ids"), "items")
     size = F.least(F.size(F.split("words", " ")), F.lit(span))
     lengths = sorted({r[0] for r in items.select(size.alias("n")).distinct().collect()})  # at most `span` numbers
-    given = store.texts(docs, "doc_id")
+    given = store.texts(docs, "doc_id").withColumn("_row", F.xxhash64("doc_id", "text"))  # rows of equal doc_id have places of their own
     marks = store.kept(fingerprints(items.select("item", "words"), span, None), "item-fingerprints")
     marks = marks.select(F.col("key").alias("item"), F.col("pos").alias("item_pos"), "fp")
     seeds = (
-        fingerprints(given, span, lengths).join(marks, "fp").select(F.col("key").alias("seed_doc"), "item", "pos", "item_pos")
-        .groupBy("seed_doc", "item").agg(F.collect_set(F.struct("pos", "item_pos")).alias("at"))
-        .join(items, "item").groupBy("seed_doc").agg(F.collect_list(F.struct("words", "ids", "at")).alias("seeds"))
+        fingerprints(given.select("_row", "text"), span, lengths).join(marks, "fp").select(F.col("key").alias("_row"), "item", "pos", "item_pos")
+        .groupBy("_row", "item").agg(F.collect_set(F.struct("pos", "item_pos")).alias("at"))
+        .join(items, "item").groupBy("_row").agg(F.collect_list(F.struct("words", "ids", "at")).alias("seeds"))
     )
-    joined = given.join(store.kept(seeds, "seeds"), given["doc_id"].eqNullSafe(F.col("seed_doc")), "left").select("doc_id", "text", "seeds")
+    joined = given.join(store.kept(seeds, "seeds"), "_row", "left").select("doc_id", "text", "seeds")
 
     def rows(batches):
         for batch in batches:
