@@ -44,6 +44,32 @@ def test_stages_match_brute_force(spark, docs, rows, tmp_path):
     assert table(corpus_pipeline.run(spark, sf).select(*digest)) == table(last.select(*digest))
 
 
+def between_the_rules():
+    """Pairs with a 5-word similarity from 0.8 up and a 4-word one below 0.85, and pairs below 0.8 by 5 words."""
+    def changed(words, n):
+        return [f"new{i}" if i % (len(words) // n) == len(words) // n // 2 and i // (len(words) // n) < n else w for i, w in enumerate(words)]
+
+    texts, linked_ = [], []
+    for j, (size, tail, edits, near) in enumerate([(400, 71, 0, True), (400, 99, 0, True), (400, 100, 0, False), (100, 0, 2, True), (1000, 0, 21, True), (1000, 0, 22, True), (1000, 0, 23, False), (60, 0, 1, True), (70, 15, 0, True), (70, 17, 0, False)]):
+        words = [f"p{j}w{i}" for i in range(size)]
+        other = (changed(words, edits) if edits else words) + [f"p{j}t{i}" for i in range(tail)]
+        texts += [(2 * j, " ".join(words)), (2 * j + 1, " ".join(other))]
+        linked_.append(near)
+    return texts, linked_
+
+
+def test_near_duplicates_are_linked_by_five_words_and_80_percent(spark, rows):
+    pairs, near = between_the_rules()
+    data = sorted({(d, t) for d, t in rows if t and t.strip() and d is not None and d not in (8,)}) + [(1000 + d, t) for d, t in pairs]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    first = {d for d, _, g in linked(data, k=5, percent=80) if d == g}
+    assert [1001 + 2 * j not in first for j in range(len(near))] == near
+    apart = {d for d, _, g in linked(data) if d == g}
+    assert sum(1001 + 2 * j in apart and n for j, n in enumerate(near)) >= 5
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, None)
+    assert {r["doc_id"] for r in got.collect()} == first and got.count() == len(first)
+
+
 def test_an_empty_table_passes_all_stages(spark, docs, tmp_path):
     sf = prepared(spark, docs.limit(0), tmp_path, [(1, "x")])
     assert corpus_pipeline.run(spark, sf).collect() == []

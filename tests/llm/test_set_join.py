@@ -12,13 +12,13 @@ from .conftest import table
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
-def shingle_set(text):
+def shingle_set(text, k=4):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    return frozenset(tuple(words[i:i + 4]) for i in range(max(1, len(words) - 3))) if words else frozenset()
+    return frozenset(tuple(words[i:i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
 
 
-def brute(rows):
-    sets = [(d, shingle_set(t)) for d, t in rows]
+def brute(rows, k=4, percent=85):
+    sets = [(d, shingle_set(t, k)) for d, t in rows]
     distinct = list(dict.fromkeys(s for _, s in sets if s))
     parent = list(range(len(distinct)))
 
@@ -37,7 +37,7 @@ def brute(rows):
             for j in where[x]:
                 common[j] += j < i
         for j, both in common.items():
-            if 100 * both >= 85 * (len(s) + len(distinct[j]) - both):
+            if 100 * both >= percent * (len(s) + len(distinct[j]) - both):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     smallest = defaultdict(list)
     number = {s: i for i, s in enumerate(distinct)}
@@ -83,6 +83,20 @@ def test_linked_sets_share_a_signature(size):
         assert set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist()), (trial, cut, len(b))
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_linked_sets_of_any_threshold_share_a_signature(percent):
+    rng = np.random.default_rng(percent)
+    for size in [*range(1, 40), *range(40, 1500, 61)]:
+        apart = (100 - percent) * 2 * size // (100 + percent)
+        cut = int(rng.integers(0, apart + 1))
+        a = rng.integers(0, 1 << 62, size).astype(np.uint64)
+        b = np.concatenate([a[cut:], rng.integers(0, 1 << 62, int((100 - percent) * size / percent) if not cut else int(rng.integers(0, apart - cut + 1))).astype(np.uint64)])
+        if (100 + percent) * (size - cut) < percent * (len(a) + len(b)):
+            continue
+        sig, doc = set_join.signatures(np.concatenate([np.sort(a), np.sort(b)]), np.array([0, len(a), len(a) + len(b)]), percent)
+        assert set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist()), (size, cut, len(b))
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}

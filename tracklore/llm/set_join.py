@@ -31,7 +31,6 @@ from . import store
 from . import textbytes as tb
 from .components import components
 
-RATIO = 1.6
 SHINGLES = 200_000  # of a block; a single longer set makes a larger one
 COLUMNS = 2048  # of a bit matrix at a time
 _C = [np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
@@ -50,11 +49,11 @@ class Band:
 
 @lru_cache(10_000)
 def band(index: int, percent: int) -> Band:
-    lo, hi = edge(index), edge(index + 1) - 1
+    lo, hi = edge(index, percent), edge(index + 1, percent) - 1
     apart = (100 - percent) * 2 * hi // (100 + percent)  # |r| + |s| - 2 |r and s| of linked sets up to hi
     best = None
     for double in range(apart // 2 + 2) if hi <= 64 else (0,):
-        slack = apart // 8 if not double else 0
+        slack = apart // (8 if percent >= 85 else 2) if not double else 0
         m = max(apart + 1 + slack - double, double, 1)
         mean = lo / m
         empty = np.exp(-mean) * (1 + mean * (double > 0))
@@ -65,8 +64,10 @@ def band(index: int, percent: int) -> Band:
 
 
 @lru_cache(10_000)
-def edge(index: int) -> int:
-    return index + 1 if index < 3 else max(edge(index - 1) + 1, int(edge(index - 1) * RATIO))
+def edge(index: int, percent: int) -> int:
+    """Smallest size of a band. Lower thresholds mean smaller segments, so their bands are narrower; a partner is at most one band away."""
+    ratio = 1.6 if percent >= 85 else max(1.3, 104 / percent)
+    return index + 1 if index < 3 else max(edge(index - 1, percent) + 1, int(edge(index - 1, percent) * ratio))
 
 
 def sets(b: tb.Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,12 +110,12 @@ def nodes(token: np.ndarray, at: np.ndarray) -> np.ndarray:
 def signatures(token: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(signature, number of its set) of all sets token[at[i]:at[i+1]]."""
     size = np.diff(at)
-    edges = [edge(0)]
+    edges = [edge(0, percent)]
     while edges[-1] <= size.max(initial=0):
-        edges.append(edge(len(edges)))
+        edges.append(edge(len(edges), percent))
     own = np.searchsorted(edges, size, "right") - 1
     nxt = own + 1
-    up = (size > 0) & (100 * size >= percent * np.array([edge(i) for i in range(len(edges) + 1)])[nxt])
+    up = (size > 0) & (100 * size >= percent * np.array([edge(i, percent) for i in range(len(edges) + 1)])[nxt])
     out = [_signed(token, at, np.flatnonzero(size > 0), own, percent), _signed(token, at, np.flatnonzero(up), nxt, percent)]
     return np.concatenate([s for s, _ in out]), np.concatenate([d for _, d in out])
 
