@@ -20,6 +20,14 @@ def test_transcripts_sniff_clean_and_override(spark, tmp_path):
     assert got == {"x1-rgb_front": "old", "x1": "new", "y": "keep"}
 
 
+def test_transcripts_of_unknown_headers_take_first_and_last_column(spark, tmp_path):
+    files = {"a.csv": "foo,bar,baz\nx1,1,one\n", "b.csv": "clip_id,bar,baz\nx2,2,two\n", "c.tsv": "foo\ttext\tbar\nx3\tthree\t3\n", "d.csv": "sentence_name,said\nx4,four\n"}
+    for name, content in files.items():
+        (tmp_path / name).write_text(content)
+    got = {r.clip_id: r.text for r in R.transcripts(spark, [str(tmp_path / n) for n in files]).collect()}
+    assert got == {"x1": "one", "x2": "two", "x3": "three", "x4": "four"}
+
+
 def test_nested_index_shifts_start(spark, tmp_path):
     p = tmp_path / "i.json"
     p.write_text(json.dumps([{"gloss": "BOOK", "instances": [

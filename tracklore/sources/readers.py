@@ -40,7 +40,8 @@ def resolve_column(columns: Sequence[str], names: Sequence[str]) -> str | None:
 def transcripts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """clip_id and text of delimited files; later files win over earlier ones.
 
-    The delimiter is the one of , ; tab | that splits the header most.  Each row
+    The delimiter is the one of , ; tab | that splits the header most.  A header
+    without a known name for the id or the text gives its first or last column.  Each row
     answers to its id and to the id without a front-camera suffix.
     """
     parts = []
@@ -50,9 +51,8 @@ def transcripts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             continue
         sep = max("\t,;|", key=header[0][0].count)
         rows = spark.read.csv(path, sep=sep, header=True, multiLine=False, quote='"', escape='"')
-        key, text = resolve_column(rows.columns, ID_NAMES), resolve_column(rows.columns, TEXT_NAMES)
-        if key is None or text is None:
-            continue
+        key = resolve_column(rows.columns, ID_NAMES) or rows.columns[0]
+        text = resolve_column([c for c in rows.columns if c != key], TEXT_NAMES) or rows.columns[-1]
         parts.append(rows.select(
             F.trim(F.col(f"`{key}`")).alias("raw"), F.trim(F.col(f"`{text}`")).alias("text"), F.lit(order).alias("file_no"),
             F.monotonically_increasing_id().alias("row_no")))
