@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and of the pipeline, with their SQL where SQL can say it."""
+"""Registered queries of the operators and of the pipeline, with their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracklore.plans.registry import QuerySet
 from tracklore.session import shared_dir
 
-from . import decontamination, discriminant, license_scan, packing, pseudonyms, quality_rules, set_join, sql, substring_dedup, token_files, warc
+from . import decontamination, discriminant, license_scan, merkle, packing, pseudonyms, quality_rules, set_join, spelling_groups, sql, substring_dedup, token_files, toxicity, warc
 
 Q = QuerySet()
 PUBLIC_KEY = "demonstration key"  # a real run passes its own secret
@@ -69,6 +69,21 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.linked(read(spark, sf_dir, "documents"))
 
 
+@Q.add("op11_spelling_groups", sql.SPELLING)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.groups(read(spark, sf_dir, "documents"))
+
+
+@Q.add("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@Q.add("op13_merkle_manifest", sql.merkle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(read(spark, sf_dir, "documents"))
+
+
 @Q.add("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
