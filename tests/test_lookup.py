@@ -10,8 +10,8 @@ from tracklore.functions import edit
 from tracklore.operators import similarity as S
 from tracklore.operators import spelling as P
 
-WORDS = {"hello": 50, "help": 40, "held": 12, "world": 60, "word": 70, "old": 30, "cold": 20, "name": 90, "game": 15}
-PAIRS = {("hello", "world"): 500, ("cold", "game"): 90, ("help", "old"): 300}
+WORDS = {"hello": 50, "help": 40, "held": 12, "world": 60, "word": 70, "old": 30, "cold": 20, "name": 90, "game": 15, "you": 8, "my": 3, "mr": 900, "anne": 50}
+PAIRS = {("hello", "world"): 500, ("cold", "game"): 90, ("help", "old"): 300, ("you", "game"): 4000, ("my", "name"): 12}
 
 
 def levenshtein(a, b):
@@ -24,12 +24,87 @@ def levenshtein(a, b):
     return row[-1]
 
 
+def scalar_cost(s, w):
+    """The cost of one pair, cell by cell."""
+    if s == w:
+        return 0.0
+    if (s, w) in edit.SHORT_FORMS:
+        return 0.1
+    alike = lambda a, b: any({a.upper(), b.upper()} <= g for g in edit.CONFUSION_GROUPS)
+    row = [float(j) for j in range(len(w) + 1)]
+    for i, a in enumerate(s, 1):
+        new = [float(i)]
+        for j, b in enumerate(w, 1):
+            add = 0.15 if (j > 1 and w[j - 2] == b and a != b) or (j == len(w) and b == "e") else 1.0
+            swap = 0.0 if a == b else 0.35 if alike(a, b) else 1.0
+            new.append(min(row[j] + (0.20 if i > 1 and s[i - 2] == a else 1.0), new[-1] + add, row[j - 1] + swap))
+        row = new
+    return row[-1]
+
+
+def test_costs_of_many_pairs():
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("aabemnué1") for _ in range(rnd.randint(0, 12)))
+    pairs = [(word(), word()) for _ in range(3000)] + [("u", "you"), ("", ""), ("", "e"), ("x" * 70, "x" * 69 + "e")]
+    got = edit.spelling_costs([a for a, _ in pairs], [b for _, b in pairs], cells=500)
+    assert np.allclose(got, [scalar_cost(a, b) for a, b in pairs])
+
+
+def near_words(spark, words, terms, crowd):
+    q = spark.createDataFrame([(w,) for w in words], "word string")
+    u = spark.createDataFrame([(t, 7) for t in terms], "word string, freq long")
+    return P.near_pairs(q, u, crowd=crowd)
+
+
+def test_segment_index_finds_all_pairs(spark):
+    rnd = random.Random(8)
+    base = ["".join(rnd.choice("abc") for _ in range(rnd.randint(0, 9))) for _ in range(120)] + ["https://a.example/" + "".join(rnd.choice("xyz") for _ in range(5)) for _ in range(80)]
+    def changed(w):
+        for _ in range(rnd.randint(0, 3)):
+            p = rnd.randrange(len(w) + 1)
+            w = rnd.choice([w[:p] + "b" + w[p:], w[:p] + w[p + 1:], w[:p] + "c" + w[p + 1:]])
+        return w
+    words = sorted({changed(w) for w in base} | {"", "é", "éé"})
+    want = {(w, t): n for w in words for t in set(base) if (n := levenshtein(w, t)) <= 2}
+    for crowd in (1, 6, 10 ** 6):  # every key cut again, some, none
+        got = near_words(spark, [*words, None], sorted(set(base)), crowd).collect()
+        assert len(got) == len(want) and {(r.word, r.term): r.distance for r in got} == want
+
+
+def test_words_with_a_common_beginning_meet_few_candidates(spark):
+    """Address-like words: the pairs compared grow with the input, not with its square."""
+    rnd = random.Random(1)
+    rows = {}
+    for n in (2000, 8000):
+        urls = sorted({"https://www.example.org/page/" + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(n)})
+        near = near_words(spark, [u[:-3] + "q" + u[-2:] for u in urls], urls, 64)
+        assert near.count() >= n - 1
+        plan = near._jdf.queryExecution().executedPlan()
+        rows[n] = max(int(m.split(":")[1]) for m in compared(plan))
+    assert rows[8000] < 8 * rows[2000] and rows[8000] < 40 * 8000
+
+
+def compared(plan):
+    """Output rows of the joins of an executed plan."""
+    plan = plan.finalPhysicalPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    plan = plan.plan() if "QueryStage" in plan.nodeName() else plan
+    if "Join" in plan.nodeName():
+        yield f"{plan.nodeName()}:{plan.metrics().apply('numOutputRows').value()}"
+    for i in range(plan.children().size()):
+        yield from compared(plan.children().apply(i))
+
+
 def best(word, prev):
-    """Straight restatement: nearest twelve, then cost with frequency and context."""
+    """Straight restatement: settled words, else nearest twelve, then cost with frequency and context."""
+    if word in ("anna",) or len(word) <= 1 and not (
+            word == "u" and prev in ("can", "how") or word == "r" and prev == "you" or word in ("i", "l") and prev in (None, "and")):
+        return word
+    if len(word) == 1:
+        return {"u": "you", "r": "are"}.get(word, "i")
     near = sorted((levenshtein(word, t), -f, t) for t, f in WORDS.items() if levenshtein(word, t) <= 2)[:12]
     def cost(t):
-        c = edit.spelling_cost(word, t) - 0.25 * math.log10(max(10, WORDS[t]))
-        return c - (0.25 * math.log10(max(10, PAIRS[prev, t])) if (prev, t) in PAIRS else 0)
+        c = scalar_cost(word, t) - 0.25 * math.log10(max(10, {"name": 4500000000, "hello": 5000000000, "help": 4000000000, "you": 6000000000, "my": 5000000000}.get(t, WORDS[t])))
+        return c - 3 if (prev, t) in {("hello", "my"), ("my", "name")} else c - (0.25 * math.log10(max(10, PAIRS[prev, t])) if (prev, t) in PAIRS else 0)
     return min(((round(cost(t), 9), i, t) for i, (_, _, t) in enumerate(near)), default=(0, 0, word))[2]
 
 
@@ -41,16 +116,19 @@ def tables(spark):
 
 def test_phrases_and_candidates(spark):
     u, b = tables(spark)
-    phrases = [["helo", "wrld"], ["hepl", "ol"], ["cod", "gme", "zzzzz"], ["nam"], ["wold", "wold"]]
+    phrases = [["helo", "wrld"], ["hepl", "ol"], ["cod", "gme", "zzzzz"], ["nam"], ["wold", "wold"], ["helo", "mi", "nme"], ["anna", "cn", "u", "gme"], ["i", "r", "l"], ["can", "u", "r", "nae"], ["u", "gme"]]
     rows = [(i, j, w) for i, p in enumerate(phrases) for j, w in enumerate(p)]
     got = {r.key: r.words for r in P.correct_phrases(
-        spark.createDataFrame(rows, "key int, pos int, word string"), u, b, "key").collect()}
+        spark.createDataFrame(rows, "key int, pos int, word string"), u, b, "key", ["anna"]).collect()}
     for i, p in enumerate(phrases):
-        prev, want = "", []
+        prev, want = None, []
         for w in p:
             prev = best(w, prev)
             want.append(prev)
         assert got[i] == want
+    pairs = [(i, w, p) for i, (w, p) in enumerate((w, x) for w in {w for p in phrases for w in p} for x in (None, "hello", "my", "can", "you", "help"))]
+    single = P.correct_words(spark.createDataFrame(pairs, "key int, word string, prev string"), u, b, ["anna"]).collect()
+    assert {r.key: r.corrected for r in single} == {i: best(w, p) for i, w, p in pairs}
     words = sorted({w for p in phrases for w in p})
     c = P.candidates(spark.createDataFrame([(w,) for w in words], "word string"), u).collect()
     assert {(r.word, r.term) for r in c} == {(w, t) for w in words for t in WORDS if levenshtein(w, t) <= 2}

@@ -76,36 +76,79 @@ def lcs_len(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(list(r), list(h)) for r, h in zip(ref, hyp)], dtype="int64")
 
 
-# fixed values: handshapes that are easily taken for one another
-CONFUSION_GROUPS = ("MNTSAE", "UVRWK", "DLIJZ1", "COB", "GHPQ")
+# fixed values: handshapes that are easily taken for one another, and short forms with the words they stand for
+CONFUSION_GROUPS = (
+    {"M", "N", "T", "S", "A", "E"},
+    {"U", "V", "R", "W", "K"},
+    {"D", "L", "I", "J", "Z", "1"},
+    {"C", "O", "B"},
+    {"G", "H", "P", "Q"},
+)
 SHORT_FORMS = {("u", "you"), ("r", "are"), ("ur", "your")}
-_ALIKE = {frozenset((a, b)) for g in CONFUSION_GROUPS for a in g.lower() for b in g.lower() if a != b}
+_GROUP = np.zeros(128, np.int8)
+for _n, _group in enumerate(CONFUSION_GROUPS, 1):
+    for _letter in _group:
+        _GROUP[ord(_letter.lower())] = _n
+
+
+def _codes(words: list[str], width: int) -> np.ndarray:
+    return np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), width)
+
+
+def _together(typed: list[str], words: list[str]) -> np.ndarray:
+    """One table of costs for all pairs, each cell a vector over the pairs; a pair reads its own last cell."""
+    n, m = (np.array([len(x) for x in side]) for side in (typed, words))
+    s, w = _codes(typed, max(int(n.max()), 1)), _codes(words, max(int(m.max()), 1))
+    of_s, of_w = (np.where(x < 128, _GROUP[np.minimum(x, 127)], 0) for x in (s, w))
+    row = np.tile(np.arange(w.shape[1] + 1.0)[:, None], (1, len(n)))
+    out = np.where(n == 0, m.astype(float), 0.0)
+    last_e = np.zeros(w.shape, bool)
+    ends = m > 0
+    last_e[ends, m[ends] - 1] = w[ends, m[ends] - 1] == ord("e")
+    for i in range(s.shape[1]):
+        a = s[:, i]
+        drop = np.where(s[:, i - 1] == a, 0.20, 1.0) if i else np.ones(len(n))
+        new = np.empty_like(row)
+        new[0] = i + 1
+        for j in range(w.shape[1]):
+            b = w[:, j]
+            doubled = (w[:, j - 1] == b) & (a != b) if j else np.zeros(len(n), bool)
+            add = np.where(doubled | last_e[:, j], 0.15, 1.0)
+            swap = np.where(a == b, 0.0, np.where((of_s[:, i] == of_w[:, j]) & (of_s[:, i] > 0), 0.35, 1.0))
+            new[j + 1] = np.minimum(np.minimum(row[j + 1] + drop, new[j] + add), row[j] + swap)
+        row = new
+        done = n == i + 1
+        out[done] = row[m[done], np.flatnonzero(done)]
+    return out
+
+
+def spelling_costs(typed: list[str], words: list[str], cells: int = 1 << 21) -> np.ndarray:
+    """Edit cost of fingerspelling of many pairs: alike handshapes, lost doubles and a lost final 'e' are cheap, and so
+    is deleting a repeat.  Equal pairs are computed once, pairs of like lengths together, at most `cells` cells of a row of the
+    tables at a time."""
+    pairs = [(a.strip().lower(), b.strip().lower()) for a, b in zip(typed, words)]
+    cost = dict.fromkeys(pairs, 0.0)
+    for pair in cost.keys() & SHORT_FORMS:
+        cost[pair] = 0.1
+    classes: dict = {}
+    for a, b in cost:
+        if a != b and (a, b) not in SHORT_FORMS:
+            classes.setdefault((-(-len(a) // 4), -(-len(b) // 4)), []).append((a, b))
+    for (_, long), some in classes.items():
+        step = max(1, cells // (4 * long + 1))
+        for first in range(0, len(some), step):
+            part = some[first:first + step]
+            cost.update(zip(part, _together([a for a, _ in part], [b for _, b in part]).tolist()))
+    return np.array([cost[p] for p in pairs], dtype=float)
 
 
 def spelling_cost(typed: str, word: str) -> float:
-    """Edit cost of fingerspelling: alike handshapes, lost doubles and a lost final
-    'e' are cheap, and so is deleting a repeat."""
-    s, w = typed.strip().lower(), word.strip().lower()
-    if s == w:
-        return 0.0
-    if (s, w) in SHORT_FORMS:
-        return 0.1
-    row = [float(j) for j in range(len(w) + 1)]
-    for i, a in enumerate(s, 1):
-        drop = 0.20 if i > 1 and s[i - 2] == a else 1.0
-        new = [float(i)]
-        for j, b in enumerate(w, 1):
-            doubled = j > 1 and w[j - 2] == b and a != b
-            add = 0.15 if doubled or (j == len(w) and b == "e") else 1.0
-            swap = 0.0 if a == b else 0.35 if frozenset((a, b)) in _ALIKE else 1.0
-            new.append(min(row[j] + drop, new[-1] + add, row[j - 1] + swap))
-        row = new
-    return row[-1]
+    return float(spelling_costs([typed], [word])[0])
 
 
 @F.pandas_udf(T.DoubleType())
 def spelling_distance(typed: pd.Series, word: pd.Series) -> pd.Series:
-    return pd.Series([spelling_cost(a, b) for a, b in zip(typed, word)], dtype="float64")
+    return pd.Series(spelling_costs(typed.to_list(), word.to_list()))
 
 
 def dtw_costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:

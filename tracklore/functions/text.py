@@ -13,6 +13,22 @@ NEGATIONS = ("not", "n't", "no", "never", "none", "cannot", "cant", "wont", "don
              "hardly", "barely", "scarcely", "nothing", "nowhere", "nobody")
 QUESTION_STARTERS = ("what", "where", "when", "who", "why", "how", "do", "does", "did", "can", "could",
                      "is", "are", "am", "was", "were", "will", "would", "should", "may", "might")
+CONVERSATION_WORDS = {
+    "hello": 5000000000, "hi": 4000000000, "name": 4500000000, "where": 4000000000, "hospital": 2000000000,
+    "bathroom": 1500000000, "toilet": 1000000000, "thank": 3500000000, "you": 6000000000, "very": 4000000000,
+    "much": 3500000000, "need": 3000000000, "help": 4000000000, "now": 3500000000, "can": 4500000000, "call": 3000000000,
+    "doctor": 2500000000, "nurse": 1500000000, "please": 3000000000, "wait": 2500000000, "for": 4000000000,
+    "me": 4500000000, "love": 3500000000, "like": 3500000000, "good": 4000000000, "morning": 2500000000,
+    "night": 2500000000, "understand": 2000000000, "see": 3500000000, "later": 2500000000, "nice": 3000000000,
+    "meet": 3000000000, "fine": 2500000000, "how": 4000000000, "what": 4500000000, "why": 3500000000, "who": 3500000000,
+    "when": 3500000000, "is": 6000000000, "the": 8000000000, "a": 7000000000, "an": 5000000000, "my": 5000000000,
+    "your": 4500000000,
+}
+CONVERSATION_PAIRS = (
+    "hello my", "my name", "name is", "where is", "is the", "the hospital", "the bathroom", "the doctor", "thank you",
+    "you very", "very much", "i need", "need help", "help now", "can you", "you call", "call a", "a doctor", "please wait",
+    "wait for", "for me", "i love", "love you", "nice to", "to meet", "meet you", "do not", "not understand",
+)
 I_FORMS = ("i", "i'm", "i'll", "i'd", "i've")
 PLACEHOLDERS = ("", "unknown", "none")
 PAD, BOS, EOS, UNK, OFFSET = 0, 1, 2, 3, 4

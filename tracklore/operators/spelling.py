@@ -6,100 +6,179 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklore.functions import edit
+from tracklore.functions.text import CONVERSATION_PAIRS, CONVERSATION_WORDS
 from tracklore.functions.vectors import let
-from tracklore.session import spread
+from tracklore.session import spread, written
 
-PREFIX = 7  # two edits leave a shared deletion variant within this prefix
+EDITS = 2
 TOP = 12
+CROWD = 64  # dictionary words under one key before the rest of them is cut again
 
+# -- dictionary words within two edits ------------------------------------------
 
-def _drop_one(w: Column) -> Column:
-    at = F.when(F.char_length(w) > 0, F.sequence(F.lit(1), F.char_length(w))).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
 
+def _segment(length: Column, edits: Column, i: Column) -> tuple[Column, Column]:
+    """Place (from 0) and letters of even segment i of a piece; one more segment than edits, the longer ones last."""
+    short, more = F.floor(length / (edits + 1)).cast("int"), length % (edits + 1)
+    behind = i - (edits + 1 - more)  # of the first longer segment
+    return short * i + F.greatest(behind, F.lit(0)), short + (behind >= 0).cast("int")
 
-def variants(word: Column) -> Column:
-    """The prefix and everything two deletions can make of it."""
-    def of(p):
-        return let(_drop_one(p), lambda one: F.array_distinct(F.concat(
-            F.array(p), one, F.flatten(F.transform(one, _drop_one)))))
 
-    return let(F.substring(word, 1, PREFIX), of)
+def _rest(length: Column, edits: Column, i: Column, at: Column, n: Column) -> tuple[Column, Column, Column]:
+    """What to cut next beside a segment that agrees: (is it the right side, its length, its edits).
 
+    Left of segment i at most i edits are left to make, right of it the others; the side that gives longer segments is taken.
+    """
+    right = length - at - n
+    after = right * (i + 1) >= at * (edits - i + 1)
+    return after, F.when(after, right).otherwise(at), F.when(after, edits - i).otherwise(i)
 
-def candidates(words: DataFrame, unigrams: DataFrame, top: int = TOP) -> DataFrame:
-    """Dictionary words within two edits of words(word), nearest and commonest first.
 
-    Both sides meet on shared deletion variants, an equi join; ``levenshtein``
-    then confirms.
+def _indexed(d: DataFrame) -> DataFrame:
+    """Each dictionary piece (term, ctx, at, length, edits) under the key of each of its segments, with what is left of it."""
+    d = d.withColumn("i", F.explode(F.array(*map(F.lit, range(EDITS + 1))))).where("i <= edits")
+    at, n = _segment(F.col("length"), F.col("edits"), F.col("i"))
+    d = d.withColumn("_at", at).withColumn("_n", n)
+    after, length, edits = _rest(*map(F.col, ("length", "edits", "i", "_at", "_n")))
+    key = F.xxhash64("ctx", "i", F.substring("term", F.col("at") + F.col("_at") + 1, F.col("_n")))
+    return d.select("term", "freq", key.alias("key"), F.when(after, F.col("at") + F.col("_at") + F.col("_n")).otherwise(F.col("at")).alias("at"),
+                    length.alias("length"), edits.alias("edits"))
+
+
+def _probes(q: DataFrame) -> DataFrame:
+    """Each query piece under the keys it can share with a dictionary piece of `length`.
+
+    A segment that agrees is displaced by at most the edits before it, and by the difference of lengths less those behind it.
+    """
+    moves = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(m).alias("m")) for i in range(EDITS + 1) for m in range(-i, i + 1)))
+    gap = F.col("own") - F.col("length")
+    q = q.withColumn("_c", F.explode(moves)).select("*", "_c.i", "_c.m").where(F.col("edits") - F.col("i") >= F.abs(F.col("m") - gap))
+    at, n = _segment(F.col("length"), F.col("edits"), F.col("i"))
+    q = q.withColumn("_at", at).withColumn("_n", n).withColumn("_begin", F.col("_at") + F.col("m")).where("_begin >= 0 and _begin + _n <= own")
+    after, length, edits = _rest(*map(F.col, ("length", "edits", "i", "_at", "_n")))
+    key = F.xxhash64("ctx", "i", F.substring("word", F.col("at") + F.col("_begin") + 1, F.col("_n")))
+    end = F.col("_begin") + F.col("_n")
+    return q.select("word", key.alias("key"), F.when(after, F.col("at") + end).otherwise(F.col("at")).alias("at"),
+                    F.when(after, F.col("own") - end).otherwise(F.col("_begin")).alias("own"), length.alias("length"), edits.alias("edits"))
+
+
+def near_pairs(words: DataFrame, unigrams: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(word, term, freq, distance) of all dictionary words within two edits of words(word), each pair once.
+
+    Segment index: a dictionary word is cut into three even segments; a word within two edits shares one of them at an
+    admissible place. Both sides meet on (length, segment, text). A key that more than `crowd` dictionary words share, such
+    as the beginning of addresses, is no reason to compare: what is left beside it, and the edits left for that, is cut
+    and looked up again, until the words part or nothing can be cut.
     """
-    q = spread(words.select("word").distinct(), "word").select("word", F.explode_outer(variants(F.col("word"))).alias("v"))
-    d = unigrams.select(F.col("word").alias("term"), "freq").select(
-        "term", "freq", F.explode_outer(variants(F.col("term"))).alias("v"))
-    near = q.join(d, "v").where(F.abs(F.char_length("word") - F.char_length("term")) <= 2)
-    pairs = near.select("word", "term", "freq").distinct()
-    checked = pairs.withColumn("distance", F.levenshtein("word", "term", 2)).where("distance >= 0")
+    d = written(unigrams.select(F.col("word").alias("term"), "freq").where("term is not null"))
+    n = F.char_length("term")
+    d = d.select("term", "freq", F.xxhash64(n).alias("ctx"), F.lit(0).alias("at"), n.alias("length"), F.lit(EDITS).alias("edits"))
+    q = spread(written(words.select("word").where("word is not null").distinct()), "word").withColumn("own", F.char_length("word"))
+    q = q.withColumn("length", F.explode(F.sequence(F.greatest(F.col("own") - EDITS, F.lit(0)), F.col("own") + EDITS)))
+    q = q.select("word", F.xxhash64("length").alias("ctx"), F.lit(0).alias("at"), "own", "length", F.lit(EDITS).alias("edits"))
+    whole = F.col("length") > F.col("edits")  # else no segment of each would have a letter
+    pairs = q.where(~whole).join(d.where(~whole).select("term", "freq", "ctx"), "ctx").select("word", "term", "freq")
+    d, q = d.where(whole), q.where(whole)
+    while True:
+        d, q = _indexed(d), _probes(q)
+        crowded = written(d.where(whole).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"))
+        if crowded.isEmpty():
+            pairs = pairs.unionByName(q.select("word", "key").join(d.select("term", "freq", "key"), "key").drop("key"))
+            break
+        few_d, few_q = (x.join(crowded, "key", "left_anti") for x in (d, q))
+        pairs = pairs.unionByName(few_q.select("word", "key").join(few_d.select("term", "freq", "key"), "key").drop("key"))
+        d = written(d.join(crowded, "key", "left_semi").withColumnRenamed("key", "ctx"))
+        q = written(q.join(crowded, "key", "left_semi").distinct().withColumnRenamed("key", "ctx"))
+    near = pairs.withColumn("distance", F.levenshtein("word", "term", EDITS)).where("distance >= 0")
+    return near.dropDuplicates(["word", "term"])
+
+
+def candidates(words: DataFrame, unigrams: DataFrame, top: int = TOP) -> DataFrame:
+    """Dictionary words within two edits of words(word), nearest and commonest first."""
     w = Window.partitionBy("word").orderBy("distance", F.desc("freq"), "term")
-    return checked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    ranked = near_pairs(words, unigrams).withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= top).select("word", "term", "freq", "distance", "rank")
+
+
+# -- correction -----------------------------------------------------------------
 
 
-def scored_candidates(words: DataFrame, unigrams: DataFrame) -> DataFrame:
+def scored_candidates(words: DataFrame, unigrams: DataFrame, boosted: dict[str, int] = CONVERSATION_WORDS) -> DataFrame:
+    """Candidates with their cost: fingerspelling edits less a share of the frequency; words of conversation have a fixed one."""
     c = spread(candidates(words, unigrams), "word", "term")
-    base = -F.log10(F.greatest(F.lit(10), F.col("freq"))) * 0.25
-    return c.withColumn("score", edit.spelling_distance("word", "term") + base)
+    usual = F.try_element_at(F.create_map(*(F.lit(x) for pair in boosted.items() for x in pair)), F.col("term")) if boosted else F.lit(None).cast("long")
+    return c.withColumn("score", edit.spelling_distance("word", "term") + _share(F.coalesce(usual, F.col("freq"))))
 
 
-def _bigram_score(freq: Column) -> Column:
+def _share(freq: Column) -> Column:
     return -F.log10(F.greatest(F.lit(10), freq)) * 0.25
 
 
-def correct_words(rows: DataFrame, unigrams: DataFrame, bigrams: DataFrame, names: list[str]) -> DataFrame:
-    """Best candidate of rows(key, word, prev): names and single letters stay, short
-    forms follow their context, others take the lowest score."""
-    w, p = F.col("word"), F.col("prev")
-    fixed = (
-        F.when(w.isin(*names), w)
-        .when((w == "u") & p.isin("can", "thank", "love", "see", "meet", "how", "are"), "you")
-        .when((w == "r") & p.isin("you", "they", "we"), "are")
-        .when(w.isin("i", "1", "l") & (p.isNull() | p.isin("and", "that", "so", "but")), "i")
+def _bonus(bigrams: DataFrame, pairs: tuple = CONVERSATION_PAIRS) -> DataFrame:
+    """w1, w2, bonus: 3 for a pair of conversation, else a share of the pair's frequency."""
+    known = bigrams.select("w1", "w2", _share(F.col("freq")).alias("bonus"))
+    if not pairs:
+        return known
+    usual = bigrams.sparkSession.createDataFrame([p.split() for p in pairs], "w1 string, w2 string").withColumn("bonus", F.lit(-3.0))
+    return known.unionByName(usual).groupBy("w1", "w2").agg(F.min("bonus").alias("bonus"))
+
+
+def settled(w: Column, prev: Column, names: Column) -> Column:
+    """What a word becomes without a look at the dictionary, else null: protected names and single letters stay, short forms
+    follow the word before (null at the start)."""
+    return (
+        F.when(F.array_contains(names, w), w)
+        .when((w == "u") & prev.isin("can", "thank", "love", "see", "meet", "how", "are"), "you")
+        .when((w == "r") & prev.isin("you", "they", "we"), "are")
+        .when(w.isin("i", "1", "l") & (prev.isNull() | prev.isin("and", "that", "so", "but")), "i")
         .when(F.char_length(w) <= 1, w))
+
+
+def correct_words(rows: DataFrame, unigrams: DataFrame, bigrams: DataFrame, names: list[str]) -> DataFrame:
+    """Best candidate of rows(key, word, prev): settled words, else the lowest cost with the word before as context."""
     c = scored_candidates(rows, unigrams).select("word", "term", "score", "rank")
-    j = rows.join(c, "word", "left").join(
-        bigrams.select(F.col("w1").alias("prev"), F.col("w2").alias("term"), F.col("freq").alias("bf")),
-        ["prev", "term"], "left")
-    total = F.col("score") + F.coalesce(_bigram_score(F.col("bf")), F.lit(0.0))
-    best = j.groupBy("key", "word", "prev").agg(F.min_by("term", F.struct(F.round(total, 9), "rank")).alias("term"))
-    return best.select("key", "word", "prev", F.coalesce(fixed, F.col("term"), w).alias("corrected"))
-
-
-def correct_phrases(tokens: DataFrame, unigrams: DataFrame, bigrams: DataFrame, key: str) -> DataFrame:
-    """Left-to-right correction of tokens(key, pos, word), each choice the context of
-    the next.  Candidates and the bigrams between neighbouring candidates are joined
-    in first; the fold then only reads arrays of one phrase."""
-    c = scored_candidates(tokens.select("word"), unigrams).groupBy("word").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "term", "score"))).alias("c"))
-    t = spread(tokens.join(c, "word", "left"), key)
+    asked = rows.select("word", "prev").distinct()
+    j = asked.join(c, "word", "left").join(_bonus(bigrams).toDF("prev", "term", "bonus"), ["prev", "term"], "left")
+    total = F.round(F.col("score") + F.coalesce("bonus", F.lit(0.0)), 9)
+    best = j.groupBy("word", "prev").agg(F.min_by("term", F.struct(total, "rank")).alias("_best"))
+    out = rows.alias("r").join(best.alias("b"), (F.col("r.word") == F.col("b.word")) & F.col("r.prev").eqNullSafe(F.col("b.prev")))
+    w, p = F.col("r.word"), F.col("r.prev")
+    protected = F.array(*map(F.lit, names)).cast("array<string>")
+    return out.select("r.key", "r.word", "r.prev", F.coalesce(settled(w, p, protected), F.col("_best"), w).alias("corrected"))
+
+
+def correct_phrases(tokens: DataFrame, unigrams: DataFrame, bigrams: DataFrame, key: str, names: list[str] = ()) -> DataFrame:
+    """Left-to-right correction of tokens(key, pos, word), each choice the context of the next.
+
+    Candidates, and the bonus of neighbouring candidates for each distinct pair of neighbouring words, are joined in first;
+    the fold then only reads arrays of one phrase. Names and short forms are settled as for single words.
+    """
+    protected = F.array(*map(F.lit, names)).cast("array<string>")
+    c = written(scored_candidates(tokens.select("word"), unigrams).groupBy("word").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "term", "score"))).alias("c")))
     w = Window.partitionBy(key).orderBy("pos")
-    terms = F.coalesce(F.transform("c", lambda s: s["term"]), F.array("word"))
-    t = t.withColumn("terms", terms).withColumn("before", F.lag("terms").over(w))
-    pairs = t.where("before is not null").select(key, "pos", F.explode("before").alias("w1"), F.col("terms"))
-    pairs = pairs.select(key, "pos", "w1", F.explode("terms").alias("w2")).join(bigrams, ["w1", "w2"])
-    maps = pairs.groupBy(key, "pos").agg(F.collect_list(F.struct(
-        F.concat_ws(" ", "w1", "w2").alias("key"), _bigram_score(F.col("freq")).alias("value"))).alias("bg"))
-    rows = t.join(maps, [key, "pos"], "left").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "word", "c", "bg"))).alias("p"))
+    t = spread(tokens, key).select(key, "pos", "word", F.lag("word").over(w).alias("before"))
+    # a word can come out as one of its candidates, as itself or as a short form written out
+    terms = c.select("word", F.explode("c").alias("s")).select("word", F.col("s.term").alias("w"), F.col("s.rank").alias("rank"))
+    near = t.where("before is not null").select("before", "word").distinct()
+    forms = F.explode(F.array(F.col("before"), F.lit("you"), F.lit("are"), F.lit("i"))).alias("w1")
+    first = near.select("before", forms).where("w1 = before or before in ('u', 'r', 'i', '1', 'l')")
+    first = first.unionByName(terms.select(F.col("word").alias("before"), F.col("w").alias("w1"))).distinct()
+    both = near.join(first, "before").join(terms.withColumnRenamed("w", "w2"), "word").join(_bonus(bigrams), ["w1", "w2"])
+    by_first = both.groupBy("before", "word", "w1").agg(F.collect_list(F.struct("rank", "bonus")).alias("b"))
+    maps = by_first.groupBy("before", "word").agg(F.collect_list(F.struct("w1", "b")).alias("bg"))
+    full = t.join(c, "word", "left").join(maps, ["before", "word"], "left")
+    rows = full.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "word", "c", "bg"))).alias("p"))
 
     def step(acc, s):
-        prev = F.element_at(acc, -1)
-        bonus = lambda term: F.coalesce(F.get(F.filter(
-            s["bg"], lambda e: e["key"] == F.concat(prev, F.lit(" "), term)), F.lit(0))["value"], F.lit(0.0))
-        scored = F.transform(s["c"], lambda x: F.struct(
-            F.round(x["score"] + bonus(x["term"]), 9).alias("total"), x["rank"].alias("rank"), x["term"].alias("term")))
-        return F.concat(acc, F.array(F.coalesce(F.array_min(scored)["term"], s["word"])))
-
-    start = F.array(F.lit(""))
-    return rows.select(key, F.slice(F.aggregate("p", start, step), F.lit(2), F.size("p")).alias("words"))
+        prev = F.get(acc, F.size(acc) - 1)
+        bonus = lambda b, rank: F.coalesce(F.get(F.filter(b, lambda e: e["rank"] == rank), F.lit(0))["bonus"], F.lit(0.0))
+        scored = let(F.get(F.filter(s["bg"], lambda e: e["w1"] == prev), F.lit(0))["b"], lambda b: F.array_min(F.transform(s["c"], lambda x: F.struct(
+            F.round(x["score"] + bonus(b, x["rank"]), 9).alias("total"), x["rank"].alias("rank"), x["term"].alias("term")))))
+        return F.concat(acc, F.array(F.coalesce(settled(s["word"], prev, F.col("names")), scored["term"], s["word"])))
+
+    start = F.array().cast("array<string>")
+    return rows.withColumn("names", protected).select(key, F.aggregate("p", start, step).alias("words"))
 
 
 def complete(prefixes: DataFrame, unigrams: DataFrame, k: int = 5) -> DataFrame:

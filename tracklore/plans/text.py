@@ -242,13 +242,16 @@ def _(s, d):
 
 @Q.add("f11_correct_word")
 def _(s, d):
-    rows = spoken(s, d).select((F.col("key") * 100000 + F.col("pos")).alias("key"), "word", F.lit(None).cast("string").alias("prev"))
+    from pyspark.sql import Window
+
+    before = F.lag("word").over(Window.partitionBy("key").orderBy("pos"))
+    rows = spoken(s, d).select((F.col("key") * 100000 + F.col("pos")).alias("key"), "word", before.alias("prev"))
     return S.correct_words(rows, unigrams(s, d), bigrams(s, d), ["anna", "john"])
 
 
 @Q.add("f12_correct_phrase")
 def _(s, d):
-    return S.correct_phrases(spoken(s, d), unigrams(s, d), bigrams(s, d), "key")
+    return S.correct_phrases(spoken(s, d), unigrams(s, d), bigrams(s, d), "key", ["anna", "john"])
 
 
 BG = f"""bg AS (SELECT w1, w2, count(*) AS freq FROM (SELECT unnest(w[1:len(w)-1]) AS w1, unnest(w[2:len(w)]) AS w2

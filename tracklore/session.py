@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +68,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, reread by whatever follows, and safe from lost executors."""
+    spark = df.sparkSession
+    path = os.path.join(shared_dir(spark), "written", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 WIDE_TABLES = {"documents", "conversations", "embeddings", "pages"}
 
 
