@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tracklore.functions import edit
+from tracklore.operators import metric as M
 from tracklore.operators import similarity as S
 from tracklore.operators import spelling as P
 
@@ -134,16 +135,54 @@ def test_phrases_and_candidates(spark):
     assert {(r.word, r.term) for r in c} == {(w, t) for w in words for t in WORDS if levenshtein(w, t) <= 2}
 
 
-def test_hard_negatives_brute(spark):
-    rnd = np.random.default_rng(3)
-    v = np.concatenate([rnd.normal(c, 0.2, (20, 4)) for c in (-2, 0, 2)])
-    data = [(i, int(i % 4), x[:2].tolist(), x[2:].tolist()) for i, x in enumerate(v)]
+def clustered(n, clusters, labels, seed=3):
+    rnd = np.random.default_rng(seed)
+    v = np.concatenate([rnd.normal(c, 0.05, (n // clusters, 4)) for c in rnd.normal(0, 8, (clusters, 4))])
+    return v, [int(i * labels // len(v)) if labels > 4 else int(i % labels) for i in range(len(v))]
+
+
+def hard(spark, v, label, **cuts):
+    data = [(i, label[i], x[:2].tolist(), x[2:].tolist()) for i, x in enumerate(v)]
     df = spark.createDataFrame(data, "id int, label int, a array<double>, b array<double>")
-    got = {r.id: r for r in S.hard_negatives(df, "id", "label", {"a": ("a", 0.7), "b": ("b", 0.3)}, pivots=5).collect()}
-    assert len(got) == len(v)
-    for i, x in enumerate(v):
-        d = {j: 0.7 * np.linalg.norm(x[:2] - y[:2]) + 0.3 * np.linalg.norm(x[2:] - y[2:]) for j, y in enumerate(v) if j % 4 != i % 4}
-        assert abs(got[i].distance - min(d.values())) < 1e-9
+    if not cuts:
+        return S.hard_negatives(df, "id", "label", {"a": ("a", 0.7), "b": ("b", 0.3)})
+    return M.nearest(df, df.withColumnRenamed("id", "negative"), "id", "negative", {"a": 0.7, "b": 0.3}, "label", 9, **cuts)
+
+
+def test_hard_negatives_brute(spark):
+    for v, label, cuts in [(*clustered(120, 3, 4), {}), (*clustered(600, 6, 6), {"fan": 4, "cell": 5}), (*clustered(400, 4, 3), {"fan": 3, "cell": 2})]:
+        v[7] = v[100]  # equal vectors of two labels, and of one
+        v[20:26] = v[20]
+        got = {r.id: r for r in hard(spark, v, label, **cuts).collect()}
+        assert len(got) == len(v)
+        gap = lambda x, y: 0.7 * np.linalg.norm(x[:2] - y[:2]) + 0.3 * np.linalg.norm(x[2:] - y[2:])
+        for i, x in enumerate(v):
+            near = min((round(gap(x, y), 9), j) for j, y in enumerate(v) if label[j] != label[i])
+            assert (round(got[i].distance, 9), got[i].negative) == near
+    assert hard(spark, v, [1] * len(v)).count() == 0 and hard(spark, v[:0], []).count() == 0
+
+
+def test_nearest_visits_grow_with_the_rows_on_clustered_data(spark):
+    visits = {}
+    for n in (1000, 4000):
+        v, label = clustered(n, n // 20, n // 20)
+        df = spark.createDataFrame([(i, label[i], x.tolist()) for i, x in enumerate(v)], "id int, label int, v array<double>")
+        t = M.tree(df, "id", {"v": 1.0}, "label", fan=8, cell=16)
+        visits[n] = M.reached(M.bounded(M.asked(df, t, "id", "label"), t), t).count()
+        assert t.leaves.selectExpr("max(size(members)) as n").first().n <= 16 and len(t.nodes) > 1
+    assert visits[4000] < 8 * visits[1000] and visits[4000] < 16 * 4000  # of 4000 * 400 leaves
+
+
+def test_shares_of_many_candidates(spark):
+    rnd = np.random.default_rng(5)
+    c, v = rnd.normal(0, 1, (300, 6)), rnd.normal(0, 1, (50, 6))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, v array<double>")
+    got = S.classify(rows, "id", "v", spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "label int, centre array<double>"), "label", "centre").collect()
+    cos = (v / np.linalg.norm(v, axis=1)[:, None]) @ (c / np.linalg.norm(c, axis=1)[:, None]).T
+    share = np.exp(100 * (cos - cos.max(1)[:, None]))
+    assert len(got) == 50
+    for r in got:
+        assert r.predicted == cos[r.id].argmax() and abs(r.probability - 1 / share[r.id].sum()) < 1e-9
 
 
 def test_time_warping_costs():

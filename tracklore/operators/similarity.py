@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklore.functions import vectors as V
+from tracklore.operators import metric
 from tracklore.operators.learner import chunked
-from tracklore.session import cut, spread
+from tracklore.session import spread, written
 
 BUCKET = 64  # frames per bucket of a range join
 
@@ -26,28 +27,29 @@ def classify(rows: DataFrame, key: str, vec: str, candidates: DataFrame, label:
              scale: float = 100.0) -> DataFrame:
     """Best candidate by cosine and its softmax share.
 
-    Every chunk of candidates gives its best and its exponential sum relative to it; a row adds them up.
+    On unit vectors the nearest is the best, and a share in double precision needs only the candidates that come within
+    40 / scale of it, less the logarithm of their number: what lies beyond adds less than 1e-17.
     """
-    unit = candidates.select(label, F.transform(centre, lambda x: x / V.norm(centre)).alias(centre))
-    size = V.norm(vec)
-    cos = F.transform("__c", lambda c: F.struct(
-        (V.dot(vec, c[centre]) / size).alias("cos"), c[label].alias("label")))
-    part = chunked(rows.select(key, vec), unit, label, centre).withColumn("__s", cos)
+    unit = lambda v: F.transform(v, lambda x: x / V.norm(v))
+    n = candidates.agg(F.count(F.lit(1)))
+    t = metric.tree(candidates.select(label, unit(F.col(centre)).alias("u")), label, {"u": 1.0})
+    q = written(metric.bounded(metric.asked(rows.select(key, unit(F.col(vec)).alias("u")), t, key), t))
+    wide = F.col("bound") * F.col("bound") + 2 * (40 + F.log(n.scalar() + 1)) / scale
+    cos = F.transform("members", lambda m: F.struct(V.dot("v0", m["v0"]).alias("cos"), m["item"].alias("label")))
+    part = metric.reached(q.withColumn("bound", F.sqrt(wide)), t, wide=True).withColumn("__s", cos)
     best = F.array_max("__s")
     total = F.aggregate("__s", F.lit(0.0), lambda a, s: a + F.exp(scale * (s["cos"] - best["cos"])))
-    each = part.select(key, best.alias("best"), total.alias("total")).groupBy(key).agg(
+    each = part.select("query", best.alias("best"), total.alias("total")).groupBy("query").agg(
         F.max("best").alias("best"), F.collect_list(F.struct("best", "total")).alias("parts"))
     spread = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["total"] * F.exp(scale * (p["best"]["cos"] - F.col("best.cos"))))
-    return each.select(key, F.col("best.label").alias("predicted"), F.col("best.cos").alias("similarity"),
+    return each.select(F.col("query").alias(key), F.col("best.label").alias("predicted"), F.col("best.cos").alias("similarity"),
                        (1 / spread).alias("probability"))
 
 
 def nearest_code(rows: DataFrame, key: str, vec: str, codes: DataFrame, code: str, centre: str) -> DataFrame:
     """Closest codebook entry by squared distance; ties take the smaller code."""
-    d = F.transform("__c", lambda c: F.struct(
-        V.squared_distance(vec, c[centre]).alias("distance"), c[code].alias("code")))
-    best = chunked(rows.select(key, vec), codes, code, centre).select(key, F.array_min(d).alias("b"))
-    return best.groupBy(key).agg(F.min("b").alias("b")).select(key, "b.code", "b.distance")
+    best = metric.nearest(rows.select(key, F.col(vec).alias("v")), codes.select(code, F.col(centre).alias("v")), key, code, {"v": 1.0})
+    return best.withColumn("distance", F.col("distance") * F.col("distance"))
 
 
 def fit_codes(rows: DataFrame, vec: str, k: int, seed: int = 7) -> DataFrame:
@@ -75,56 +77,13 @@ def bone_directions(kps: str = "kps") -> Column:
 # -- exact nearest different label ----------------------------------------------
 
 
-def packed(few: DataFrame, *cols: str) -> Column:
-    """A table of a number of rows that a parameter bounds (pivots and what is kept of each), as one sorted array."""
-    return few.agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("c")).scalar()
-
-
-def hard_negatives(rows: DataFrame, key: str, label: str, parts: dict[str, tuple[str, float]], pivots: int = 32) -> DataFrame:
-    """For each row the nearest row of another label, by a weighted sum of part
-    distances.
-
-    That sum is a metric, so cells around pivots prune exactly: each cell keeps a
-    representative of its two nearest labels, which bound the answer; a row then
-    only visits cells that can beat its bound.
-    """
-    vecs = [v for v, _ in parts.values()]
-
-    def distance(a, b) -> Column:
-        terms = [w * F.sqrt(V.squared_distance(a(v), b(v))) for v, w in parts.values()]
-        return sum(terms[1:], terms[0])
-
-    base = rows.select(key, label, *vecs)
-    picked = base.orderBy(F.xxhash64(F.lit(17), F.col(key)), key).limit(pivots)
-    cells = packed(picked.select(F.col(key).alias("cell"), *vecs), "cell", *vecs)
-    near = F.transform("__p", lambda p: F.struct(
-        distance(lambda v: F.col(v), lambda v: p[v]).alias("d"), p["cell"].alias("cell")))
-    placed = base.withColumn("__p", cells).withColumn("__d", near).drop("__p")
-    placed = placed.withColumn("cell", F.array_min("__d")["cell"]).withColumn("r", F.array_min("__d")["d"])
-    # read four times below: written once to the shared folder instead of recomputed
-    placed = cut(placed)
-    radius = placed.groupBy("cell").agg(F.max("r").alias("radius"))
-    # two labels per cell are enough: a row differs from at least one of them
-    first = placed.groupBy("cell", label).agg(F.min_by(F.struct(*vecs), "r").alias("v"), F.min("r").alias("r"))
-    w = Window.partitionBy("cell").orderBy("r", label)
-    reps = first.withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("cell", "v", F.col(label).alias("l"))
-    bounded = placed.withColumn("__r", packed(reps, "cell", "l", "v")).withColumn("__rad", packed(radius, "cell", "radius"))
-    others = F.transform(F.filter("__r", lambda q: q["l"] != F.col(label)),
-                         lambda q: distance(lambda v: F.col(v), lambda v: q["v"][v]))
-    bounded = bounded.withColumn("bound", F.coalesce(F.array_min(others), F.lit(float("inf"))))
-    reach = F.transform("__rad", lambda c: F.struct(c["cell"].alias("cell"), (F.get(F.filter(
-        "__d", lambda d: d["cell"] == c["cell"]), F.lit(0))["d"] - c["radius"]).alias("low")))
-    visits = F.transform(F.filter(reach, lambda c: c["low"] <= F.col("bound") + 1e-9), lambda c: c["cell"])
-    asked = bounded.select(key, label, *vecs, F.explode_outer(visits).alias("visit"))
-    members = placed.select(
-        F.col("cell").alias("visit"), F.col(key).alias("negative"), F.col(label).alias("other"),
-        *[F.col(v).alias(f"n_{v}") for v in vecs])
-    pairs = asked.join(members, "visit").where(F.col(label) != F.col("other"))
-    d = distance(lambda v: F.col(v), lambda v: F.col(f"n_{v}"))
-    # ties are judged on nine places, the distance itself stays unrounded
-    near = pairs.select(key, "negative", d.alias("distance")).withColumn("near", F.round("distance", 9))
-    return near.groupBy(key).agg(F.min(F.struct("near", "negative", "distance")).alias("b")).select(
-        key, "b.negative", "b.distance")
+def hard_negatives(rows: DataFrame, key: str, label: str, parts: dict[str, tuple[str, float]]) -> DataFrame:
+    """For each row the nearest row of another label, by a weighted sum of part distances; ties, judged on nine
+    places, go to the smallest key."""
+    given = rows.select(key, label, *[F.col(v).alias(name) for name, (v, _) in parts.items()])
+    weights = {name: w for name, (_, w) in parts.items()}
+    items = given.withColumnRenamed(key, "negative")
+    return metric.nearest(given, items, key, "negative", weights, label, places=9)
 
 
 # -- lexicon --------------------------------------------------------------------
