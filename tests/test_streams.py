@@ -175,3 +175,41 @@ def test_ingest_reads_new_files_once(spark, tmp_path):
     spark.range(10, 12).write.mode("append").parquet(src)
     R.ingest_new(spark, one.schema, src, dst, cp)
     assert sorted(r.id for r in spark.read.parquet(dst).collect()) == [0, 1, 2, 10, 11]
+
+
+def requests_of(rnd, n):
+    """Dense and sparse addresses, equal times, gaps of days, and one address with two thirds of the rows."""
+    rows, t = [], 0.0
+    for i in range(n):
+        t += rnd.choice([0.0, 0.0, 0.5, 3.0, 40.0, 900.0, 90_000.0] if i % 400 < 60 else [0.0, 1.0, 2.5])
+        rows.append((rnd.choice(["hot", "hot", "b", None, f"x{i % 50}"]), i, t))
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [3, 17, 8192])
+def test_rate_limit_by_chunks_equals_the_fold(spark, chunk):
+    from tracklore.streaming import limits
+
+    rows = requests_of(random.Random(chunk), 4000)
+    machines, want = {}, set()
+    for ip, i, t in rows:
+        m = machines.setdefault(ip, M.RateLimit(5, 900.0))
+        want |= {(ip, *r) for r in m.step((i, t))}
+    df = spark.createDataFrame(rows, "ip string, n int, t double").withColumn("node", F.lit(1)).repartition(5)
+    got = limits.rate_limit(df, "ip", ["t", "n"], "n", "t", chunk=chunk)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(rows)
+    assert {a for _, _, a, _ in want} == {True, False}
+
+
+def test_rate_limit_tables_stay_small_and_empty_tables_pass(spark):
+    from tracklore.streaming import limits
+
+    t = np.cumsum(np.random.default_rng(1).exponential(60.0, 5000))
+    pos = np.arange(5000)
+    one, two = (limits.chunk_table(t[a:a + 2500], pos[a:a + 2500], 900.0) for a in (0, 2500))
+    both, whole = limits.composed(one, two, 900.0), limits.chunk_table(t, pos, 900.0)
+    entries = [(t[0] - gap, -1) for gap in (np.inf, 900.0, 500.0, 10.0, 0.0)]
+    assert len(one[0]) < 60 and len(both[0]) < 60
+    assert [limits.left(both, e, 900.0) for e in entries] == [limits.left(whole, e, 900.0) for e in entries]
+    empty = spark.createDataFrame([], "ip string, n int, t double")
+    assert limits.rate_limit(empty, "ip", ["t", "n"], "n", "t").count() == 0

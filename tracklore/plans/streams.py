@@ -9,6 +9,7 @@ from tracklore.plans import inputs as I
 from tracklore.plans.registry import QuerySet
 from tracklore.session import table
 from tracklore.streaming import guard as G
+from tracklore.streaming import limits as L
 from tracklore.streaming import machines as M
 from tracklore.streaming import stateless as S
 from tracklore.streaming.run import fold_batch
@@ -233,17 +234,31 @@ REQ = """rq AS (SELECT event_id, user_id % 40 AS ip, epoch_us(ts) / 1e6 AS t, ro
   FROM events WHERE event_type IN ('signup', 'error', 'click'))"""
 
 
-@Q.add("t17_rate_limit", f"""WITH RECURSIVE {REQ}, f(ip, rn, event_id, n, til, allowed, retry) AS (
-  SELECT ip, rn, event_id, 1, t + 43200.0::DOUBLE, true, 0 FROM rq WHERE rn = 1 UNION ALL
-  SELECT rq.ip, rq.rn, rq.event_id, CASE WHEN t > til THEN 1 WHEN n >= 5 THEN n ELSE n + 1 END, CASE WHEN t > til THEN t + 43200.0::DOUBLE ELSE til END,
+REQ_HOT = REQ.replace("user_id % 40", "CASE WHEN user_id % 3 < 2 THEN 0 ELSE user_id % 40 END")
+LIMITED = """WITH RECURSIVE {req}, f(ip, rn, event_id, n, til, allowed, retry) AS (
+  SELECT ip, rn, event_id, 1, t + {seconds}.0::DOUBLE, true, 0 FROM rq WHERE rn = 1 UNION ALL
+  SELECT rq.ip, rq.rn, rq.event_id, CASE WHEN t > til THEN 1 WHEN n >= 5 THEN n ELSE n + 1 END, CASE WHEN t > til THEN t + {seconds}.0::DOUBLE ELSE til END,
     t > til OR n < 5, CASE WHEN t > til OR n < 5 THEN 0 ELSE CAST(trunc(til - t) AS INTEGER) END
   FROM f JOIN rq ON rq.ip = f.ip AND rq.rn = f.rn + 1)
-SELECT ip, event_id, allowed, retry AS retry_seconds FROM f""")
+SELECT ip, event_id, allowed, retry AS retry_seconds FROM f"""
+
+
+def requests(s, d, ip):
+    return I.events(s, d).where(F.col("event_type").isin("signup", "error", "click")).select(
+        ip.alias("ip"), "ts", "event_id", (F.unix_micros("ts") / 1e6).alias("t"))
+
+
+@Q.add("t17_rate_limit", LIMITED.format(req=REQ, seconds=43200))
+def _(s, d):
+    """Addresses that are sparse in time, under a window of half a day."""
+    return L.rate_limit(requests(s, d, F.col("user_id") % 40), "ip", ["ts", "event_id"], "event_id", "t", seconds=43200.0)
+
+
+@Q.add("t17_rate_limit_hot_address", LIMITED.format(req=REQ_HOT, seconds=900))
 def _(s, d):
-    r = I.events(s, d).where(F.col("event_type").isin("signup", "error", "click")).select(
-        (F.col("user_id") % 40).alias("ip"), "ts", "event_id", (F.unix_micros("ts") / 1e6).alias("t"))
-    # the tables are sparse in time: a window of half a day instead of 15 minutes
-    return fold_batch(r, "ip", ["ts", "event_id"], ["event_id", "t"], partial(M.RateLimit, 5, 43200.0))
+    """Five requests in 15 minutes; one address sends most of them."""
+    ip = F.when(F.col("user_id") % 3 < 2, F.lit(0)).otherwise(F.col("user_id") % 40)
+    return L.rate_limit(requests(s, d, ip), "ip", ["ts", "event_id"], "event_id", "t")
 
 
 @Q.add("t18_revocation_ttl", f"""WITH {I.EV}, r AS (SELECT k AS token, ts AS mt, ts + INTERVAL 2 DAY AS expires_at FROM act WHERE event_type = 'error'),
