@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tracklore.functions import edit
+from tracklore.operators import decoding as D
 from tracklore.operators import metric as M
 from tracklore.operators import similarity as S
 from tracklore.operators import spelling as P
@@ -201,5 +202,54 @@ def test_time_warping_costs():
 
 def test_segmentation_prefers_words(spark):
     u, _ = tables(spark)
-    t = spark.createDataFrame([(1, "helloworld"), (2, "coldxname")], "key int, text string")
-    assert {r.key: r.text for r in P.segment(t, u).select("key", F.col("text")).collect()} == {1: "hello world", 2: "cold x name"}
+    t = spark.createDataFrame([(1, "helloworld"), (2, "coldxname"), (3, ""), (4, None)], "key int, text string")
+    assert {r.key: r.text for r in D.segment(t, u).collect()} == {1: "hello world", 2: "cold x name", 3: "", 4: None}
+
+
+def test_segmentation_is_the_cheapest_split():
+    rnd = random.Random(6)
+    cost = {"".join(rnd.choice("ab") for _ in range(rnd.randint(1, 4))): round(rnd.uniform(0.3, 3), 3) for _ in range(12)}
+    def cheapest(t):
+        return min((c + cheapest(t[i:]) for i in range(1, len(t) + 1) if (c := cost.get(t[:i], 10.0 if i == 1 else None)) is not None), default=0.0)
+    for _ in range(40):
+        t = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 11)))
+        words, total = D.Words(cost).split(t, 10.0)
+        assert "".join(words) == t and abs(total - min(cheapest(t), sum([10.0] * len(t)))) < 1e-6
+
+
+def test_segmentation_of_a_long_text_is_linear():
+    cost = {w: 1.0 for w in ("hello", "help", "world", "a" * 9)}
+    text = "helloworldhelp" * 1500 + "a" * 5000
+    words, _ = D.Words(cost).split(text, 10.0)
+    assert len(text) > 20_000 and "".join(words) == text and words[:3] == ["hello", "world", "help"]
+
+
+def passed(frames, exemplars, penalty):
+    """Least cost over all ways, by plain recursion over places (frame, word, state)."""
+    far = lambda t, w, s: float(np.linalg.norm(frames[t] - exemplars[w][s]))
+    best = {(w, s): (0.0 if s == 0 else math.inf, [(w, 0)]) for w in exemplars for s in range(len(exemplars[w]))}
+    for t in range(len(frames)):
+        end = min(((best[w, len(e) - 1][0], i, w) for i, (w, e) in enumerate(exemplars.items())))
+        new = {}
+        for w, s in best:
+            ways = [best[w, s]] + ([best[w, s - 1]] if s else [(end[0] + penalty, best[end[2], len(exemplars[end[2]]) - 1][1] + [(w, t)])])
+            c, h = min(ways, key=lambda x: x[0])
+            new[w, s] = (c + far(t, w, s), h)
+        best = new
+    c, _, w = min((best[w, len(e) - 1][0], i, w) for i, (w, e) in enumerate(exemplars.items()))
+    h = best[w, len(exemplars[w]) - 1][1]
+    return c, [(w, b, (h[i + 1][1] if i + 1 < len(h) else len(frames)) - 1) for i, (w, b) in enumerate(h)]
+
+
+def test_token_passing_matches_brute_force(spark):
+    rnd = np.random.default_rng(9)
+    exemplars = {w: rnd.normal(0, 1, (n, 3)) for w, n in ((1, 1), (2, 3), (5, 2), (7, 6))}
+    clips = {c: np.concatenate([rnd.normal(0, 0.2, (len(e), 3)) + e for e in (exemplars[w] for w in rnd.choice([1, 2, 5], c % 6 + 1))]) for c in range(30)}
+    clips[40] = rnd.normal(0, 1, (1, 3))
+    e = spark.createDataFrame([(w, i, v.tolist()) for w, x in exemplars.items() for i, v in enumerate(x)], "token int, state int, vec array<double>")
+    f = spark.createDataFrame([(c, i * 10, v.tolist()) for c, x in clips.items() for i, v in enumerate(x)] + [(None, 1, [0.0] * 3)], "clip int, n int, v array<double>")
+    got = {}
+    for r in D.token_spans(f.repartition(6), "clip", "n", "v", e, penalty=0.7).orderBy("clip", "number").collect():
+        got.setdefault(r.clip, (round(r.cost, 9), []))[1].append((r.token, r.first, r.last))
+    assert got == {c: (round(w[0], 9), w[1]) for c, x in clips.items() for w in [passed(x, exemplars, 0.7)]}
+    assert D.token_spans(f.limit(0), "clip", "n", "v", e).count() == 0

@@ -201,38 +201,6 @@ def known_prefixes(prefixes: DataFrame, unigrams: DataFrame) -> DataFrame:
         "prefix", F.coalesce("w", F.lit(False)).alias("is_word"))
 
 
-def segment(texts: DataFrame, unigrams: DataFrame, unknown: float = 10.0) -> DataFrame:
-    """Cheapest split of texts(key, text) into dictionary words, cost -log10 share.
-
-    Substrings meet the dictionary in a join; the fold over positions of one text
-    then picks the best chain.  Letters outside every word stand alone.
-    """
-    total, longest = unigrams.agg(F.sum("freq")).scalar(), unigrams.agg(F.max(F.char_length("word"))).scalar()
-    subs = texts.withColumn("__m", longest).select("key", "text", F.explode_outer(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.char_length("text")), lambda i: F.transform(
-            F.sequence(F.lit(1), F.least(F.col("__m"), F.char_length("text") - i + 1)),
-            lambda n: F.struct(i.alias("at"), n.alias("n"), F.substr("text", i, n).alias("word")))))).alias("s"))
-    cost = unigrams.withColumn("__t", total).select("word", (-F.log10(F.col("freq") / F.col("__t"))).alias("cost"))
-    edges = subs.select("key", "text", "s.*").join(cost, "word").groupBy("key", "text").agg(
-        F.collect_list(F.struct("at", "n", "word", "cost")).alias("e"))
-    full = texts.join(edges, ["key", "text"], "left").withColumn("e", F.coalesce("e", F.expr("array()").cast(
-        "array<struct<at:int,n:int,word:string,cost:double>>")))
-
-    def step(acc, i):
-        # acc[j] is the best split of the first j letters
-        ways = F.transform(F.filter("e", lambda x: x["at"] + x["n"] - 1 == i), lambda x: let(
-            F.get(acc, x["at"] - 1), lambda b: F.struct(
-                F.round(b["cost"] + x["cost"], 9).alias("cost"), F.concat(b["words"], F.array(x["word"])).alias("words"))))
-        alone = let(F.get(acc, i - 1), lambda b: F.struct(
-            (b["cost"] + unknown).alias("cost"), F.concat(b["words"], F.array(F.substr("text", i, F.lit(1)))).alias("words")))
-        return F.concat(acc, F.array(F.array_min(F.concat(ways, F.array(alone)))))
-
-    start = F.array(F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<string>").alias("words")))
-    best = F.aggregate(F.sequence(F.lit(1), F.char_length("text")), start, step)
-    return full.select("key", F.element_at(best, -1).alias("b")).select(
-        "key", F.array_join("b.words", " ").alias("text"), F.col("b.cost").alias("cost"))
-
-
 def translate(sentences: DataFrame, key: str, text: str, words: DataFrame, phrases: DataFrame) -> DataFrame:
     """Whole phrases by table, else word by word; unknown words stay as written."""
     raw = F.trim(F.regexp_replace(F.trim(F.col(text)), r"[.?!]+$", ""))

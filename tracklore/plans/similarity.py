@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tracklore.operators import decoding as D
 from tracklore.operators import similarity as S
 from tracklore.operators import tracks as T
 from tracklore.plans import inputs as I
@@ -80,6 +81,34 @@ def _(s, d):
     return S.align_exemplars(v, "vec_id", "v", S.centroids(v, "v", "label"), "label", "centre")
 
 
+def exemplars(s, d, states=3):
+    """For each label the mean embeddings of its first, second and third frames of three."""
+    v = vecs(s, d).withColumn("state", (F.col("vec_id") % states).cast("int"))
+    e = v.select("label", "state", F.posexplode("v").alias("i", "x")).groupBy("label", "state", "i").agg(F.round(F.avg("x"), 9).alias("x"))
+    return e.groupBy(F.col("label").alias("token"), "state").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("i", "x"))), lambda x: x["x"]).alias("vec"))
+
+
+@Q.add("j19_token_passing", f"""WITH RECURSIVE e AS (SELECT label AS w, CAST(vec_id % 3 AS INTEGER) AS s, unnest(generate_series(1, 64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+m AS (SELECT w, s, i, round(avg(x), 9) AS x FROM e GROUP BY ALL), ex AS (SELECT w, s, list(x ORDER BY i) AS v, max(s) OVER (PARTITION BY w) AS z FROM m GROUP BY w, s),
+fr AS (SELECT vec_id // {I.CLIP} AS clip_id, CAST(row_number() OVER (PARTITION BY vec_id // {I.CLIP} ORDER BY vec_id) - 1 AS INTEGER) AS t, embedding::DOUBLE[] AS v FROM embeddings),
+r(clip_id, t, w, s, z, v, cost, hist) AS (
+  SELECT c.clip_id, -1, w, s, z, ex.v, CASE WHEN s = 0 THEN 0.0::DOUBLE ELSE 'infinity'::DOUBLE END, [{{'w': w, 't': 0}}] FROM (SELECT DISTINCT clip_id FROM fr) c, ex
+  UNION ALL
+  SELECT clip_id, t, w, s, z, v, least(cost, adv, trn) + d, CASE WHEN cost <= adv AND cost <= trn THEN hist WHEN adv <= trn THEN adv_h ELSE list_append(trn_h, {{'w': w, 't': t}}) END
+  FROM (SELECT r.clip_id, r.t + 1 AS t, r.w, r.s, r.z, r.v, r.cost, r.hist, list_distance(fr.v, r.v) AS d,
+      COALESCE(lag(r.cost) OVER word, 'infinity'::DOUBLE) AS adv, lag(r.hist) OVER word AS adv_h,
+      CASE WHEN r.s = 0 THEN min(CASE WHEN r.s = r.z THEN r.cost END) OVER clip + 0.01::DOUBLE ELSE 'infinity'::DOUBLE END AS trn,
+      first_value(r.hist) OVER (PARTITION BY r.clip_id ORDER BY CASE WHEN r.s = r.z THEN 0 ELSE 1 END, r.cost, r.w) AS trn_h
+    FROM r JOIN fr ON fr.clip_id = r.clip_id AND fr.t = r.t + 1 WINDOW word AS (PARTITION BY r.clip_id, r.w ORDER BY r.s), clip AS (PARTITION BY r.clip_id))),
+best AS (SELECT clip_id, t, cost, hist FROM r WHERE s = z QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY t DESC, cost, w) = 1)
+SELECT clip_id, k - 1 AS number, hist[k].w AS token, hist[k].t AS first, COALESCE(hist[k + 1].t - 1, t) AS last, round(cost, 6) AS cost
+FROM best, LATERAL (SELECT unnest(generate_series(1, len(hist))) AS k) WHERE t >= 0 AND cost < 'infinity'::DOUBLE""")
+def _(s, d):
+    v = vecs(s, d).withColumn("clip_id", F.floor(F.col("vec_id") / I.CLIP))
+    return r6(D.token_spans(v, "clip_id", "vec_id", "v", exemplars(s, d), penalty=0.01), "cost")
+
+
 LEX = "SELECT p_partkey, p_brand AS h, p_type AS t, p_size AS l FROM part"
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tracklore.functions import edit
 from tracklore.functions import text as X
 from tracklore.operators import corpus as C
+from tracklore.operators import decoding as D
 from tracklore.operators import spelling as S
 from tracklore.plans import inputs as I
 from tracklore.plans.registry import QuerySet
@@ -296,7 +297,7 @@ def _(s, d):
     part = table(s, d, "part")
     words = C.explode_tokens(part, F.split("p_name", " ")).groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("freq"))
     t = part.select(F.col("p_partkey").alias("key"), F.replace("p_name", F.lit(" "), F.lit("")).alias("text"))
-    return S.segment(t, words).select("key", "text")
+    return D.segment(t, words).select("key", "text")
 
 
 @Q.add("f15_dictionary_translate", """WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS w FROM part),
