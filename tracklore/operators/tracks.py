@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklore.operators import ordered
+from tracklore.operators import carried, ordered
 
 SPAN = 2048  # frames per segment
 FPS = 30.0
@@ -153,28 +153,22 @@ def ema(frames: DataFrame, alpha: float = 0.9) -> DataFrame:
         (F.sum(F.col(c) * weight * grown).over(upto) / grown).alias(c) for c in cols]))
 
 
-def jump_clamp(frames: DataFrame, threshold: float = 0.25) -> DataFrame:
+def jump_clamp(frames: DataFrame, threshold: float = 0.25, span: int = carried.SPAN) -> DataFrame:
     """Replace a step over ``threshold`` by the mean of the clamped previous frame
-    and the next one; the last frame repeats the previous.  Each step needs the
-    step before, so a track is folded as one array (a clip's frames)."""
+    and the next one; the last frame repeats the previous.  Tracks of one or two frames stay."""
     cols = _cols(frames)
-    pts = frames.groupBy("clip_id", "kp").agg(
-        F.array_sort(F.collect_list(F.struct("frame_idx", *cols))).alias("p"))
     dist = lambda a, b: F.sqrt(sum(
         ((a[c] - b[c]) * (a[c] - b[c]) for c in cols[1:]), (a[cols[0]] - b[cols[0]]) * (a[cols[0]] - b[cols[0]])))
 
-    def step(acc, i):
-        cur, prev = F.get("p", i), F.element_at(acc, -1)
-        nxt = F.get("p", i + 1)
-        moved = F.struct(cur["frame_idx"].alias("frame_idx"), *[
-            F.when(dist(cur, prev) > threshold, F.coalesce(0.5 * (prev[c] + nxt[c]), prev[c]))
-            .otherwise(cur[c]).alias(c) for c in cols])
-        return F.concat(acc, F.array(moved))
-
-    n = F.size("p")
-    rest = F.when(n > 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    folded = F.when(n > 2, F.aggregate(rest, F.slice("p", 1, 1), step)).otherwise(F.col("p"))
-    return pts.select("clip_id", "kp", F.inline(folded))
+    def step(s, r, after):
+        moved = F.struct(*[F.coalesce(0.5 * (s[c] + after[c]), s[c]).alias(c) for c in cols])
+        return F.when(s.isNotNull() & (dist(r, s) > threshold), moved).otherwise(r)
+
+    state = "struct<" + ", ".join(f"{c}: double" for c in cols) + ">"
+    row = F.struct(*[F.col(c).cast("double").alias(c) for c in cols])
+    out = carried.filtered(frames, ["clip_id", "kp"], "frame_idx", row, state, step, span=span)
+    short = frames.join(out.select("clip_id", "kp", "frame_idx", "s", "n"), ["clip_id", "kp", "frame_idx"])
+    return short.select("clip_id", "kp", "frame_idx", *[F.when(F.col("n") > 2, F.col("s")[c]).otherwise(F.col(c)).alias(c) for c in cols])
 
 
 def rolling_mean(frames: DataFrame, size: int = 50) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklore.functions.vectors import let
+from tracklore.operators import carried
 
 # fixed values: limits of the guard
 SWAP_MARGIN, DOMINANT, HISTORY, NODS = 0.15, 0.65, 30, 15
@@ -81,30 +82,26 @@ def held(frames: DataFrame, distance: str, value: str, near: float = 0.12, decay
     return f.withColumn("value", F.col("__last.v") * F.pow(F.lit(decay), F.col("__at") - F.col("__last.at"))).drop("__at", "__last")
 
 
-def one_euro(frames: DataFrame, *channels: str, low: float = 1.0, beta: float = 10.0, rate: float = 30.0) -> DataFrame:
-    """Low pass of each channel whose cutoff rises with its speed, at a fixed frame rate."""
+def one_euro(frames: DataFrame, *channels: str, low: float = 1.0, beta: float = 10.0, rate: float = 30.0, span: int = carried.SPAN) -> DataFrame:
+    """Low pass of each channel whose cutoff rises with its speed, at a fixed frame rate; exact to 1e-12."""
     gain = lambda cut: 1 / (1 + rate / (2 * math.pi * cut + 1e-6))
     g = 1 / (1 + rate / (2 * math.pi + 1e-6))
-    row = F.struct("frame_idx", F.array(*channels).alias("v"))
-    clips = frames.groupBy("clip_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    empty = F.array().cast("array<double>")
-    start = F.struct(empty.alias("x"), empty.alias("dx"), F.array().cast("array<struct<frame_idx:int,v:array<double>>>").alias("out"))
 
-    def step(s: Column, r: Column) -> Column:
-        speed = F.zip_with(F.zip_with(r["v"], s["x"], lambda v, x: g * (v - x) * rate), s["dx"], lambda new, old: new + (1 - g) * old)
-        first = F.size(s["x"]) == 0
-        dx = F.when(first, F.transform(r["v"], lambda v: F.lit(0.0))).otherwise(speed)
+    def step(s: Column, r: Column, after: Column) -> Column:
+        speed = F.zip_with(F.zip_with(r, s["x"], lambda v, x: g * (v - x) * rate), s["dx"], lambda new, old: new + (1 - g) * old)
 
         def follow(d: Column) -> Column:
             a = F.transform(d, lambda e: gain(low + beta * F.abs(e)))
-            moved = F.transform(r["v"], lambda v, i: F.get(a, i) * v + (1 - F.get(a, i)) * F.get(s["x"], i))
-            return let(F.when(first, r["v"]).otherwise(moved), lambda x: F.struct(
-                x.alias("x"), d.alias("dx"), F.concat(s["out"], F.array(F.struct(r["frame_idx"].cast("int").alias("frame_idx"), x.alias("v")))).alias("out")))
+            moved = F.transform(r, lambda v, i: F.get(a, i) * v + (1 - F.get(a, i)) * F.get(s["x"], i))
+            return F.struct(moved.alias("x"), d.alias("dx"))
 
-        return let(dx, follow)
+        return F.when(s.isNull(), F.struct(r.alias("x"), F.transform(r, lambda v: F.lit(0.0)).alias("dx"))).otherwise(let(speed, follow))
 
-    out = clips.select("clip_id", F.inline(F.aggregate("rows", start, step)["out"]))
-    return out.select("clip_id", "frame_idx", *(F.get("v", F.lit(i)).alias(c) for i, c in enumerate(channels)))
+    close = lambda a, b, c: F.coalesce(F.forall(F.zip_with(a[c], b[c], lambda p, q: F.abs(p - q) <= 1e-12 * (1 + F.abs(q))), lambda ok: ok), F.lit(True))
+    row = F.array(*[F.col(c).cast("double") for c in channels])
+    out = carried.filtered(frames, ["clip_id"], "frame_idx", row, "struct<x: array<double>, dx: array<double>>", step,
+                           lambda a, b: close(a, b, "x") & close(a, b, "dx"), span)
+    return out.select("clip_id", F.col("frame_idx").cast("int").alias("frame_idx"), *(F.get("s.x", F.lit(i)).alias(c) for i, c in enumerate(channels)))
 
 
 def guarded(steady: DataFrame) -> DataFrame:
