@@ -41,7 +41,8 @@ def anchors(b: tb.Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     if n < length:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     sums = tb.prefix(b.data, False)
-    h = tb.mix((sums[gram:] - sums[:-gram]) * tb.powers(n)[1][:n - gram + 1])
+    first = np.arange(n - gram + 1)
+    h = tb.span_hash(sums, first, first + gram)
     low = tb.window_argmin(h, length - gram + 1)
     place = np.arange(len(low))
     inside = np.repeat(b.at[1:], np.diff(b.at))[:len(low)] - place >= length

@@ -8,17 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 20
 _R = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_R, -1, 1 << 64)
-_TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FIELD = (1 << 61) - 1  # spans are hashed as polynomials over this prime field, so no text is built to collide
+_BASE = 0x11C7A3D5E49B2F63 % _FIELD
+_PIECE = 1 << 20  # powers that are tabled
+_STEP = 1 << 14  # places worked on at a time, inside the processor's cache
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 @dataclass
@@ -58,28 +60,69 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[Block]:
         first = last
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the multiplier and of its inverse modulo 2**64."""
-    if len(_pow[0]) <= n:
-        m = max(n + 1, BLOCK + 4096)
-        for k, base in enumerate((_R, _INV)):
-            p = np.full(m, base, np.uint64)
-            p[0] = 1
-            _pow[k] = np.multiply.accumulate(p)
-    return _pow[0][:n + 1], _pow[1][:n + 1]
+_P, _M31, _M30 = np.uint64(_FIELD), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_B1, _B30, _B31, _B61 = (np.uint64(k) for k in (1, 30, 31, 61))
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**64 in the field."""
+    x = (x & _P) + (x >> _B61)
+    x -= _P * (x >= _P)
+    return x
+
+
+def times(a, b) -> np.ndarray:
+    """Products in the field, by halves of 31 bits."""
+    a1, a0, b1, b0 = a >> _B31, a & _M31, b >> _B31, b & _M31
+    mid = a1 * b0 + a0 * b1
+    return reduced((a1 * b1 << _B1) + (mid >> _B30) + ((mid & _M30) << _B31) + a0 * b0)
+
+
+@lru_cache(2)
+def powers(base: int) -> np.ndarray:
+    """Powers 0.._PIECE - 1 of a field element."""
+    out = np.ones(_PIECE, np.uint64)
+    have = 1
+    while have < _PIECE:
+        out[have:2 * have] = times(out[:have], np.uint64(pow(base, have, _FIELD)))
+        have *= 2
+    return out
+
+
+@lru_cache(1)
+def halves(base: int) -> tuple[np.ndarray, np.ndarray]:
+    return powers(base) >> _B31, powers(base) & _M31
 
 
 def prefix(data: np.ndarray, fold: bool) -> np.ndarray:
-    """Prefix sums of the rolling hash, one more than bytes; `fold` reads A-Z as a-z."""
+    """Prefix sums of the polynomial of the bytes, one more than bytes; `fold` reads A-Z as a-z."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_TABLE[_LOWER] if fold else _TABLE)[data] * powers(len(data))[0][:-1], out=out[1:])
+    upper, lower = halves(_BASE)
+    values = ((_LOWER if fold else np.arange(256)) + 1).astype(np.uint64)
+    for first in range(0, len(data), _STEP):
+        at = first % _PIECE
+        value = values[data[first:first + _STEP]]
+        high, low = np.cumsum(value * upper[at:at + len(value)]), np.cumsum(value * lower[at:at + len(value)])  # below 2**60
+        own = reduced(((high & _M30) << _B31) + (high >> _B30) + low)
+        if first >= _PIECE:
+            own = times(own, np.uint64(pow(_BASE, first - at, _FIELD)))
+        out[first + 1:first + 1 + len(own)] = reduced(own + out[first])
     return out
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span; equal spans have equal hashes wherever they stand."""
-    inverse = powers(len(sums) - 1)[1]
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    back = pow(_BASE, -1, _FIELD)
+    near = powers(back)
+    far = np.array([pow(back, first, _FIELD) for first in range(0, len(sums), _PIECE)], np.uint64)
+    out = np.empty(len(start), np.uint64)
+    for i in range(0, len(start), _STEP):
+        a, z = start[i:i + _STEP], end[i:i + _STEP]
+        value = times(reduced(sums[z] + (_P - sums[a])), near[a % _PIECE])
+        if len(far) > 1:
+            value = times(value, far[a // _PIECE])
+        out[i:i + _STEP] = mix(value + (z - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
