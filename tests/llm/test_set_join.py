@@ -103,9 +103,10 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
-@pytest.mark.parametrize("shingles", [300, 100_000])
-def test_families_of_many_components_are_compared_in_blocks(spark, monkeypatch, shingles):
+@pytest.mark.parametrize("shingles,sketches", [(300, 1000), (100_000, 1 << 18)])
+def test_families_of_many_components_are_compared_in_blocks(spark, monkeypatch, shingles, sketches):
     monkeypatch.setattr(set_join, "SHINGLES", shingles)
+    monkeypatch.setattr(set_join, "SKETCHES", sketches)
     rng = np.random.default_rng(3)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -118,6 +119,25 @@ def test_families_of_many_components_are_compared_in_blocks(spark, monkeypatch,
     assert table(set_join.linked(df)) == brute(rows)
 
 
+def test_sketches_never_hide_a_link_and_tell_most_others(spark):
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 1 << 62, int(n)).astype(np.uint64)) for n in rng.integers(1, 500, 60)]
+    sets = base + [np.unique(np.append(s[rng.random(len(s)) > d], rng.integers(0, 1 << 62, int(d * len(s))).astype(np.uint64))) for s in base for d in (0.02, 0.07, 0.3)]
+    sets = [s for s in sets if len(s)]
+    table_ = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "node long, tokens binary")
+    sketch = set_join.sketched(table_)
+    of = {r.node: r for r in sketch.collect()}
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if i < j and (j - len(base)) // 3 == i or rng.random() < 0.02 and i < j]
+    both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    linked = {(i, j) for i, j in pairs if 185 * both(i, j) >= 85 * (len(sets[i]) + len(sets[j]))}
+    kept = {(r.a, r.b) for r in set_join.close(spark.createDataFrame(pairs, "a long, b long"), sketch, 85).collect()}
+    assert linked <= kept and len(kept) < len(linked) + 30 and len(linked) > 60
+    n = np.array([of[i].n for i in range(len(sets))])
+    edges = set_join.unproved(np.arange(len(sets)), np.arange(len(sets)), np.zeros(len(sets), int), n, [of[i].bits for i in range(len(sets))], 85)
+    groups = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(groups[i] == groups[j] for i, j in linked)
+
+
 def test_products_find_what_joins_components():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 400, 200).astype(np.uint64)) for _ in range(20)]

@@ -9,14 +9,17 @@ from . import store
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): root is the smallest node of its component."""
+    """(node, root, old) for every node of the edges (a, b): root is the smallest node of its component. A kept table."""
     both = store.kept(edges.union(edges.select("b", "a")).distinct().toDF("node", "next"), "edges")
-    labels = store.kept(both.groupBy("node").agg(F.least("node", F.min("next")).alias("root")), "labels")
+    labels = store.kept(both.groupBy("node").agg(F.least("node", F.min("next")).alias("root"), F.lit(0).cast("long").alias("old")), "labels")
     while True:
-        near = both.join(labels.toDF("next", "theirs"), "next").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        less = labels.join(near, "node").select("node", F.least("root", "theirs").alias("root"), F.col("root").alias("old"))
-        jump = less.alias("x").join(labels.select(F.col("node").alias("root"), F.col("root").alias("above")), "root")
+        now = labels.select("node", "root")
+        near = both.join(now.toDF("next", "theirs"), "next").groupBy("node").agg(F.min("theirs").alias("theirs"))
+        less = now.join(near, "node").select("node", F.least("root", "theirs").alias("root"), F.col("root").alias("old"))
+        jump = less.alias("x").join(now.select(F.col("node").alias("root"), F.col("root").alias("above")), "root")
         new = store.kept(jump.select("node", F.least("root", "above").alias("root"), "old"), "labels")
+        store.free(labels)
         if new.where("root <> old").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+            store.free(both)
+            return new
+        labels = new

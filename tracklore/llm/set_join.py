@@ -9,9 +9,11 @@ partner can lie there, in the next. Only signatures that different sets share su
 maximum, no lists), and candidates are verified on whole shingle arrays.
 
 Equal sets are one node throughout, so copies cost nothing. Candidates of a signature are first verified against its
-centre: a star cannot explode. What signatures still hold of different components is compared in blocks of bounded size,
-as products of bit matrices inside a task: no pair of them becomes a row, and only links that join components
-are given, so no link between components is lost. Nodes are named by a 64-bit hash of their set.
+centre: a star cannot explode. Before two sets travel to be compared, short sketches of parities prove most pairs unlinked.
+What signatures still hold of different components meets as sketches inside a task, in blocks of bounded size; only sets that
+a sketch can't tell from a linked one are compared whole, again in blocks, as products of bit matrices. No pair of them becomes
+a row, and only links that join components are given, so no link between components is lost. Nodes are named by a 64-bit hash
+of their set.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; rows of equal doc_id are sets of
 their own that share an id; a null doc_id links like any other but never names a component.
@@ -24,14 +26,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
 from . import textbytes as tb
 from .components import components
 
+PARTS = 2  # passes over the range of signatures
 SHINGLES = 200_000  # of a block; a single longer set makes a larger one
+SKETCHES = 1 << 18  # bytes of a block of sketches, with 120 for each set
 COLUMNS = 2048  # of a bit matrix at a time
 _C = [np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 
@@ -158,8 +162,8 @@ def measured(docs: DataFrame, k: int) -> DataFrame:
     return store.map_arrow(store.texts(docs, "doc_id"), rows, "doc_id long, n_shingles long, node long")
 
 
-def signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """sig, node: the signatures of every set, once for equal sets of a block."""
+def signed(docs: DataFrame, k: int, percent: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """sig, node: the signatures of every set that fall into a part of their range, once for equal sets of a block."""
 
     def rows(batches):
         for batch in batches:
@@ -174,11 +178,32 @@ def signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     at = np.concatenate([[0], np.cumsum(np.diff(at)[~repeat])])
                     node = node[~repeat]
                 sig, doc = signatures(token, at, percent)
-                yield {"sig": sig.view(np.int64), "node": node[doc].view(np.int64)}
+                here = sig % np.uint64(parts) == part
+                yield {"sig": sig[here].view(np.int64), "node": node[doc[here]].view(np.int64)}
 
     return store.map_arrow(store.texts(docs), rows, "sig long, node long")
 
 
+def shared(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """sig, node, centre: the signatures that different sets share, with the smallest node of each.
+
+    The range of signatures is done in `PARTS` passes, and each pass moves its signatures once: sets are told apart
+    and centres found where the signature has been dealt to. What only one set has ends there.
+    """
+    w = Window.partitionBy("sig").orderBy("node")
+    parts = []
+    for part in range(PARTS):
+        dealt = signed(docs, k, percent, part, PARTS).repartition("sig").dropDuplicates(["sig", "node"])
+        centred = dealt.withColumn("centre", F.first("node").over(w)).withColumn("more", F.lead("node").over(w).isNotNull())
+        parts.append(store.kept(centred.where("more or node <> centre").drop("more"), "shared-signatures"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    whole = store.kept(out, "shared-signatures") if len(parts) > 1 else out
+    store.free(*[p for p in parts if p is not whole])
+    return whole
+
+
 def shingles(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """node, tokens (sorted 64-bit numbers as bytes) of the nodes in `wanted` (node, doc_id: a document that has it)."""
     w = wanted.select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc")).distinct()
@@ -197,6 +222,54 @@ def shingles(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return store.map_arrow(some, rows, "node long, tokens binary").dropDuplicates(["node"])
 
 
+def sketched(tokens: DataFrame) -> DataFrame:
+    """node, n, bits: the size of each set and the parities of its shingles on 2 to 4 bits a shingle.
+
+    Two sets differ in at least as many shingles as their parities differ in bits, so too many bits prove that two sets
+    aren't linked. A sketch is folded to half its length by xor.
+    """
+
+    def rows(batches):
+        for batch in batches:
+            n, bits = [], []
+            for value in batch.column(1):
+                token = np.frombuffer(value.as_buffer(), np.uint64)
+                width = max(64, 1 << (2 * len(token) - 1).bit_length())
+                place = (tb.mix(token + _C[2]) & np.uint64(width - 1)).astype(np.int64)
+                n.append(len(token))
+                bits.append(np.packbits((np.bincount(place, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes())
+            yield {"node": batch.column(0), "n": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.binary())}
+
+    return store.map_arrow(tokens.select("node", "tokens"), rows, "node long, n long, bits binary")
+
+
+def apart(n, percent: int):
+    """In how many shingles two linked sets of n shingles together may differ."""
+    return n - 2 * -(-percent * n // (100 + percent))
+
+
+def close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that sizes and sketches don't prove unlinked."""
+    one, two = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+    def rows(batches):
+        for batch in batches:
+            na, nb, sa, sb = (batch.column(i).to_pylist() for i in range(2, 6))
+            good = []
+            for m, n, x, y in zip(na, nb, sa, sb, strict=True):
+                if len(x) < len(y):
+                    x, y = y, x
+                p, q = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+                if len(x) > len(y):
+                    p = p >> 8 * len(y) ^ p & (1 << 8 * len(y)) - 1
+                good.append((p ^ q).bit_count() <= apart(m + n, percent))
+            keep = pa.array(good, pa.bool_())
+            yield {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
+
+    return store.map_arrow(both.select("a", "b", "na", "nb", "sa", "sb"), rows, "a long, b long")
+
+
 def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that are linked, by the intersection of their whole sets."""
     one, two = (tokens.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
@@ -220,10 +293,95 @@ def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
 def mixed(found: DataFrame, root: DataFrame) -> DataFrame:
     """sig, node, root of the signatures that more than one component has."""
-    of = root.toDF("node", "root")
-    placed = found.join(of, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    several = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return placed.join(several.select("sig"), "sig")
+    placed = found.join(root.select("node", "root"), "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    w = Window.partitionBy("sig").orderBy("root")
+    ends = placed.withColumn("low", F.first("root").over(w)).withColumn("high", F.first("root").over(Window.partitionBy("sig").orderBy(F.desc("root"))))
+    return ends.where("low < high").select("sig", "node", "root")
+
+
+def once(rest: DataFrame) -> DataFrame:
+    """Of signatures that the same sets share, one; they are told apart by two 64-bit sums and their number."""
+    kinds = rest.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "node")).alias("y"))
+    return rest.join(kinds.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
+
+
+def forest(edges) -> list[tuple[int, int]]:
+    """Those of the edges that join what was apart, in their order."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for a, b in edges:
+        x, y = top(a), top(b)
+        if x != y:
+            parent[x] = y
+            out.append((a, b))
+    return out
+
+
+def unproved(node: np.ndarray, root: np.ndarray, side: np.ndarray, n: np.ndarray, bits: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Edges that span all pairs on the two sides (of all sets where there is one side) of different components that sizes and
+    sketches don't prove unlinked."""
+    size = np.array([len(b) for b in bits])
+    edges = []
+    for width in np.unique(size).tolist():
+        here, wider = np.flatnonzero(size == width), np.flatnonzero(size == 2 * width)
+        flat = lambda some, w: np.unpackbits(np.frombuffer(b"".join(bits[i] for i in some.tolist()), np.uint8).reshape(-1, w), axis=1, bitorder="little")
+        own, folded = flat(here, width), flat(wider, 2 * width)
+        both = np.concatenate([own, folded[:, :8 * width] ^ folded[:, 8 * width:]]).astype(np.float32)
+        other = np.concatenate([here, wider])
+        ones = both.sum(1)
+        differ = ones[:len(here), None] + ones[None, :] - 2 * (both[:len(here)] @ both.T)
+        total = n[here][:, None] + n[other][None, :]
+        good = (differ <= apart(total, percent)) & (root[here][:, None] != root[other][None, :])
+        good &= 100 * np.minimum(n[here][:, None], n[other][None, :]) >= percent * np.maximum(n[here][:, None], n[other][None, :])
+        if side.min() < side.max():
+            good &= side[here][:, None] != side[other][None, :]
+        i, j = np.nonzero(good)
+        edges += forest(zip(node[here[i]].tolist(), node[other[j]].tolist(), strict=True))
+    return forest(edges)
+
+
+def suspected(rest: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect all sets of open signatures (sig, node, root) which their sketches don't prove unlinked.
+
+    The sets of a signature meet as sketches, in blocks of about `SKETCHES` bytes; a task holds two blocks at a time.
+    """
+    member = once(rest).join(sketches, "node")
+    dealt = member.groupBy("sig").agg(F.ceil(F.sum(F.octet_length("bits") + 120) / SKETCHES).cast("int").alias("n_blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
+    placed = member.join(dealt, "sig").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    given = placed.select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "root", "n", "bits")
+    return in_groups(given, ["sig", "x", "y"], lambda held: unproved(*(np.array([h[i] for h in held], np.int64) for i in (1, 2, 0, 3)), [h[4] for h in held], percent))
+
+
+def in_groups(rows_: DataFrame, keys: list[str], solve) -> DataFrame:
+    """Edges (a, b) of each group of equal keys, from a list of its other columns; a task holds one group at a time."""
+    k = len(keys)
+
+    def rows(batches):
+        key, held = None, []
+
+        def solved():
+            pairs = solve(held)
+            return {"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())}
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:k] != key:
+                    if held:
+                        yield solved()
+                    key, held = row[:k], []
+                held.append(row[k:])
+        if held:
+            yield solved()
+
+    return store.map_arrow(rows_.repartition(*keys).sortWithinPartitions(*keys), rows, "a long, b long")
 
 
 def products(node: np.ndarray, root: np.ndarray, side: np.ndarray, tokens: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -247,100 +405,67 @@ def products(node: np.ndarray, root: np.ndarray, side: np.ndarray, tokens: list[
         both += part[one] @ part[two].T
     good = (100 + percent) * both.astype(np.int64) >= percent * (size[one][:, None] + size[two][None, :])
     good &= root[one][:, None] != root[two][None, :]
-    parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(good), strict=True):  # only what joins what is apart
-        x, y = top(int(root[one[i]])), top(int(root[two[j]]))
-        if x != y:
-            parent[x] = y
-            out.append((int(node[one[i]]), int(node[two[j]])))
-    return out
+    i, j = np.nonzero(good)
+    links = {}
+    for x, y, a, b in zip(root[one[i]].tolist(), root[two[j]].tolist(), node[one[i]].tolist(), node[two[j]].tolist(), strict=True):
+        links.setdefault((x, y), (a, b))
+    return [links[e] for e in forest(links)]  # only what joins what is apart
 
 
-def blocks(rest: DataFrame, tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components of the open signatures (sig, node, root).
+def blocks(edges: DataFrame, root: DataFrame, tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, of the sets that edges (a, b) connect to families.
 
-    Sets that open signatures connect are a family. A family is dealt into blocks of about `SHINGLES` shingles, every
-    two blocks meet in one group, and a task holds one group at a time.
+    A family is dealt into blocks of about `SHINGLES` shingles, every two blocks meet in one group, and a task holds one
+    group at a time.
     """
-    first = rest.groupBy("sig").agg(F.min("node").alias("low"))
-    families = components(rest.join(first, "sig").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
-    member = store.kept(rest.select("node", F.col("root").alias("own")).distinct().join(families.toDF("node", "family"), "node").join(sizes, "node"), "families")
+    families = components(edges)
+    own = families.select("node", F.col("root").alias("family")).join(root.select("node", F.col("root").alias("own")), "node", "left")
+    member = store.kept(own.withColumn("own", F.coalesce("own", "node")).join(sizes, "node"), "families")
+    store.free(families)
     dealt = member.groupBy("family").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("n_blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
     placed = member.join(dealt, "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     given = placed.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "own").join(tokens, "node")
-    given = given.select("family", "x", "y", "block", "node", "own", "tokens").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y")
-
-    def rows(batches):
-        key, held = None, []
-
-        def solve():
-            node, own, side = (np.array([h[i] for h in held], np.int64) for i in (0, 1, 2))
-            pairs = products(node, own, side, [h[3] for h in held], percent)
-            return {"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())}
-
-        for batch in batches:
-            family, x, y, side, node, own = (batch.column(i).to_pylist() for i in range(6))
-            for i in range(batch.num_rows):
-                if (family[i], x[i], y[i]) != key:
-                    if held:
-                        yield solve()
-                    key, held = (family[i], x[i], y[i]), []
-                held.append((node[i], own[i], side[i], np.frombuffer(batch.column(6)[i].as_py(), np.uint64)))
-        if held:
-            yield solve()
-
-    return store.map_arrow(given, rows, "a long, b long")
+    given = given.select("family", "x", "y", "block", "node", "own", "tokens")
+    return in_groups(given, ["family", "x", "y"], lambda held: products(
+        *(np.array([h[i] for h in held], np.int64) for i in (1, 2, 0)), [np.frombuffer(h[3], np.uint64) for h in held], percent))
 
 
 def linked(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
     known = store.kept(measured(docs, k), "set-nodes")
-    named = known.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    named = store.kept(named, "set-names")
-    every = signed(docs, k, percent)
-    shared = every.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig", F.col("low").alias("centre"))
-    found = store.kept(every.join(shared, "sig").distinct(), "shared-signatures")  # sig, node, centre
+    named = known.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    found = shared(docs, k, percent)  # sig, node, centre
     tokens = store.kept(shingles(docs, found.select("node").distinct().join(named, "node"), k), "shared-sets")
-    sizes = named.select("node", "n")
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        out = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-        return out.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-
+    sketches = store.kept(sketched(tokens), "sketches")
     # 1: each node with the centre that shares most of its signatures
     stars = found.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("votes"))
-    best = stars.groupBy(F.col("node").alias("b")).agg(F.max_by("centre", "votes").alias("a")).select("a", "b")
-    tried = store.kept(fitting(best), "pairs-1")
+    best = stars.groupBy(F.col("node").alias("b")).agg(F.max_by("centre", F.struct("votes", "centre")).alias("a")).select("a", "b")
+    tried = store.kept(close(best, sketches, percent), "pairs-1")
     links = store.kept(verified(tried, tokens, percent), "links-1")
     root = components(links)
     # 2: each node with the centres of its signatures that are still in another component
-    open_ = mixed(found, root)
+    open_ = store.kept(mixed(found, root), "open-signatures")
+    store.free(found)
     centre = open_.groupBy("sig").agg(F.min(F.struct("root", "node")).alias("first"))
     pairs = open_.join(centre, "sig").where("root <> first.root").select(F.col("first.node").alias("x"), F.col("node").alias("y"))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    new = store.kept(fitting(pairs.join(done, ["a", "b"], "left_anti")), "pairs-2")
+    new = store.kept(close(pairs.join(done, ["a", "b"], "left_anti"), sketches, percent), "pairs-2")
     more = store.kept(verified(new, tokens, percent), "links-2")
     if not more.isEmpty():
         links = links.unionByName(more)
         root = components(links)
-    # 3: whatever signatures still hold of different components, in blocks
-    rest = store.kept(mixed(found, root), "open-signatures")
-    if not rest.isEmpty():
-        more = store.kept(blocks(rest, tokens, sizes, percent), "links-3")
+    # 3: whatever signatures still hold of different components and sketches can't tell apart, in blocks
+    rest = store.kept(mixed(open_.select("sig", "node"), root), "open-signatures")
+    store.free(open_)
+    edges = store.kept(suspected(rest, sketches, percent), "suspected")
+    if not edges.isEmpty():
+        more = store.kept(blocks(edges, root, tokens, sketches.select("node", "n"), percent), "links-3")
         if not more.isEmpty():
             root = components(links.unionByName(more))
-    of = root.toDF("node", "root")
-    placed = known.join(of, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
+    store.free(rest, tokens, sketches, edges)
+    placed = known.join(root.select("node", "root"), "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
     names = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("smallest"))
     out = placed.join(names, "root", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -34,7 +34,21 @@ def kept(df: DataFrame, name: str) -> DataFrame:
         df.select("*").write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete kept tables that nothing reads any more: all that was made of them is written."""
+    for table in tables:
+        _, path = _paths.pop(id(table), (None, None))
+        if path:
+            system, inner = filesystem(path)
+            system.delete_dir(inner)
 
 
 def filesystem(path: str):
