@@ -45,8 +45,6 @@ def test_spans_of_texts_over_many_pieces(monkeypatch):
     monkeypatch.setattr(tb, "_PIECE", 256)
     monkeypatch.setattr(tb, "_STEP", 64)
     tb.powers.cache_clear()
-    tb.halves.cache_clear()
     pieces = tb.span_hash(tb.prefix(data, True), np.array([90, 4000, 91]), np.array([390, 4300, 391]))
     tb.powers.cache_clear()
-    tb.halves.cache_clear()
     assert whole.tolist() == pieces.tolist() and whole[0] == whole[1] != whole[2]

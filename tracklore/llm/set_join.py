@@ -34,7 +34,8 @@ from . import textbytes as tb
 from .components import components
 
 PARTS = 2  # passes over the range of signatures
-SHINGLES = 200_000  # of a block; a single longer set makes a larger one
+SHINGLES = 200_000  # of a block, with 100 for each set; a single longer set makes a larger one
+STRIP = 256  # sets of a block of sketches compared with all others at once
 SKETCHES = 1 << 18  # bytes of a block of sketches, with 120 for each set
 COLUMNS = 2048  # of a bit matrix at a time
 _C = [np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
@@ -336,14 +337,15 @@ def unproved(node: np.ndarray, root: np.ndarray, side: np.ndarray, n: np.ndarray
         both = np.concatenate([own, folded[:, :8 * width] ^ folded[:, 8 * width:]]).astype(np.float32)
         other = np.concatenate([here, wider])
         ones = both.sum(1)
-        differ = ones[:len(here), None] + ones[None, :] - 2 * (both[:len(here)] @ both.T)
-        total = n[here][:, None] + n[other][None, :]
-        good = (differ <= apart(total, percent)) & (root[here][:, None] != root[other][None, :])
-        good &= 100 * np.minimum(n[here][:, None], n[other][None, :]) >= percent * np.maximum(n[here][:, None], n[other][None, :])
-        if side.min() < side.max():
-            good &= side[here][:, None] != side[other][None, :]
-        i, j = np.nonzero(good)
-        edges += forest(zip(node[here[i]].tolist(), node[other[j]].tolist(), strict=True))
+        for at in range(0, len(here), STRIP):
+            row = here[at:at + STRIP]
+            differ = ones[at:at + STRIP, None] + ones[None, :] - 2 * (both[at:at + STRIP] @ both.T)
+            m, o = n[row][:, None], n[other][None, :]
+            good = (differ <= apart(m + o, percent)) & (100 * np.minimum(m, o) >= percent * np.maximum(m, o)) & (root[row][:, None] != root[other][None, :])
+            if side.min() < side.max():
+                good &= side[row][:, None] != side[other][None, :]
+            i, j = np.nonzero(good)
+            edges += forest(zip(node[row[i]].tolist(), node[other[j]].tolist(), strict=True))
     return forest(edges)
 
 
@@ -371,13 +373,12 @@ def in_groups(rows_: DataFrame, keys: list[str], solve) -> DataFrame:
             pairs = solve(held)
             return {"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())}
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:k] != key:
-                    if held:
-                        yield solved()
-                    key, held = row[:k], []
-                held.append(row[k:])
+        for row in (r for batch in batches for at in range(0, batch.num_rows, 256) for r in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True)):
+            if row[:k] != key:
+                if held:
+                    yield solved()
+                key, held = row[:k], []
+            held.append(row[k:])
         if held:
             yield solved()
 
@@ -422,7 +423,7 @@ def blocks(edges: DataFrame, root: DataFrame, tokens: DataFrame, sizes: DataFram
     own = families.select("node", F.col("root").alias("family")).join(root.select("node", F.col("root").alias("own")), "node", "left")
     member = store.kept(own.withColumn("own", F.coalesce("own", "node")).join(sizes, "node"), "families")
     store.free(families)
-    dealt = member.groupBy("family").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("n_blocks"))
+    dealt = member.groupBy("family").agg(F.ceil(F.sum(F.col("n") + 100) / SHINGLES).cast("int").alias("n_blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
     placed = member.join(dealt, "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     given = placed.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "own").join(tokens, "node")

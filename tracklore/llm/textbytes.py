@@ -84,25 +84,22 @@ def powers(base: int) -> np.ndarray:
     out = np.ones(_PIECE, np.uint64)
     have = 1
     while have < _PIECE:
-        out[have:2 * have] = times(out[:have], np.uint64(pow(base, have, _FIELD)))
-        have *= 2
+        n = min(have, _STEP)
+        out[have:have + n] = times(out[:n], np.uint64(pow(base, have, _FIELD)))
+        have += n
     return out
 
 
-@lru_cache(1)
-def halves(base: int) -> tuple[np.ndarray, np.ndarray]:
-    return powers(base) >> _B31, powers(base) & _M31
-
-
 def prefix(data: np.ndarray, fold: bool) -> np.ndarray:
     """Prefix sums of the polynomial of the bytes, one more than bytes; `fold` reads A-Z as a-z."""
     out = np.zeros(len(data) + 1, np.uint64)
-    upper, lower = halves(_BASE)
+    power = powers(_BASE)
     values = ((_LOWER if fold else np.arange(256)) + 1).astype(np.uint64)
     for first in range(0, len(data), _STEP):
         at = first % _PIECE
         value = values[data[first:first + _STEP]]
-        high, low = np.cumsum(value * upper[at:at + len(value)]), np.cumsum(value * lower[at:at + len(value)])  # below 2**60
+        p = power[at:at + len(value)]
+        high, low = np.cumsum(value * (p >> _B31)), np.cumsum(value * (p & _M31))  # below 2**60
         own = reduced(((high & _M30) << _B31) + (high >> _B30) + low)
         if first >= _PIECE:
             own = times(own, np.uint64(pow(_BASE, first - at, _FIELD)))
