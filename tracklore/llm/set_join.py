@@ -339,7 +339,8 @@ def unproved(node: np.ndarray, root: np.ndarray, side: np.ndarray, n: np.ndarray
         ones = both.sum(1)
         for at in range(0, len(here), STRIP):
             row = here[at:at + STRIP]
-            differ = ones[at:at + STRIP, None] + ones[None, :] - 2 * (both[at:at + STRIP] @ both.T)
+            end = at + len(row)
+            differ = ones[at:end, None] + ones[None, :] - 2 * (both[at:end] @ both.T)
             m, o = n[row][:, None], n[other][None, :]
             good = (differ <= apart(m + o, percent)) & (100 * np.minimum(m, o) >= percent * np.maximum(m, o)) & (root[row][:, None] != root[other][None, :])
             if side.min() < side.max():
