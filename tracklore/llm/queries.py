@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracklore.plans.registry import QuerySet
 from tracklore.session import shared_dir
@@ -61,7 +62,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.add("op1_substring_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.deduplicated(read(spark, sf_dir, "documents"))
+    return substring_dedup.deduplicated(read(spark, sf_dir, "documents")).withColumn("repeated", F.col("n_removed") > 0)
 
 
 @Q.add("op3_set_join")
