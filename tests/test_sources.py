@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tracklore.operators import corpus as C
@@ -116,3 +117,46 @@ def test_codebook_by_kmeans(spark):
     codes = S.fit_codes(df, "v", 2)
     out = S.nearest_code(df, "id", "v", codes, "code", "centre").collect()
     assert len({r.code for r in out}) == 2 and max(r.distance for r in out) < 1e-9
+
+
+def _records(spark, n, text="ab"):
+    return spark.range(n).repartition(5).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, "01").when(F.col("id") % 3 == 1, "val").alias("split"), F.lit(text).alias("text"))
+
+
+def test_packed_shards_are_exact_and_committed_last(spark, tmp_path):
+    path = str(tmp_path / "c")
+    with pytest.raises(FileNotFoundError):
+        W.read_packed(spark, path)
+    df = _records(spark, 100)
+    totals = {r.split: (r.shards, r.rows, r.largest, r.last_rows) for r in W.pack(df, path, "v1", rows=8, invariants={"text": F.col("text") == "ab"}).collect()}
+    assert totals == {"01": (5, 34, 8, 2), "val": (5, 33, 8, 1), None: (5, 33, 8, 1)}
+    back = W.read_packed(spark, path)
+    assert sorted((r.split or "", r.shard, r.place, r.id) for r in back.collect()) == sorted(
+        (("01", "val", "")[i % 3], i // 3 // 8, i // 3, i) for i in range(100))
+    # a second run of a committed version changes nothing
+    W.pack(_records(spark, 7, "zz"), path, "v1", rows=8)
+    assert W.read_packed(spark, path).count() == 100 and W.commits(spark, path).count() == 3
+
+
+def test_a_run_that_dies_leaves_the_former_version_and_can_run_again(spark, tmp_path):
+    path = str(tmp_path / "c")
+    W.pack(_records(spark, 30), path, "v1", rows=8)
+    with pytest.raises(ValueError, match="not committed"):
+        W.pack(_records(spark, 50), path, "v2", rows=8, invariants={"text": F.col("text") == "other"})
+    assert (tmp_path / "c" / "data" / "v2").exists()
+    assert W.read_packed(spark, path).count() == 30
+    W.pack(_records(spark, 40), path, "v2", rows=8)
+    assert W.read_packed(spark, path).count() == 40 and W.read_packed(spark, path, "v1").count() == 30
+
+
+def test_packing_an_empty_table_commits_no_split(spark, tmp_path):
+    W.pack(_records(spark, 0), str(tmp_path / "c"), "v1", rows=8)
+    assert W.read_packed(spark, str(tmp_path / "c")).count() == 0
+
+
+def test_micro_shards_clear_odd_values(spark):
+    parts = spark.createDataFrame([("a", [1.0, float("nan"), float("inf"), float("-inf")]), ("b", [])], "label string, features array<double>")
+    vocab = spark.createDataFrame([("a", 7)], "token string, id long")
+    got = {r.label: (r.label_idx, r.features) for r in W.merge_micro_shards(parts, vocab).collect()}
+    assert got == {"a": (7, [1.0, 0.0, 0.0, 0.0]), "b": (-1, [])}

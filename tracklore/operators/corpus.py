@@ -180,13 +180,19 @@ def near_duplicate_leaks(docs: DataFrame, items: DataFrame, doc_words: Column, i
                          n: int = 8, share: float = 0.5) -> DataFrame:
     """Documents holding at least ``share`` of an item's word n-grams.
 
-    The item side is fixed by the evaluation set; documents keep only n-grams that
-    occur there (semi join on the hash), so pairs exist only where text is shared.
+    The item side is fixed by the evaluation set; documents meet it on n-grams that
+    occur there, so pairs exist only where text is shared. N-grams travel as two
+    64-bit hashes, never as text.
     """
-    i = items.select("item_id", F.explode_outer(shingles(item_words, n)).alias("g")).where("g is not null")
+    names = ["g0", "g1"]
+
+    def grams(rows: DataFrame, key: str, words: Column) -> DataFrame:
+        g = rows.select(key, F.explode_outer(shingles(words, n)).alias("g")).where("g is not null")
+        return g.select(key, *[F.xxhash64("g", F.lit(i)).alias(c) for i, c in enumerate(names)])
+
+    i = grams(items, "item_id", item_words)
     size = i.groupBy("item_id").agg(F.count(F.lit(1)).alias("of"))
-    d = docs.select("doc_id", F.explode_outer(shingles(doc_words, n)).alias("g")).where("g is not null")
-    hits = d.join(i, "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("common"))
+    hits = grams(docs, "doc_id", doc_words).join(i, names).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("common"))
     return hits.join(size, "item_id").where(F.col("common") >= share * F.col("of")).select(
         "doc_id", "item_id", "common", (F.col("common") / F.col("of")).alias("share"))
 

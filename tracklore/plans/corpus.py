@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tracklore.functions import text as X
 from tracklore.operators import corpus as C
+from tracklore.operators import leaks as K
 from tracklore.operators import ordered
 from tracklore.plans import inputs as I
 from tracklore.plans.registry import QuerySet
@@ -247,9 +248,13 @@ def _(s, d):
 
 @Q.add("o11_empty_train_rescue", f"""WITH {SPLIT}, nt AS (SELECT doc_id, split FROM sp WHERE split <> 'train'),
 dn AS (SELECT COALESCE((SELECT min(doc_id) FROM nt WHERE split = 'val'), (SELECT min(doc_id) FROM nt WHERE split = 'test')) AS k)
-SELECT doc_id, CASE WHEN doc_id = k THEN 'train' ELSE split END AS split FROM nt, dn""")
+SELECT 'none in train' AS kind, doc_id, CASE WHEN doc_id = k THEN 'train' ELSE split END AS split FROM nt, dn
+UNION ALL SELECT 'some in train', doc_id, split FROM sp""")
 def _(s, d):
-    return C.rescue_empty_train(split(s, d).where("split <> 'train'").select("doc_id", "split"), "doc_id")
+    rows = split(s, d).select("doc_id", "split")
+    moved = C.rescue_empty_train(rows.where("split <> 'train'"), "doc_id")
+    return moved.withColumn("kind", F.lit("none in train")).unionByName(
+        C.rescue_empty_train(rows, "doc_id").withColumn("kind", F.lit("some in train")))
 
 
 @Q.add("o12_partition_by_modulo", "SELECT doc_id % 8 AS worker, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1")
@@ -304,6 +309,24 @@ def _(s, d):
     return r6(C.near_duplicate_leaks(docs(s, d), table(s, d, "benchmark"), I.words(), I.words()), "share")
 
 
+TRACE = f"""tr AS (SELECT vec_id, label % 2 AS source, vec_id % 2 AS signer, vec_id * 37 % 400 AS s, vec_id * 37 % 400 + 60 AS e, {FRAC.format(c='vec_id')} AS f,
+  [(x - m) / sd for x in emb] AS p FROM (SELECT vec_id, label, emb, list_avg(emb) AS m, sqrt(list_avg([(y - list_avg(emb)) ** 2 for y in emb])) AS sd
+    FROM (SELECT vec_id, label, [CAST(z AS DOUBLE) for z in embedding] AS emb FROM embeddings))),
+ts AS (SELECT *, CASE WHEN f < 0.8 THEN 'train' WHEN f < 0.9 THEN 'val' ELSE 'test' END AS split FROM tr)"""
+
+
+@Q.add("j16_trajectory_leak", f"""WITH {TRACE}, pr AS (SELECT a.source, a.signer, a.vec_id AS clip, b.vec_id AS other, a.split, b.split AS other_split,
+  CAST(least(a.e, b.e) - greatest(a.s, b.s) AS DOUBLE) AS overlap, list_distance(a.p, b.p) / 8 AS distance
+  FROM ts a JOIN ts b ON a.source = b.source AND a.signer = b.signer AND a.split < b.split AND a.s < b.e AND b.s < a.e)
+SELECT source, signer, clip, other, split, other_split, overlap, round(distance, 6) AS distance, 1 AS copies, 1 AS other_copies FROM pr WHERE distance <= 1.2""")
+def _(s, d):
+    start = F.col("vec_id") * 37 % 400
+    clips = table(s, d, "embeddings").select(
+        F.col("vec_id").alias("clip_id"), X.split_of("vec_id").alias("split"), (F.col("label") % 2).alias("source"), (F.col("vec_id") % 2).alias("signer"),
+        start.alias("start"), (start + 60).alias("end"), F.col("embedding").cast("array<double>").alias("path"))
+    return r6(K.trajectory_leaks(clips, 1.2, 50), "distance")
+
+
 @Q.add("j2_completed_key_exclusion", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(s, d):
     return docs(s, d).select("doc_id").join(table(s, d, "labels"), "doc_id", "left_anti")

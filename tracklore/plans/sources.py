@@ -21,13 +21,18 @@ def r6(df, *cols):
     return df
 
 
-@Q.add("j1_clip_transcript", """WITH c AS (SELECT conv_id || '-rgb_front' AS clip_id FROM (SELECT DISTINCT conv_id FROM conversations)),
-t AS (SELECT CAST(conv_id AS VARCHAR) AS id, max(text) AS text FROM conversations WHERE turn = 1 GROUP BY conv_id)
-SELECT clip_id, COALESCE(text, 'none') AS text FROM c LEFT JOIN t ON t.id = replace(clip_id, '-rgb_front', '')""")
+@Q.add("j1_clip_transcript", """WITH k AS (SELECT conv_id || '.' || turn AS id, turn, text FROM conversations),
+c AS (SELECT id || CASE turn % 3 WHEN 0 THEN '-rgb_front' WHEN 1 THEN '_rgb_front' ELSE '' END AS clip_id FROM (SELECT DISTINCT id, turn FROM k)
+  UNION ALL SELECT DISTINCT conv_id || '-rgb_front' FROM conversations),
+t AS (SELECT id, max(text) AS text FROM k GROUP BY id)
+SELECT clip_id, COALESCE(text, 'none') AS text FROM c LEFT JOIN t ON t.id = regexp_replace(clip_id, '[-_]rgb_front', '')""")
 def _(s, d):
     c = table(s, d, "conversations")
-    clips = c.select(F.concat(F.col("conv_id").cast("string"), F.lit("-rgb_front")).alias("clip_id")).distinct()
-    t = c.where("turn = 1").groupBy(F.col("conv_id").cast("string").alias("clip_id")).agg(F.max("text").alias("text"))
+    turn = F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    camera = F.when(F.col("turn") % 3 == 0, "-rgb_front").when(F.col("turn") % 3 == 1, "_rgb_front").otherwise("")
+    untold = c.select(F.concat(F.col("conv_id").cast("string"), F.lit("-rgb_front")).alias("clip_id")).distinct()
+    clips = c.select(F.concat(turn, camera).alias("clip_id")).distinct().unionByName(untold)
+    t = c.groupBy(turn.alias("clip_id")).agg(F.max("text").alias("text"))
     return R.attach_transcripts(clips, t, "none").select("clip_id", "text")
 
 
@@ -53,6 +58,15 @@ def _(s, d):
     return W.manifest(split(s, d)).withColumn("bytes", F.col("bytes").cast("bigint"))
 
 
+@Q.add("s8_shard_list", f"""WITH {SPLIT}, n AS (SELECT split, text, n_chars, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS place FROM sp)
+SELECT split, place // 100 AS shard, count(*) AS rows, min(place) AS first, max(place) AS last,
+  count(*) FILTER (WHERE NOT COALESCE(length(text) = n_chars, false)) AS broken_length, count(*) FILTER (WHERE NOT COALESCE(n_chars >= 300, false)) AS broken_long
+FROM n GROUP BY ALL""")
+def _(s, d):
+    rules = {"length": F.char_length("text") == F.col("n_chars"), "long": F.col("n_chars") >= 300}
+    return W.shard_list(W.numbered_shards(split(s, d), "split", ["doc_id"], 100), "split", rules)
+
+
 @Q.add("s9_resume_filter", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def _(s, d):
     return W.resume_filter(table(s, d, "documents").select("doc_id"), table(s, d, "labels").where("quality = 1"), "doc_id")
@@ -76,6 +90,17 @@ def _(s, d):
     return W.merge_micro_shards(recs, voc).select("p_partkey", "label_idx", "features")
 
 
+@Q.add("s11_repack", """WITH v AS (SELECT p_name AS label, row_number() OVER (ORDER BY p_name) + 3 AS id FROM (SELECT DISTINCT p_name FROM part WHERE p_size < 9)),
+m AS (SELECT p_partkey, p_brand, COALESCE(id, -1) AS label_idx FROM part LEFT JOIN v ON v.label = p_name)
+SELECT p_brand, (row_number() OVER w - 1) // 64 AS shard, row_number() OVER w - 1 AS place, p_partkey, label_idx FROM m WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)""")
+def _(s, d):
+    part = table(s, d, "part")
+    voc = C.build_vocab(part.where("p_size < 9").select(F.col("p_name").alias("token")))
+    recs = part.select("p_partkey", "p_brand", F.col("p_name").alias("label"), F.array("p_retailprice").alias("features"))
+    packed = W.numbered_shards(W.merge_micro_shards(recs, voc), "p_brand", ["p_partkey"], 64)
+    return packed.select("p_brand", "shard", "place", "p_partkey", "label_idx")
+
+
 @Q.add("s12_filtered_article_corpus", f"""WITH a AS (SELECT doc_id AS page_id, string_split(text, chr(10)) AS sec FROM documents WHERE n_chars > 5000),
 x AS (SELECT page_id, unnest(sec) AS text, unnest(generate_series(0, len(sec) - 1)) AS section FROM a),
 t AS (SELECT page_id, section, {I.WORDS_SQL.format(c="text")} AS w FROM x WHERE length(trim(text)) >= 20)
