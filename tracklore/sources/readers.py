@@ -5,8 +5,11 @@ Every reader names its schema; only header names are looked at while planning.
 
 from __future__ import annotations
 
+import csv
 import io
+import re
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -14,7 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracklore.functions.vectors import let
 from tracklore.operators import ordered
+from tracklore.sources.ranges import json_objects
 
 ID_NAMES = ("sentence_name", "clip_id", "video_id", "id", "name", "filename")
 TEXT_NAMES = ("sentence", "text", "transcript", "translation", "label", "gloss")
@@ -37,34 +42,60 @@ def resolve_column(columns: Sequence[str], names: Sequence[str]) -> str | None:
     return next((c for n in names for k, c in lower.items() if n in k), None)
 
 
+def _file_order(file: str, paths: Sequence[str]) -> int:
+    """Which of the given paths a file belongs to: the same place, or a folder above it."""
+    place = lambda p: "/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", p).strip("/")
+    mine = place(unquote(file))
+    exact = [i for i, p in enumerate(paths) if mine == place(p) and (":/" not in p or p.split(":/")[0] == file.split(":/")[0])]
+    above = [i for i, p in enumerate(paths) if mine.startswith(place(p) + "/")]
+    return (exact or above or [len(paths)])[-1]
+
+
+def _columns(header: str) -> tuple[str, int, int, int]:
+    """Separator, places of id and text, and number of columns of a header."""
+    sep = max("\t,;|", key=header.count)
+    names = next(csv.reader([header], delimiter=sep))
+    unique = [n if n not in names[:i] else f"{n} {i}" for i, n in enumerate(names)]
+    key = resolve_column(unique, ID_NAMES) or unique[0]
+    text = resolve_column([c for c in unique if c != key], TEXT_NAMES) or unique[-1]
+    return sep, unique.index(key), unique.index(text), len(unique)
+
+
 def transcripts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """clip_id and text of delimited files; later files win over earlier ones.
+    """clip_id and text of delimited files; later files win over earlier ones, later lines over earlier ones.
 
     The delimiter is the one of , ; tab | that splits the header most.  A header
     without a known name for the id or the text gives its first or last column.  Each row
     answers to its id and to the id without a front-camera suffix.
+    All files are one scan: one job gives the first line of every file that has one, and a line is cut by the header of its file.
+    Lines equal to the header of their file are headers.
     """
-    parts = []
-    for order, path in enumerate(paths):
-        header = spark.read.text(path).limit(1).collect()
-        if not header:
-            continue
-        sep = max("\t,;|", key=header[0][0].count)
-        rows = spark.read.csv(path, sep=sep, header=True, multiLine=False, quote='"', escape='"')
-        key = resolve_column(rows.columns, ID_NAMES) or rows.columns[0]
-        text = resolve_column([c for c in rows.columns if c != key], TEXT_NAMES) or rows.columns[-1]
-        parts.append(rows.select(
-            F.trim(F.col(f"`{key}`")).alias("raw"), F.trim(F.col(f"`{text}`")).alias("text"), F.lit(order).alias("file_no"),
-            F.monotonically_increasing_id().alias("row_no")))
-    if not parts:
-        return spark.createDataFrame([], "clip_id string, text string")
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
+    empty = spark.createDataFrame([], "clip_id string, text string")
+    if not paths:
+        return empty
+    lines = spark.read.text(list(paths)).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row_no")).where(F.trim("line") != "")
+    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("line", "row_no").alias("header")).collect()
+    if not heads:
+        return empty
+    known = [(h.file, h.header, _file_order(h.file, paths), *_columns(h.header)) for h in heads]
+    files = spark.createDataFrame(known, "file string, header string, file_no int, sep string, key int, place int, width int")
+    schema = ", ".join(f"c{i} string" for i in range(max(k[-1] for k in known)))
+
+    def cells(sep: str) -> Column:
+        row = F.from_csv("line", schema, {"sep": sep, "quote": '"', "escape": '"'})
+        return let(row, lambda r: F.array(*[r[f"c{i}"] for i in range(max(k[-1] for k in known))]))
+
+    cut = F.lit(None)
+    for sep in sorted({k[3] for k in known}):
+        cut = F.when(F.col("sep") == sep, cells(sep)).otherwise(cut)
+    rows = lines.join(files, "file").where("line <> header").withColumn("cells", cut).select(
+        "file_no", "file", "block", "row_no", F.trim(F.get("cells", "key")).alias("raw"), F.trim(F.get("cells", "place")).alias("text"))
     clean = F.regexp_replace("raw", r"[-_]rgb_front", "")
-    both = union.where((F.col("raw") != "") & (F.col("text") != "")).withColumn(
+    both = rows.where((F.col("raw") != "") & (F.col("text") != "")).withColumn(
         "clip_id", F.explode(F.array_distinct(F.array("raw", clean))))
-    return both.groupBy("clip_id").agg(F.max_by("text", F.struct("file_no", "row_no")).alias("text"))
+    return both.groupBy("clip_id").agg(F.max_by("text", F.struct("file_no", "file", "block", "row_no")).alias("text"))
 
 
 def attach_transcripts(clips: DataFrame, texts: DataFrame, default: str = "") -> DataFrame:
@@ -84,9 +115,9 @@ NESTED = T.StructType([
 
 
 def nested_index(spark: SparkSession, path: str) -> DataFrame:
-    """One row per instance; the 1-based first frame becomes 0-based."""
-    rows = spark.read.schema(NESTED).json(path, multiLine=True)
-    return rows.select("gloss", F.explode("instances").alias("i")).select(
+    """One row per instance; the 1-based first frame becomes 0-based. The file is read by byte ranges."""
+    rows = json_objects(spark, [path]).select(F.from_json("json", NESTED).alias("r"))
+    return rows.select("r.gloss", F.explode("r.instances").alias("i")).select(
         F.lower("gloss").alias("gloss"), "i.video_id", "i.split", F.greatest(F.lit(0), F.col("i.frame_start") - 1).alias("frame_start"),
         "i.frame_end", "i.signer_id")
 
