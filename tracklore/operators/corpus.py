@@ -244,6 +244,55 @@ def truncation_audit(rows: DataFrame, limits: list[int]) -> DataFrame:
             (F.count_if(F.col("length") > k) / F.count(F.lit(1)) * 100).alias(f"percent_over_{k}"))])
 
 
+def length_distribution(rows: DataFrame, fields: dict[str, int], key: str = "source") -> DataFrame:
+    """Per key, over all, and per field: rows, rows over the field's limit, and exact quantiles of original and stored lengths.
+
+    ``fields`` maps a length column to its limit; the stored length is cut at the limit. All fields pass through one
+    histogram of (key, field, length), which is what the quantiles are read from, so a key with most of the rows is a few
+    counts and the rows themselves are never sorted. Null lengths count as rows of no length. ``grouped`` is 0 in the row over all.
+    """
+    limit = F.col("limit")
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).cast("long").alias("limit"), F.col(f).cast("long").alias("length"))
+                            for f, k in fields.items()])
+    h = rows.select(key, F.explode(each).alias("e")).select(key, "e.*").groupBy(key, "field", "limit", "length").agg(F.count(F.lit(1)).alias("n"))
+    full = ["field", "limit", "length"]
+    h = h.groupingSets([[F.col(c) for c in (key, *full)], [F.col(c) for c in full]], key, *full).agg(F.sum("n").alias("n"), F.grouping(key).alias("__all"))
+    cells = h.withColumn("stored", F.least("length", limit)).withColumn("grouped", 1 - F.col("__all").cast("int"))
+    at = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    quantiles = lambda c: [F.percentile(c, F.lit(q), F.col("n")).alias(f"{c}_{p}") for p, q in at.items()]
+    return cells.groupBy(key, "grouped", "field", "limit").agg(
+        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("length") > limit, F.col("n"))), F.lit(0)).alias("truncated"), F.max("length").alias("longest"),
+        *quantiles("length"), *quantiles("stored"))
+
+
+def frequency_band(n: Column) -> Column:
+    """How often a word or class occurs, by powers of ten: 0 for 1-9, 1 for 10-99 and so on."""
+    return F.length(n.cast("string")) - 1
+
+
+def unk_by_frequency(docs: DataFrame, words: Column, vocab: DataFrame) -> DataFrame:
+    """Unknown share of words and of their occurrences per frequency band of the word, over all documents."""
+    counts = docs.select(F.explode(words).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    j = counts.join(vocab.select("token", F.lit(1).alias("known")).distinct(), "token", "left")
+    unknown = F.col("known").isNull()
+    return j.groupBy(frequency_band(F.col("n")).alias("band")).agg(
+        F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens"), (F.count_if(unknown) / F.count(F.lit(1)) * 100).alias("unk_words_percent"),
+        (F.sum(F.when(unknown, F.col("n")).otherwise(0)) / F.sum("n") * 100).alias("unk_percent"))
+
+
+def coverage_by_frequency(classes: DataFrame, lexicon: DataFrame, key: str, top: int = 100) -> DataFrame:
+    """Share of classes with lexicon attributes per frequency band, and among the ``top`` most frequent (ties by key).
+
+    ``classes`` holds counts ``n`` per class and possibly source; a class is counted once, with all its rows.
+    """
+    n = classes.groupBy(key).agg(F.sum("n").alias("n"))
+    j = n.join(lexicon.select(key, F.lit(1).alias("known")).distinct(), key, "left")
+    facts = [F.count(F.lit(1)).alias("classes"), F.count("known").alias("covered"), (F.count("known") / F.count(F.lit(1)) * 100).alias("percent")]
+    bands = j.groupBy(frequency_band(F.col("n")).alias("band")).agg(*facts).select(F.format_string("10^%d", "band").alias("part"), "classes", "covered", "percent")
+    best = j.orderBy(F.desc("n"), key).limit(top).agg(*facts).select(F.lit(f"top {top}").alias("part"), "classes", "covered", "percent")
+    return bands.unionByName(best)
+
+
 def coverage(classes: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     """Share of classes with lexicon attributes, per source and over all."""
     j = classes.join(lexicon.select(key, F.lit(1).alias("known")).distinct(), key, "left")
@@ -253,17 +302,36 @@ def coverage(classes: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
         (F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)) / F.sum("n") * 100).alias("weighted_percent"))
 
 
-def shard_mix(rows: DataFrame) -> DataFrame:
-    """Share of each task per shard and its distance from the global share."""
-    cells = rows.groupBy("shard", "task").agg(F.count(F.lit(1)).alias("n"))
+def shard_mix(rows: DataFrame, part: str = "task") -> DataFrame:
+    """Share of each task (or source, or validity) per shard and its distance from the global share."""
+    cells = rows.groupBy("shard", part).agg(F.count(F.lit(1)).alias("n"))
     shard = cells.groupBy("shard").agg(F.sum("n").alias("of"))
-    task = cells.groupBy("task").agg(F.sum("n").alias("all"))
+    task = cells.groupBy(part).agg(F.sum("n").alias("all"))
     total = cells.agg(F.sum("n")).scalar()
-    return cells.join(shard, "shard").join(task, "task").select(
-        "shard", "task", (F.col("n") / F.col("of") * 100).alias("percent"),
+    return cells.join(shard, "shard").join(task, part).select(
+        "shard", part, (F.col("n") / F.col("of") * 100).alias("percent"),
         (F.col("n") / F.col("of") * 100 - F.col("all") / total * 100).alias("deviation"))
 
 
+def shard_mixes(rows: DataFrame, parts: list[str], workers: int) -> DataFrame:
+    """Shares of every value of all ``parts`` per shard and per worker (shard modulo ``workers``), from one scan.
+
+    One row per (level, number, part, value) that occurs, with its share there, its global share and the distance of the two.
+    """
+    level = F.explode(F.array(F.struct(F.lit("shard").alias("level"), F.col("shard").cast("long").alias("number")),
+                              F.struct(F.lit("worker").alias("level"), F.pmod("shard", F.lit(workers)).cast("long").alias("number")),
+                              F.struct(F.lit("all").alias("level"), F.lit(None).cast("long").alias("number"))))
+    value = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.coalesce(F.col(p).cast("string"), F.lit("none")).alias("value")) for p in parts]))
+    # shards meet their counts first, so levels and parts multiply cells and not rows
+    cells = rows.groupBy("shard", *parts).agg(F.count(F.lit(1)).alias("n")).select("n", "shard", *parts, level.alias("l")).select("n", "l.*", value.alias("v"))
+    cells = cells.groupBy("level", "number", "v.part", "v.value").agg(F.sum("n").alias("n"))
+    of = cells.groupBy("level", "number", "part").agg(F.sum("n").alias("of"))
+    there = ordered._join_on(cells, of, ["level", "number", "part"]).withColumn("percent", F.col("n") / F.col("of") * 100)
+    whole = there.where("level = 'all'").select("part", "value", F.col("percent").alias("overall"))
+    return there.where("level <> 'all'").join(whole, ["part", "value"]).select(
+        "level", "number", "part", "value", "n", "percent", (F.col("percent") - F.col("overall")).alias("deviation"))
+
+
 def feature_schema_audit(rows: DataFrame) -> DataFrame:
     f = F.col("features")
     return rows.groupBy("source", F.size(f).alias("width")).agg(
@@ -272,6 +340,26 @@ def feature_schema_audit(rows: DataFrame) -> DataFrame:
         F.count_if(F.exists(f, lambda x: F.abs(x) == float("inf"))).alias("with_inf"))
 
 
+def clip_schema_audit(clips: DataFrame, least: int, expected: int) -> DataFrame:
+    """Per source, task and width: clips, those without, with one and with fewer than ``least`` frames, ragged, NaN and infinite ones.
+
+    ``clips`` has source, task and frames (array of arrays). The width of a clip is that of its frames; clips whose
+    frames differ, or that have a null frame, are ``ragged`` and have no width, like clips without frames. ``action`` is
+    what a loader with ``expected`` channels would do: keep, cut, pad, or nothing to read.
+    """
+    f = F.col("frames")
+    sizes = F.transform(f, lambda x: F.when(x.isNotNull(), F.size(x)))
+    shape = clips.withColumn("__t", F.coalesce(F.when(f.isNotNull(), F.size(f)), F.lit(0))).withColumn("__lo", F.array_min(sizes)).withColumn("__hi", F.array_max(sizes))
+    ragged = F.coalesce((F.col("__lo") != F.col("__hi")) | F.exists(f, lambda x: x.isNull()), F.lit(False))
+    any_of = lambda test: F.coalesce(F.exists(f, lambda x: F.coalesce(F.exists(x, test), F.lit(False))), F.lit(False))
+    width = F.when(~ragged & (F.col("__t") > 0), F.col("__lo"))
+    action = F.when(width.isNull() | (width == 0), "none").when(width > expected, "cut").when(width < expected, "pad").otherwise("keep")
+    return shape.groupBy("source", "task", width.alias("width"), action.alias("action")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("__t") == 0).alias("no_frame"), F.count_if(F.col("__t") == 1).alias("one_frame"),
+        F.count_if(F.col("__t") < least).alias("too_short"), F.count_if(ragged).alias("ragged"), F.count_if(any_of(F.isnan)).alias("with_nan"),
+        F.count_if(any_of(lambda x: F.abs(x) == float("inf"))).alias("with_inf"))
+
+
 def attribute_id_stability(rows: DataFrame) -> DataFrame:
     d = rows.select("attribute", "id").distinct()
     return d.groupBy("attribute").agg(F.count(F.lit(1)).alias("ids")).where("ids > 1")

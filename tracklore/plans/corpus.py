@@ -130,6 +130,26 @@ def _(s, d):
     return r6(C.truncation_audit(w, [64, 256]), "mean_length", "percent_over_64", "percent_over_256")
 
 
+_QS = ", ".join(f"quantile_cont({c}, {q}) AS {c}_{p}" for c in ("length", "stored") for p, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)))
+
+
+@Q.add("a12_length_distribution", f"""WITH w AS (SELECT source, 'words' AS field, 64 AS lim, CAST(len({WD}) AS BIGINT) AS length FROM documents
+  UNION ALL SELECT source, 'n_chars', 1000, n_chars FROM documents),
+x AS (SELECT *, LEAST(length, lim) AS stored FROM w)
+SELECT source, 1 - CAST(grouping(source) AS INTEGER) AS grouped, field, CAST(lim AS BIGINT) AS "limit", count(*) AS n, count(*) FILTER (WHERE length > lim) AS truncated,
+  max(length) AS longest, {_QS} FROM x GROUP BY GROUPING SETS ((source, field, lim), (field, lim))""")
+def _(s, d):
+    w = docs(s, d).select("source", F.size(I.words()).alias("words"), "n_chars")
+    return C.length_distribution(w, {"words": 64, "n_chars": 1000})
+
+
+@Q.add("a13_unk_by_frequency", f"""WITH {VOC}, c AS (SELECT token, count(*) AS n FROM tok GROUP BY token), j AS (SELECT c.*, id IS NULL AS u, length(CAST(n AS VARCHAR)) - 1 AS band FROM c LEFT JOIN voc USING (token))
+SELECT CAST(band AS INTEGER) AS band, count(*) AS words, CAST(sum(n) AS BIGINT) AS tokens, round(count(*) FILTER (WHERE u) / CAST(count(*) AS DOUBLE) * 100, 6) AS unk_words_percent,
+  round(COALESCE(sum(n) FILTER (WHERE u), 0) / CAST(sum(n) AS DOUBLE) * 100, 6) AS unk_percent FROM j GROUP BY band""")
+def _(s, d):
+    return r6(C.unk_by_frequency(docs(s, d), I.words(), vocab(s, d)), "unk_words_percent", "unk_percent")
+
+
 @Q.add("a13_unk_rate", f"""WITH {VOC},
 sq AS (SELECT doc_id, source, count(*) AS n, count(*) FILTER (WHERE id IS NULL) AS u FROM tok LEFT JOIN voc USING (token) GROUP BY doc_id, source)
 SELECT source, round(sum(u) / CAST(sum(n) AS DOUBLE) * 100, 6) AS unk_percent,
@@ -150,6 +170,15 @@ def _(s, d):
     return r6(C.coverage(classes, toks(s, d).where("lang = 'fr'"), "token"), "percent", "weighted_percent")
 
 
+@Q.add("a14_coverage_by_frequency", f"""WITH {TOK}, lex AS (SELECT DISTINCT token FROM tok WHERE lang = 'fr'), c AS (SELECT token, count(*) AS n FROM tok GROUP BY token),
+j AS (SELECT c.*, lex.token IS NOT NULL AS known, row_number() OVER (ORDER BY n DESC, c.token) AS rn FROM c LEFT JOIN lex USING (token)),
+p AS (SELECT '10^' || (length(CAST(n AS VARCHAR)) - 1) AS part, known FROM j UNION ALL SELECT 'top 100', known FROM j WHERE rn <= 100)
+SELECT part, count(*) AS classes, count(*) FILTER (WHERE known) AS covered, round(count(*) FILTER (WHERE known) / CAST(count(*) AS DOUBLE) * 100, 6) AS percent FROM p GROUP BY part""")
+def _(s, d):
+    classes = toks(s, d).groupBy("source", "token").agg(F.count(F.lit(1)).alias("n"))
+    return r6(C.coverage_by_frequency(classes, toks(s, d).where("lang = 'fr'"), "token"), "percent")
+
+
 GAP = "gv AS (SELECT p_partkey * p_partkey % 1009 AS id, p_name AS label, p_type AS attribute FROM part)"
 
 
@@ -198,6 +227,34 @@ def _(s, d):
     return r6(C.shard_mix(quality(s, d)), "percent", "deviation")
 
 
+@Q.add("a18_shard_mixes", f"""WITH {QR}, r AS (SELECT shard, source, COALESCE(task, 'none') AS task, CASE WHEN quality IS NULL THEN 'none' WHEN quality > 0 THEN 'true' ELSE 'false' END AS valid FROM qr),
+v AS (SELECT shard, 'source' AS part, COALESCE(source, 'none') AS value FROM r UNION ALL SELECT shard, 'task', task FROM r UNION ALL SELECT shard, 'valid', valid FROM r),
+l AS (SELECT 'shard' AS level, shard AS number, part, value FROM v UNION ALL SELECT 'worker', shard % 4, part, value FROM v),
+g AS (SELECT part, value, count(*) / CAST((SELECT count(*) FROM r) AS DOUBLE) * 100 AS overall FROM v GROUP BY ALL),
+c AS (SELECT level, number, part, value, count(*) AS n FROM l GROUP BY ALL), q AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY level, number, part) AS DOUBLE) * 100 AS percent FROM c)
+SELECT level, number, part, value, n, round(percent, 6) AS percent, round(percent - overall, 6) AS deviation FROM q JOIN g USING (part, value)""")
+def _(s, d):
+    rows = quality(s, d).withColumn("valid", F.col("quality") > 0)
+    return r6(C.shard_mixes(rows, ["source", "task", "valid"], 4), "percent", "deviation")
+
+
+@Q.add("a19_clip_schema_audit", """WITH e AS (SELECT 'src' || label AS source, CASE vec_id % 3 WHEN 0 THEN 'isolated' ELSE 'sentence' END AS task, [CAST(x AS DOUBLE) for x in embedding] AS v, vec_id % 5 AS k FROM embeddings),
+f AS (SELECT source, task, k, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 8 WHEN 3 THEN 4 ELSE 2 END AS t,
+  CASE k WHEN 1 THEN 64 WHEN 2 THEN 8 WHEN 3 THEN 16 ELSE NULL END AS width, k = 4 AS ragged FROM e)
+SELECT source, task, CAST(width AS INTEGER) AS width, CASE WHEN width IS NULL THEN 'none' WHEN width > 16 THEN 'cut' WHEN width < 16 THEN 'pad' ELSE 'keep' END AS action, count(*) AS n,
+ count(*) FILTER (WHERE t = 0) AS no_frame, count(*) FILTER (WHERE t = 1) AS one_frame, count(*) FILTER (WHERE t < 4) AS too_short, count(*) FILTER (WHERE ragged) AS ragged,
+ count(*) FILTER (WHERE k = 3) AS with_nan, count(*) FILTER (WHERE k = 2) AS with_inf FROM f GROUP BY ALL""")
+def _(s, d):
+    v, k = F.col("embedding").cast("array<double>"), F.col("vec_id") % 5
+    cut = lambda n, w: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.slice(v, i * w + 1, w))
+    odd = lambda f, x: F.concat(F.slice(f, 2, 99), F.array(F.concat(F.slice(F.get(f, F.lit(0)), 2, 99), F.array(F.lit(float(x))))))
+    frames = F.when(k == 0, F.slice(F.array(v), 1, 0)).when(k == 1, F.array(v)).when(k == 2, odd(cut(8, 8), "-inf")).when(k == 3, odd(cut(4, 16), "nan")).otherwise(
+        F.array(v, F.slice(v, 1, 3)))
+    clips = table(s, d, "embeddings").select(F.concat(F.lit("src"), F.col("label").cast("string")).alias("source"),
+                                             F.when(F.col("vec_id") % 3 == 0, "isolated").otherwise("sentence").alias("task"), frames.alias("frames"))
+    return C.clip_schema_audit(clips, 4, 16)
+
+
 @Q.add("a19_feature_schema_audit", """SELECT 'src' || label AS source, len(embedding) AS width, count(*) AS n,
 count(*) FILTER (WHERE len(embedding) = 0) AS empty, count(*) FILTER (WHERE len(list_filter(embedding, lambda x: isnan(x))) > 0) AS with_nan,
 count(*) FILTER (WHERE len(list_filter(embedding, lambda x: isinf(x))) > 0) AS with_inf FROM embeddings GROUP BY ALL""")

@@ -1,20 +1,29 @@
 """Source, sink and quality queries; file formats are covered by the tests."""
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracklore.operators import corpus as C
+from tracklore.operators import ordered
 from tracklore.operators import quality as K
 from tracklore.plans import inputs as I
 from tracklore.plans.corpus import SPLIT, split
 from tracklore.plans.poses import BL, points
 from tracklore.plans.registry import QuerySet
-from tracklore.session import table
+from tracklore.session import shared_dir, table
 from tracklore.sources import readers as R
 from tracklore.sources import writers as W
 
 Q = QuerySet()
 
 
+def made(s) -> str:
+    """A new folder of the shared one, for files made from the given tables."""
+    return os.path.join(shared_dir(s), "made", uuid.uuid4().hex)
+
+
 def r6(df, *cols):
     for c in cols:
         df = df.withColumn(c, F.round(c, 6))
@@ -36,6 +45,63 @@ def _(s, d):
     return R.attach_transcripts(clips, t, "none").select("clip_id", "text")
 
 
+@Q.add("s1_load_transcripts", """WITH k AS (SELECT conv_id || '.' || turn || CASE turn % 2 WHEN 0 THEN '-rgb_front' ELSE '' END AS raw, trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) AS text, conv_id % 2 AS f FROM conversations),
+b AS (SELECT raw, text, f FROM k UNION ALL SELECT regexp_replace(raw, '[-_]rgb_front', ''), text, f FROM k WHERE contains(raw, 'rgb_front'))
+SELECT raw AS clip_id, max(text) AS text FROM b WHERE text <> '' GROUP BY raw""")
+def _(s, d):
+    c = table(s, d, "conversations").groupBy("conv_id", "turn").agg(F.max(F.trim(F.regexp_replace("text", r"[\r\n]+", " "))).alias("text"))
+    name = F.concat(F.concat_ws(".", "conv_id", "turn"), F.when(F.col("turn") % 2 == 0, "-rgb_front").otherwise(""))
+    paths = [made(s), made(s)]
+    told = c.select("conv_id", name.alias("sentence_name"), F.lit("x").alias("note"), F.col("text").alias("sentence"))
+    for i, (path, sep) in enumerate(zip(paths, "\t,")):
+        told.where(F.col("conv_id") % 2 == i).drop("conv_id").write.csv(path, header=True, sep=sep, escape='"')
+    return R.transcripts(s, paths)
+
+
+@Q.add("s2_load_nested_index", """SELECT lower(p_brand) AS gloss, CAST(p_partkey AS VARCHAR) AS video_id, CASE p_partkey % 3 WHEN 0 THEN 'val' ELSE 'train' END AS split,
+CAST(GREATEST(0, p_size - 1) AS INTEGER) AS frame_start, CAST(p_size + 20 AS INTEGER) AS frame_end, CAST(p_partkey % 7 AS INTEGER) AS signer_id FROM part""")
+def _(s, d):
+    k = F.col("p_partkey")
+    clip = F.struct(k.cast("string").alias("video_id"), F.when(k % 3 == 0, "val").otherwise("train").alias("split"), F.col("p_size").alias("frame_start"),
+                    (F.col("p_size") + 20).alias("frame_end"), (k % 7).alias("signer_id"))
+    path = made(s)
+    table(s, d, "part").groupBy(F.col("p_brand").alias("gloss"), F.floor(k / 1000).alias("part")).agg(F.collect_list(clip).alias("instances")).write.json(path)
+    return R.nested_index(s, path)
+
+
+@Q.add("s3_load_split_csvs", f"""WITH {SPLIT} SELECT source AS participant, CAST(doc_id AS VARCHAR) AS video, lang AS gloss, split || n_chars AS lex_code, split FROM sp""")
+def _(s, d):
+    rows = split(s, d).select(F.concat(F.lit(" "), "source").alias("Participant ID"), F.col("doc_id").alias("Video file"), F.concat("lang", F.lit(" ")).alias("Gloss"),
+                              F.concat("split", "n_chars").alias("ASL-LEX Code"), "split")
+    paths = {k: made(s) for k in ("train", "val", "test")}
+    for k, path in paths.items():
+        rows.where(F.col("split") == k).drop("split").write.csv(path, header=True)
+    return R.split_csvs(s, paths)
+
+
+@Q.add("s7_write_sharded", f"""WITH {SPLIT}, n AS (SELECT split, count(*) AS rows FROM sp GROUP BY split) SELECT split, rows, rows AS listed, LEAST(rows, 50) AS largest FROM n""")
+def _(s, d):
+    path = made(s)
+    W.write_sharded(split(s, d).select("doc_id", "split").coalesce(1), path, 50)
+    back = s.read.parquet(path)
+    listed = back.groupBy("split").agg(F.count_distinct("doc_id").alias("listed"))
+    return W.shard_counts(back).join(listed, "split").select("split", "rows", "listed", "largest")
+
+
+@Q.add("s15_media_listing", f"""SELECT event_id, row_number() OVER (ORDER BY ts DESC, CAST(event_id AS VARCHAR)) AS pos FROM events""")
+def _(s, d):
+    e = I.events(s, d).select("event_id", F.col("ts").alias("modificationTime"), F.col("event_id").cast("string").alias("path"))
+    return ordered.positions(e, [F.desc("modificationTime"), F.col("path")]).select("event_id", "pos")
+
+
+@Q.add("s17_training_metrics_csv", """SELECT CAST(doc_id AS DOUBLE) AS epoch, CAST(n_chars AS DOUBLE) / 8 AS accuracy FROM documents WHERE doc_id % 10 <> 3""")
+def _(s, d):
+    path = made(s)
+    docs = table(s, d, "documents").select("doc_id", (F.col("n_chars") / 8).cast("string").alias("acc"))
+    docs.select(F.col("doc_id").alias("epoch"), F.when(F.col("doc_id") % 10 == 3, "broken").otherwise(F.col("acc")).alias("acc")).write.csv(path, header=True)
+    return R.training_metrics(s, path)
+
+
 @Q.add("s4_partition_split", """SELECT doc_id, CASE WHEN contains(p, 'dev') OR contains(p, 'val') THEN 'val' WHEN contains(p, 'test') THEN 'test' ELSE 'train' END AS split
 FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'dev1' WHEN 1 THEN 'valid' WHEN 2 THEN 'test_b' ELSE 'x' END AS p FROM documents)""")
 def _(s, d):

@@ -25,6 +25,18 @@ def located(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def _files(path: str) -> list[tuple[str, int]]:
+    """The file, or the files anywhere in the folder but hidden ones, with their sizes."""
+    system, name = located(path)
+    info = system.get_file_info(name)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if info.type == fs.FileType.File:
+        return [(path, info.size)]
+    inside = [(i.path[len(name.rstrip("/")):], i.size) for i in system.get_file_info(fs.FileSelector(name, recursive=True)) if i.type == fs.FileType.File]
+    return [(path.rstrip("/") + p, size) for p, size in inside if not re.search(r"/[._]", p)]
+
+
 def _block(f, start: int, size: int) -> np.ndarray:
     """Bytes of a range with escaped ones blanked; backslashes in front of the range are looked at too."""
     slashes, back = 0, 64
@@ -102,18 +114,15 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def json_objects(spark: SparkSession, paths: Sequence[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """path, place and json of every object of JSON arrays (or of objects one after the other) in UTF-8.
+    """path, place and json of every object of JSON arrays (or of objects one after the other) in UTF-8 files or folders.
 
     Whether a range begins in a string, and how deep, depends on all text in front of it. So every range is first read for both
     cases: its quotes and its changes of depth outside of strings. Running sums over these few numbers, one row per range,
     give each range its true state, and it then gives the objects that begin in it. A task holds one range and one object.
     Elements that aren't objects are passed over, empty files have none, and an object without an end raises.
     """
-    sizes = []
-    for path in paths:
-        system, name = located(path)
-        sizes.append((path, system.get_file_info(name).size))
-    files = spark.createDataFrame([(p, s) for p, s in sizes if s], "path string, bytes long")
+    sizes = [(p, size) for path in paths for p, size in _files(path) if size]
+    files = spark.createDataFrame(sizes, "path string, bytes long")
     ranges = files.select("path", F.explode(F.sequence(F.lit(0), F.floor((F.col("bytes") - 1) / range_bytes))).alias("number")).select(
         "path", "number", (F.col("number") * range_bytes).alias("start"), F.lit(range_bytes).cast("long").alias("size"))
     found = written(spread(ranges, "path", "number").mapInPandas(

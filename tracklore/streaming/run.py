@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -70,7 +71,10 @@ class _Session(StatefulProcessor):
 
 
 class _TimedSession(_Session):
-    """Keeps the machine and the rows that the watermark has not passed; folds those in order, ends idle sessions."""
+    """Keeps the machine and the rows that the watermark has not passed; folds those in order, ends idle sessions.
+
+    A machine that knows how long it is needed says so by ``until``, in milliseconds; others end when idle.
+    """
 
     def __init__(self, *args, event_time: str, idle_ms: int) -> None:
         super().__init__(*args)
@@ -84,6 +88,9 @@ class _TimedSession(_Session):
         kept = self.state.get()
         return pickle.loads(kept[0]) if kept is not None else (self.machine(), [], 0)
 
+    def _end(self, m, last: int) -> int:
+        return m.until() if hasattr(m, "until") else last + self.idle_ms
+
     def _fold(self, key, m, waiting, last, watermark):
         """Rows up to the watermark go through the machine; timers call back for the rest and for the end."""
         waiting.sort(key=lambda w: (w[0], w[1]))
@@ -91,7 +98,7 @@ class _TimedSession(_Session):
         rest = waiting[len(ready):]
         out = [(*key, *r) for w in ready for r in m.step(w[2])]
         last = max([last, *(w[0] for w in ready)])
-        self.handle.registerTimer(rest[-1][0] if rest else last + self.idle_ms)
+        self.handle.registerTimer(rest[-1][0] if rest else self._end(m, last))
         self.state.update((pickle.dumps((m, rest, last)),))
         return pd.DataFrame(out, columns=self.names)
 
@@ -108,7 +115,7 @@ class _TimedSession(_Session):
             yield pd.DataFrame([], columns=self.names)
             return
         m, waiting, last = self._load()
-        if waiting or expiredTimerInfo.getExpiryTimeInMs() < last + self.idle_ms:
+        if waiting or timerValues.getCurrentWatermarkInMs() < self._end(m, last):
             yield self._fold(key, m, waiting, last, timerValues.getCurrentWatermarkInMs())
             return
         self.state.clear()
@@ -144,8 +151,12 @@ def ingest_new(spark, schema: T.StructType, source: str, target: str, checkpoint
 
 
 def notify_new(rows: DataFrame, send: Callable, checkpoint: str):
-    """Hand every micro-batch of new media rows to ``send`` as a DataFrame."""
-    q = (rows.writeStream.foreachBatch(lambda batch, _: send(batch))
+    """Hand every micro-batch of new media rows to ``send`` as a DataFrame.
+
+    A batch whose ``send`` fails, or whose job dies before its progress is written, is handed over again with the same
+    rows and ``batch_id``, by which a receiver can drop the repeat.
+    """
+    q = (rows.writeStream.foreachBatch(lambda batch, i: send(batch.withColumn("batch_id", F.lit(i).cast("long"))))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q

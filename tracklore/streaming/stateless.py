@@ -109,11 +109,6 @@ def cache_live(entries: DataFrame, now: Column, key: str) -> DataFrame:
     return newest.where(F.col("e.expires_at") > now).select(key, "e.payload", "e.expires_at")
 
 
-def cache_live_stream(entries: DataFrame, key: str, ttl: str) -> DataFrame:
-    """First entry per key within its time to live, on a stream."""
-    return entries.withWatermark("created_at", ttl).dropDuplicatesWithinWatermark([key])
-
-
 def latest_frames(rows: DataFrame, session: str, order: list[str], value: str) -> DataFrame:
     """Of unprocessed frames only the newest per session."""
     return rows.groupBy(session).agg(F.max_by(value, F.struct(*order)).alias(value), F.count(F.lit(1)).alias("offered"))
