@@ -257,3 +257,33 @@ def test_discriminant_learns_held_out_labels(spark, sf, docs, none):
     few = discriminant.scored(docs, labels.limit(0))
     assert few.count() == docs.count() and {r["score"] for r in few.collect()} == {0.5}
     assert discriminant.scored(none, labels).collect() == []
+
+
+def test_discriminant_matches_a_plain_fit(spark):
+    rng = np.random.default_rng(4)
+    c = (rng.random(300) < 0.3).astype(int)
+    x = rng.normal(size=(300, 4)) * [1, 3, 0.2, 5] + np.outer(c, [1, 0, 0.3, -2])
+    x[:, 3] += x[:, 1] * (1 + c)
+    df = spark.createDataFrame([(int(k), *map(float, v)) for k, v in zip(c, x)], "c int, s0 double, s1 double, s2 double, s3 double").repartition(5)
+    model = discriminant.fit(df)
+    z = (x - x.mean(0)) / x.std(0)
+    density = []
+    for k in (0, 1):
+        y = z[c == k]
+        n, p, s = len(y), 4, np.cov(y.T, bias=True)
+        t2, t = np.trace(s @ s), np.trace(s)
+        rho = min(1, ((1 - 2 / p) * t2 + t * t) / ((n + 1 - 2 / p) * (t2 - t * t / p)))
+        s = (1 - rho) * s + rho * t / p * np.eye(p) + 1e-4 * np.eye(p)
+        d = z - y.mean(0)
+        density.append(-0.5 * ((d @ np.linalg.inv(s)) * d).sum(1) - 0.5 * np.linalg.slogdet(s)[1])
+    want = density[1] - density[0]
+    assert np.allclose(model.difference(x), want, atol=1e-6)
+    order = np.argsort(want)
+    score = model.score(x)
+    assert (np.diff(score[order]) >= -1e-12).all() and abs(score.mean() - c.mean()) < 0.05
+
+
+def test_license_rows_without_a_doc_id_are_scanned_apart(spark):
+    rows = [(None, f"text {i} under the MIT License" if i % 2 else f"text {i} of nothing") for i in range(40)] + [(None, None)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["n_base"], r["base_labels"], r["first_word"]) for r in got if r["n_base"]) == [(1, "mit", 4)] * 20 and len(got) == 41

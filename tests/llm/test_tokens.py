@@ -91,3 +91,38 @@ def test_plan_places_every_piece_once(counts):
     for s, o, m in zip(sequence, offset, length, strict=True):
         used[s, o:o + m] += 1
     assert used.max(initial=0) <= 1 and (np.diff(used, axis=1) <= 0).all()
+
+
+def fewest(lengths, size):
+    """Exact smallest number of sequences for a few pieces: longest first, into every different room."""
+    best = len(lengths)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for room in sorted({r for r in rooms if r >= lengths[i]}):
+            rest = list(rooms)
+            rest.remove(room)
+            place(i + 1, [*rest, room - lengths[i]])
+        place(i + 1, [*rooms, size - lengths[i]])
+
+    lengths = sorted(lengths, reverse=True)
+    place(0, [])
+    return best
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(6, 24).flatmap(lambda size: st.tuples(st.just(size), st.lists(st.integers(1, size), min_size=1, max_size=9))))
+def test_plans_are_near_the_exact_optimum(case):
+    size, lengths = case
+    plan = packing.Plan(np.bincount(lengths, minlength=size + 1), size)
+    assert fewest(lengths, size) <= plan.sequences <= 11 / 9 * fewest(lengths, size) + 1
+
+
+def test_packed_ids_are_the_ids_of_the_pieces(spark, docs):
+    for r in packing.packed(spark, docs, size=256, with_ids=True).collect():
+        assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]

@@ -67,12 +67,17 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "template int, label string, phrase boolean, text string").withColumn("words", F.split("text", " "))
 
 
+def row_name() -> Column:
+    """Rows are told apart by doc_id and text, so rows without a doc_id are no group; spans are verified on the words of each row."""
+    return F.xxhash64("doc_id", "text")
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """Merged candidate spans: scan_doc, template, label, phrase, at (place of the template's first word), last (place behind), words."""
     known = templates(docs.sparkSession)
     marks = F.broadcast(grams(known, "template", "words", "spot"))
     n_grams = F.size("words") - 1
-    given = docs.select(F.col("doc_id").alias("scan_doc"), words(F.col("text")).alias("w"))
+    given = docs.select(row_name().alias("scan_doc"), words(F.col("text")).alias("w"))
     hits = grams(given, "scan_doc", "w", "pos").join(marks, "gram")
     votes = hits.groupBy("scan_doc", "template", (F.col("pos") - F.col("spot")).alias("diagonal")).agg(
         F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
@@ -93,7 +98,7 @@ def scan(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     per_doc = spans(docs).groupBy("scan_doc").agg(F.collect_list(F.struct("label", "phrase", "words", "at", "end")).alias("spans"))
     # few or many documents with spans: texts are always joined by the same plan
-    joined = docs.join(per_doc.hint("merge"), docs["doc_id"].eqNullSafe(F.col("scan_doc")), "left").select("doc_id", words(F.col("text")).alias("w"), "spans")
+    joined = docs.join(per_doc.hint("merge"), row_name() == F.col("scan_doc"), "left").select("doc_id", words(F.col("text")).alias("w"), "spans")
 
     def share(s: Column) -> Column:
         there = F.slice(F.col("w"), s["at"] + 1, s["end"] - s["at"])

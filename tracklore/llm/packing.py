@@ -208,5 +208,6 @@ def pack(items: DataFrame, size: int) -> DataFrame:
     return store.map_arrow(joined, placed, f"{from_task}, sequence_id long, offset long")
 
 
-def packed(spark: SparkSession, docs: DataFrame, size: int = 1024, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2) -> DataFrame:
-    return pack(pieces(docs, tokenizer, end_id, size), size)
+def packed(spark: SparkSession, docs: DataFrame, size: int = 1024, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, with_ids: bool = False) -> DataFrame:
+    """Pieces of all documents with their places, and with their ids where asked for."""
+    return pack(pieces(docs, tokenizer, end_id, size, with_ids), size)

@@ -69,13 +69,23 @@ class EliasFano:
         low = sum(int(b) << k for k, b in enumerate(bits))
         return self.base + ((self.select(i) - i) << self.width | low)
 
-    def all(self) -> np.ndarray:
-        if not self.n:
-            return np.zeros(0, np.int64)
-        upper = np.flatnonzero(np.unpackbits(self.high, bitorder="little")) - np.arange(self.n)
-        bits = np.unpackbits(self.low, bitorder="little")[:self.n * self.width].reshape(self.n, self.width).astype(np.int64)
+    def slab(self, k: int) -> np.ndarray:
+        """Values of the k-th block of SAMPLE numbers: its upper bits lie between two samples, its lower ones at their place."""
+        first, last = k * SAMPLE, min(self.n, (k + 1) * SAMPLE)
+        begin = int(self.samples[k])
+        end = int(self.samples[k + 1]) if k + 1 < len(self.samples) else len(self.high) * 8
+        ones = np.flatnonzero(np.unpackbits(self.high[begin // 8:(end + 7) // 8], bitorder="little")) + begin // 8 * 8
+        upper = ones[np.searchsorted(ones, begin):][:last - first] - np.arange(first, last)
+        low = self.low[first * self.width // 8:(last * self.width + 7) // 8]  # SAMPLE numbers fill whole bytes
+        bits = np.unpackbits(low, bitorder="little")[:(last - first) * self.width].reshape(last - first, self.width).astype(np.int64)
         return self.base + ((upper << self.width) | (bits << np.arange(self.width)).sum(1))
 
+    def slabs(self):
+        return (self.slab(k) for k in range(len(self.samples)))
+
+    def all(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *self.slabs()])
+
     def pack(self) -> tuple[dict, list[bytes]]:
         parts = [self.low.tobytes(), self.high.tobytes(), self.samples.tobytes()]
         return {"n": self.n, "base": self.base, "width": self.width, "bytes": [len(p) for p in parts]}, parts
@@ -183,12 +193,14 @@ def read(files: DataFrame) -> DataFrame:
                 system, inner = store.filesystem(path)
                 with system.open_input_file(inner) as f:
                     shard = TokenFile(f.read())
-                at = shard.offsets()
-                ids = shard.ids.astype("<u4")
-                yield {
-                    "doc_id": pa.array(shard.names(), pa.int64()), "start": start + at[:-1], "n_tokens": np.diff(at),
-                    "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)],
-                }
+                ids, last, starts, sizes, sums = shard.ids.astype("<u4"), 0, [], [], []
+                for ends in shard.ends.slabs():  # boundaries of a few documents at a time, by their select sample
+                    at = np.concatenate([[last], ends])
+                    starts.append(start + at[:-1])
+                    sizes.append(np.diff(at))
+                    sums += [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    last = int(at[-1])
+                yield {"doc_id": pa.array(shard.names(), pa.int64()), "start": np.concatenate(starts), "n_tokens": np.concatenate(sizes), "ids_crc32": sums}
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return store.map_arrow(placed.repartition(n), rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
