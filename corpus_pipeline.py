@@ -53,8 +53,8 @@ def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents and their places in sequences."""
-    return packing.packed(spark, docs)
+    """Token pieces of all documents with their ids and their places in sequences."""
+    return packing.packed(spark, docs, with_ids=True)
 
 
 STAGES = [
