@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklore.operators import ordered
+from tracklore.session import written
 
 DAILY_GOAL = 5
 FIRST_EASE, LOWEST_EASE = 2.5, 1.3
@@ -120,12 +121,14 @@ def category_progress_completed(ul: DataFrame, lessons: DataFrame) -> DataFrame:
     )
 
 
+def _started_average(ul: DataFrame, lessons: DataFrame) -> DataFrame:
+    return ul.join(lessons, "lesson_id").groupBy("user_id", "category_id").agg(
+        (F.sum("completion") / F.count(F.lit(1))).alias("a"))
+
+
 def category_average(ul: DataFrame, lessons: DataFrame) -> DataFrame:
     """Mean completion of the lessons a learner started, 0 where none is."""
-    avg = (
-        ul.join(lessons, "lesson_id").groupBy("user_id", "category_id")
-        .agg((F.sum("completion") / F.count(F.lit(1))).alias("a"))
-    )
+    avg = _started_average(ul, lessons)
     g = grid(
         ul.select("user_id").distinct(), lessons.select("category_id").distinct(), "category_id"
     )
@@ -146,38 +149,61 @@ def daily_goal(ul: DataFrame, today: Column) -> DataFrame:
     )
 
 
+def first_missing(have: DataFrame, key: str, n: int = 1) -> DataFrame:
+    """The first n numbers from 1 that have(key, number) leaves out, per key: key, position, number.
+
+    The i-th number held has `number - i` missing ones below it, so the k-th missing number is k more than the count of
+    held numbers with fewer than k missing below; no list of what is missing is ever made.
+    """
+    mine = Window.partitionBy(key).orderBy("number")
+    below = have.select(key, "number").distinct().withColumn("__m", F.col("number") - F.row_number().over(mine))
+    each = F.array(*[F.struct(F.lit(k).alias("position"), (k + F.count_if(F.col("__m") < k)).alias("number")) for k in range(1, n + 1)])
+    return below.groupBy(key).agg(each.alias("__g")).select(key, F.inline("__g"))
+
+
 def recommendation(ul: DataFrame, lessons: DataFrame) -> DataFrame:
     """Weakest category, then its first open lesson, then any open lesson, then
     the least completed one.
 
-    Lessons are numbered within their category; the first number that a learner's completed lessons leave out is
-    the length of their gapless beginning plus one, and one equi-join finds that lesson.
+    Categories, lessons and lessons within a category are numbered. A category not begun averages 0, so only the first of
+    those can be the weakest; the first open lesson is the first number that the completed lessons leave out. No row
+    is made for what a learner hasn't touched.
     """
-    average = category_average(ul, lessons)
-    number = Window.partitionBy("category_id").orderBy("lesson_id")
-    ranked = lessons.select("lesson_id", "category_id").distinct().withColumn("number", F.row_number().over(number))
-    mine = Window.partitionBy("user_id", "category_id").orderBy("number")
-    done = ul.where("is_completed").select("user_id", "lesson_id").distinct().join(ranked, "lesson_id")
-    begun = done.withColumn("at", F.row_number().over(mine)).groupBy("user_id", "category_id").agg(
-        F.count_if(F.col("at") == F.col("number")).alias("begun"))
-    open_ = (
-        average.join(begun, ["user_id", "category_id"], "left")
-        .withColumn("number", F.coalesce("begun", F.lit(0)) + 1)
-        .join(ranked, ["category_id", "number"], "left")
-    )
-    weakest = open_.groupBy("user_id").agg(
-        F.min(F.struct("average", "category_id")).alias("w"),
-        F.min_by("lesson_id", F.struct("average", "category_id")).alias("here"),
-        F.min("lesson_id").alias("anywhere"),
+    ul, own = written(ul), written(lessons.select("lesson_id", "category_id").distinct())
+    categories = ordered.positions(own.select("category_id").distinct(), [F.col("category_id")], "number")
+    every = ordered.positions(own.select("lesson_id").distinct(), [F.col("lesson_id")], "number")
+    inside = Window.partitionBy("category_id").orderBy("lesson_id")
+    ranked = own.withColumn("number", F.row_number().over(inside))
+    users = ul.select("user_id").distinct()
+
+    begun = _started_average(ul, own)
+    gap = first_missing(begun.join(categories, "category_id"), "user_id").select("user_id", "number")
+    fresh = users.join(gap, "user_id", "left").withColumn("number", F.coalesce("number", F.lit(1))).join(categories, "number")
+    weakest = begun.select("user_id", "category_id", F.col("a").alias("average")).unionByName(
+        fresh.select("user_id", "category_id", F.lit(0.0).alias("average"))
+    ).groupBy("user_id").agg(F.min(F.struct("average", "category_id")).alias("w")).select("user_id", "w.*")
+
+    done = ul.where("is_completed").select("user_id", "lesson_id").distinct()
+    there = done.join(ranked, "lesson_id").join(weakest.select("user_id", "category_id"), ["user_id", "category_id"], "left_semi")
+    here = (
+        weakest.join(first_missing(there, "user_id").drop("position"), "user_id", "left")
+        .withColumn("number", F.coalesce("number", F.lit(1)))
+        .join(ranked.select("category_id", "number", F.col("lesson_id").alias("here")), ["category_id", "number"], "left")
+        .drop("number")
+    )
+    anywhere = (
+        users.join(first_missing(done.join(every, "lesson_id"), "user_id").drop("position"), "user_id", "left")
+        .withColumn("number", F.coalesce("number", F.lit(1)))
+        .join(every, "number").select("user_id", F.col("lesson_id").alias("anywhere"))
     )
     least = ul.groupBy("user_id").agg(F.min(F.struct("completion", "lesson_id")).alias("least"))
     reason = (
-        F.when(F.col("w.average") < 25, "You need to focus on this category!")
-        .when(F.col("w.average") < 50, "Keep improving in this category.")
+        F.when(F.col("average") < 25, "You need to focus on this category!")
+        .when(F.col("average") < 50, "Keep improving in this category.")
         .otherwise("Challenge yourself with the next category!")
     )
-    return weakest.join(least, "user_id").select(
-        "user_id", F.col("w.category_id").alias("category_id"), F.col("w.average").alias("average"),
+    return here.join(anywhere, "user_id", "left").join(least, "user_id").select(
+        "user_id", "category_id", "average",
         F.coalesce("here", "anywhere", "least.lesson_id").alias("lesson_id"), reason.alias("reason"),
     )
 
@@ -211,16 +237,15 @@ def open_lessons(ul: DataFrame, lessons: DataFrame) -> DataFrame:
 
 
 def fill_recommendations(ul: DataFrame, lessons: DataFrame, n: int = 3) -> DataFrame:
-    """First n lessons a learner has not been shown yet.
+    """First n lessons a learner has not been shown yet: the first n numbers that the shown lessons leave out.
 
-    Each chunk of lessons gives its first n open ones, and the first n of those are kept.
+    A learner whose lessons are all unknown to `lessons` gets the first n of them.
     """
-    seen = ul.groupBy("user_id").agg(F.collect_set("lesson_id").alias("seen"))
-    fresh = F.filter("__c", lambda s: ~F.array_contains("seen", s["lesson_id"]))
-    some = chunked(seen, lessons, "lesson_id").select("user_id", F.slice(fresh, 1, n).alias("some"))
-    best = some.groupBy("user_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, n).alias("best"))
-    return best.select("user_id", F.posexplode("best").alias("p", "s")).select(
-        "user_id", (F.col("p") + 1).alias("position"), F.col("s.lesson_id").alias("lesson_id"))
+    every = ordered.positions(lessons.select("lesson_id").distinct(), [F.col("lesson_id")], "number")
+    first = F.inline(F.array(*[F.struct(F.lit(k).alias("position"), F.lit(k).cast("bigint").alias("number")) for k in range(1, n + 1)]))
+    gaps = first_missing(ul.join(every, "lesson_id"), "user_id", n)
+    none = ul.select("user_id").distinct().join(gaps, "user_id", "left_anti").select("user_id", first)
+    return gaps.unionByName(none).join(every, "number").select("user_id", "position", "lesson_id")
 
 
 def achievements(users: DataFrame, badges: DataFrame, unlocked: DataFrame) -> DataFrame:
@@ -231,11 +256,14 @@ def achievements(users: DataFrame, badges: DataFrame, unlocked: DataFrame) -> Da
     )
 
 
-def achievement_progress(shown: DataFrame) -> DataFrame:
-    return shown.groupBy("user_id").agg(
-        F.count_if("is_unlocked").alias("unlocked"),
-        F.avg(F.col("is_unlocked").cast("double")).alias("progress"),
-    )
+def achievement_progress(users: DataFrame, badges: DataFrame, unlocked: DataFrame) -> DataFrame:
+    """Unlocked badges of each learner and their share of all; only unlocked pairs are met, never learners x badges."""
+    own = badges.select("achievement_id").distinct()
+    got = unlocked.select("user_id", "achievement_id").distinct().join(own, "achievement_id").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("unlocked"))
+    n = own.agg(F.count(F.lit(1))).scalar()
+    out = users.select("user_id").distinct().join(got, "user_id", "left").withColumn("unlocked", F.coalesce("unlocked", F.lit(0)).cast("bigint"))
+    return out.select("user_id", "unlocked", F.try_divide("unlocked", n).alias("progress"))
 
 
 # -- spaced repetition ----------------------------------------------------------

@@ -188,25 +188,25 @@ shown AS (SELECT users.user_id, badge.achievement_id, unlocked_at IS NOT NULL AS
     ON unl.user_id = users.user_id AND unl.achievement_id = badge.achievement_id)"""
 
 
-def _shown(s, d):
+def _badges(s, d):
     ev = I.events(s, d)
     unl = ev.where("event_type = 'purchase'").groupBy(
         "user_id", (F.col("k") % 7).alias("achievement_id")
     ).agg(F.min("ts").alias("unlocked_at"))
     badges = table(s, d, "region").select(F.col("r_regionkey").alias("achievement_id"))
-    return L.achievements(ev.select("user_id").distinct(), badges, unl)
+    return ev.select("user_id").distinct(), badges, unl
 
 
 @Q.add("j6_achievements_unlocked", f"{HU}, {BADGE} SELECT * FROM shown")
 def _(s, d):
-    return _shown(s, d)
+    return L.achievements(*_badges(s, d))
 
 
 @Q.add("a32_achievement_progress", f"""{HU}, {BADGE}
 SELECT user_id, count(*) FILTER (WHERE is_unlocked) AS unlocked,
        avg(CAST(is_unlocked AS DOUBLE)) AS progress FROM shown GROUP BY user_id""")
 def _(s, d):
-    return L.achievement_progress(_shown(s, d))
+    return L.achievement_progress(*_badges(s, d))
 
 
 # server review schedule, the recursion spelled out one review per step
