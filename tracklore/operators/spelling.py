@@ -147,11 +147,13 @@ def correct_words(rows: DataFrame, unigrams: DataFrame, bigrams: DataFrame, name
     return out.select("r.key", "r.word", "r.prev", F.coalesce(settled(w, p, protected), F.col("_best"), w).alias("corrected"))
 
 
-def correct_phrases(tokens: DataFrame, unigrams: DataFrame, bigrams: DataFrame, key: str, names: list[str] = ()) -> DataFrame:
+def correct_phrases(tokens: DataFrame, unigrams: DataFrame, bigrams: DataFrame, key: str, names: list[str] = (),
+                    lexicon: DataFrame | None = None) -> DataFrame:
     """Left-to-right correction of tokens(key, pos, word), each choice the context of the next.
 
     Candidates, and the bonus of neighbouring candidates for each distinct pair of neighbouring words, are joined in first;
-    the fold then only reads arrays of one phrase. Names and short forms are settled as for single words.
+    the fold then only reads arrays of one phrase. Names and short forms are settled as for single words; lexicon(key, names)
+    adds names of a phrase's own.
     """
     protected = F.array(*map(F.lit, names)).cast("array<string>")
     c = written(scored_candidates(tokens.select("word"), unigrams).groupBy("word").agg(
@@ -178,7 +180,11 @@ def correct_phrases(tokens: DataFrame, unigrams: DataFrame, bigrams: DataFrame,
         return F.concat(acc, F.array(F.coalesce(settled(s["word"], prev, F.col("names")), scored["term"], s["word"])))
 
     start = F.array().cast("array<string>")
-    return rows.withColumn("names", protected).select(key, F.aggregate("p", start, step).alias("words"))
+    rows = rows.withColumn("names", protected)
+    if lexicon is not None:
+        own = lexicon.select(key, F.col("names").alias("_own"))
+        rows = rows.join(own, key, "left").withColumn("names", F.concat("names", F.coalesce("_own", F.array().cast("array<string>"))))
+    return rows.select(key, F.aggregate("p", start, step).alias("words"))
 
 
 def complete(prefixes: DataFrame, unigrams: DataFrame, k: int = 5) -> DataFrame:
@@ -201,17 +207,38 @@ def known_prefixes(prefixes: DataFrame, unigrams: DataFrame) -> DataFrame:
         "prefix", F.coalesce("w", F.lit(False)).alias("is_word"))
 
 
-def translate(sentences: DataFrame, key: str, text: str, words: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Whole phrases by table, else word by word; unknown words stay as written."""
+# fixed values: sentences that give a name, and how they are told
+INTRODUCTIONS = (
+    (r"^(?:hello|hi)?\s*,?\s*my name is\s+([A-Za-z]+)$", "Xin chào, tên {sp} là {name}."),
+    (r"^my name is\s+([A-Za-z]+)$", "Tên của {sp} là {name}."),
+)
+SPEAKER, LISTENER = "tôi", "bạn"
+
+
+def translate(sentences: DataFrame, key: str, text: str, words: DataFrame, phrases: DataFrame, names: str | None = None,
+              patterns: tuple = INTRODUCTIONS, speaker: str = SPEAKER, listener: str = LISTENER) -> DataFrame:
+    """Sentences that give a name by pattern, whole phrases by table, else word by word; unknown words stay as written.
+
+    Words of the array column ``names`` (lower case) are kept with a capital. {sp} and {lp} in a translation become the
+    pronouns of speaker and listener.
+    """
     raw = F.trim(F.regexp_replace(F.trim(F.col(text)), r"[.?!]+$", ""))
-    s = sentences.select(key, raw.alias("raw"), F.trim(F.col(text)).endswith("?").alias("asks"))
-    s = s.join(phrases.select(F.col("phrase").alias("raw_l"), F.col("translation").alias("whole")),
+    said = lambda c: F.replace(F.replace(c, F.lit("{sp}"), F.lit(speaker)), F.lit("{lp}"), F.lit(listener))
+    own = F.col(names) if names else F.array().cast("array<string>")
+    s = sentences.select(key, raw.alias("raw"), F.trim(F.col(text)).endswith("?").alias("asks"), own.alias("own"))
+    told = F.lit(None).cast("string")
+    for regex, form in reversed(patterns):
+        name = F.initcap(F.regexp_extract(F.lower("raw"), regex, 1))
+        told = F.when(F.lower("raw").rlike(regex), F.replace(said(F.lit(form)), F.lit("{name}"), name)).otherwise(told)
+    s = s.withColumn("told", told)
+    s = s.join(phrases.select(F.col("phrase").alias("raw_l"), said(F.col("translation")).alias("whole")),
                F.lower("raw") == F.col("raw_l"), "left").drop("raw_l")
-    w = s.where("whole is null").select(key, F.posexplode_outer(F.split("raw", r"[ \t\n\r]+")).alias("pos", "w"))
-    w = w.select(key, "pos", F.regexp_replace("w", r"[^\p{L}\p{N}_]", "").alias("w"))
-    j = w.join(words.select(F.col("word").alias("wl"), F.col("translation").alias("t")), F.lower("w") == F.col("wl"), "left")
+    w = s.where("whole is null and told is null").select(key, "own", F.posexplode_outer(F.split("raw", r"[ \t\n\r]+")).alias("pos", "w"))
+    w = w.select(key, "own", "pos", F.regexp_replace("w", r"[^\p{L}\p{N}_]", "").alias("w"))
+    j = w.join(words.select(F.col("word").alias("wl"), said(F.col("translation")).alias("t")), F.lower("w") == F.col("wl"), "left")
+    kept = F.when(F.array_contains("own", F.lower("w")), F.initcap(F.lower("w")))
     built = j.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-        "pos", F.coalesce("t", "w").alias("t")))), lambda x: x["t"]), " ").alias("joined"))
+        "pos", F.coalesce(kept, "t", "w").alias("t")))), lambda x: x["t"]), " ").alias("joined"))
     out = s.join(built, key, "left").withColumn("out", F.coalesce("whole", "joined"))
-    return out.select(key, F.when(F.col("out") == "", "").otherwise(F.concat(
+    return out.select(key, F.when(F.col("told").isNotNull(), F.col("told")).when(F.col("out") == "", "").otherwise(F.concat(
         F.upper(F.substring("out", 1, 1)), F.substr("out", F.lit(2)), F.when(F.col("asks"), "?").otherwise("."))).alias("translated"))

@@ -201,6 +201,46 @@ def _(s, d):
     return fixed.select(name[0].alias("session"), name[1].cast("int").alias("number"), X.sentence_case("words", F.array(F.lit("anna"))).alias("sentence"))
 
 
+def chained(s, d):
+    """Events of the letters' frames; a purchase submits, an error takes back, a signup closes the word, each 15 frames after its letter."""
+    from tracklore.streaming import chain
+
+    kind = F.when(F.col("event_type") == "purchase", "SUBMIT").when(F.col("event_type") == "error", "BACKSPACE").when(F.col("event_type") == "signup", "SPACE")
+    f = spelled(s, d).join(I.events(s, d).select("event_id", kind.alias("kind")), "event_id")
+    f = f.withColumn("control", F.when(F.col("i") == 15, F.col("kind")))
+    return chain.events(f, "session", ["ts", "event_id", "i"])
+
+
+def part_words(s, d):
+    from tracklore.operators import corpus as C
+
+    part = table(s, d, "part").select("p_type", F.split("p_name", " ").alias("w"))
+    uni = C.explode_tokens(part, F.col("w")).groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("freq"))
+    bi = part.groupBy(F.get("w", F.lit(0)).alias("w1"), F.get("w", F.lit(1)).alias("w2")).agg(F.count(F.lit(1)).alias("freq"))
+    return uni, bi
+
+
+@Q.add("t4_suggestions")
+def _(s, d):
+    """Every letter with the open sentence and the three commonest words that begin like the open word."""
+    from tracklore.streaming import chain
+
+    return chain.suggestions(chained(s, d), "session", part_words(s, d)[0])
+
+
+@Q.add("t4_frame_chain")
+def _(s, d):
+    """Sentences of all sessions, corrected against part names, with the names of a session protected, and translated."""
+    from tracklore.streaming import chain
+
+    uni, bi = part_words(s, d)
+    said = chained(s, d)
+    lexicon = letters(s, d).groupBy("session").agg(F.array(F.lower(F.repeat(F.min("label"), F.lit(2))), F.lit("anna")).alias("names"))
+    words = uni.select("word", F.concat(F.lit("v"), "word").alias("translation"))
+    phrases = table(s, d, "part").select(F.lower("p_name").alias("phrase")).distinct().withColumn("translation", F.concat(F.lit("{sp} "), "phrase"))
+    return chain.sentences(said, "session", uni, bi, lexicon, words, phrases)
+
+
 @Q.add("t13_stream_guard")
 def _(s, d):
     b = flat(s, d).withColumn("t", F.col("frame_idx") / 30.0)
