@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
 `documents`. Rows are told apart by a hash of doc_id and text, so rows that share a doc_id are judged each by its
-own text; exactly repeated rows are one document.
+own text; exactly repeated rows are one document, told by two such hashes, so that no other text is taken for one.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     linked = set_join.linked(rows.select(F.col("_uid").alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias("_uid"), F.col("component_id").alias("_group"))
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_uid")
     first = rows.select("_uid", "doc_id").join(linked.distinct(), "_uid").groupBy("_group").agg(F.min(order)["_uid"].alias("_uid"))
-    return rows.join(store.kept(first.select("_uid"), "representatives"), "_uid").dropDuplicates(["_uid"]).select(*docs.columns)
+    return rows.join(store.kept(first.select("_uid"), "representatives"), "_uid").withColumn(
+        "_more", F.xxhash64(F.lit(1), "text", "doc_id")).dropDuplicates(["_uid", "_more"]).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
