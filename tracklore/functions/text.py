@@ -134,7 +134,8 @@ def md5_mod10(v: Column | str) -> Column:
 
 def unit(*parts: Column) -> Column:
     """Reproducible number in [0, 1) from a key, a seed and what else is given."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
+    h = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint") / float(1 << 52)
 
 
 def mask_tokens(ids: Column | str, key: Column, seed: int, rate: float = 0.15) -> Column:

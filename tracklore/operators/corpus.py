@@ -131,9 +131,9 @@ def rescue_empty_train(rows: DataFrame, key: str) -> DataFrame:
 
 
 def shuffled(rows: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
-    """Reproducible epoch order: range partitions of a seeded hash."""
-    h = F.xxhash64(F.col(key), F.lit(seed), F.lit(epoch))
-    return rows.withColumn("__h", h).orderBy("__h", key).drop("__h")
+    """Reproducible epoch order: range partitions of a seeded hash, with each row's position in it."""
+    h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed), F.lit(epoch)))
+    return ordered.positions(rows.withColumn("__h", h), [F.col("__h"), F.col(key)], "position").drop("__h")
 
 
 def alternate(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

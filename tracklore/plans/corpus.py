@@ -327,7 +327,7 @@ def _(s, d):
     return ordered.positions(p, [F.col("k"), F.col("doc_id")]).select("doc_id", "pos")
 
 
-@Q.add("o5_seeded_shuffle")
+@Q.add("o5_seeded_shuffle", """SELECT doc_id, source, row_number() OVER (ORDER BY md5(doc_id || ':42:1'), doc_id) AS position FROM documents""")
 def _(s, d):
     return C.shuffled(docs(s, d).select("doc_id", "source"), "doc_id", 42, 1)
 

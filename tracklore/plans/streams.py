@@ -62,19 +62,24 @@ def _(s, d):
     return S.gesture_rule(I.hands(s, d)).drop("kps")
 
 
-@Q.add("t3_control_gestures", f"""WITH {I.EV}, g AS (SELECT user_id AS clip_id, event_id AS frame_idx, event_type <> 'error' AS fist,
+def _fists(name, frames):
+    @Q.add(name, f"""WITH {I.EV}, g AS (SELECT user_id AS clip_id, event_id AS frame_idx, event_type <> 'error' AS fist,
   row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM act), o AS (SELECT *, COALESCE(max(CASE WHEN NOT fist THEN rn END) OVER
   (PARTITION BY clip_id ORDER BY rn ROWS UNBOUNDED PRECEDING), 0) AS opened FROM g)
-SELECT clip_id, CAST(rn AS BIGINT) AS frame_idx FROM o WHERE fist AND (rn - opened) % 4 = 0""")
-def _(s, d):
-    from tracklore.operators import ordered
+SELECT clip_id, CAST(rn AS BIGINT) AS frame_idx FROM o WHERE fist AND (rn - opened) % {frames} = 0""")
+    def _(s, d):
+        from tracklore.operators import ordered
+
+        ev = I.events(s, d).select(F.col("user_id").alias("clip_id"), "event_id", "ts",
+                                   F.when(F.col("event_type") != "error", "FIST").alias("gesture"))
+        day = F.to_date("ts")
+        n = ordered.running(ev, ["clip_id"], ["event_id"], day, {"frame_idx": ("count", F.lit(1))})
+        n = n.withColumn("frame_idx", F.col("frame_idx") - 1)
+        return S.held_fists(n, ["clip_id"], F.to_date("ts"), frames).withColumn("frame_idx", F.col("frame_idx") + 1)
+
 
-    ev = I.events(s, d).select(F.col("user_id").alias("clip_id"), "event_id", "ts",
-                               F.when(F.col("event_type") != "error", "FIST").alias("gesture"))
-    day = F.to_date("ts")
-    n = ordered.running(ev, ["clip_id"], ["event_id"], day, {"frame_idx": ("count", F.lit(1))})
-    n = n.withColumn("frame_idx", F.col("frame_idx") - 1)
-    return S.held_fists(n, ["clip_id"], F.to_date("ts"), 4).withColumn("frame_idx", F.col("frame_idx") + 1)
+_fists("t3_control_gestures", 4)
+_fists("t3_control_gestures_20", 20)
 
 
 @Q.add("t5_majority_vote", f"""WITH {LET}, l AS (SELECT *, lag(label) OVER w AS l1, lag(label, 2) OVER w AS l2, lag(conf) OVER w AS c1, lag(conf, 2) OVER w AS c2 FROM lt WINDOW w AS {WS}),
@@ -327,10 +332,15 @@ def _(s, d):
     return S.latest_frames(letters(s, d), "session", ["ts", "event_id"], "label")
 
 
-@Q.add("t21_recent_frames", """SELECT user_id, event_id, CAST(rn AS INTEGER) AS age FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
-FROM events) WHERE rn <= 20""")
-def _(s, d):
-    return S.recent_frames(I.events(s, d).select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], 20).drop("ts")
+def _recent(name, n):
+    @Q.add(name, f"""SELECT user_id, event_id, CAST(rn AS INTEGER) AS age FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+FROM events) WHERE rn <= {n}""")
+    def _(s, d):
+        return S.recent_frames(I.events(s, d).select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], n).drop("ts")
+
+
+_recent("t21_recent_frames", 20)
+_recent("t21_recent_frames_150", 150)
 
 
 @Q.add("t22_occlusion_fill", f"""WITH RECURSIVE {I.TRIPLES}, f(clip_id, frame_idx, v, occluded) AS (

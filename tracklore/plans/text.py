@@ -188,7 +188,9 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", X.corrupt_tokens(X.char_ids("p_name"), F.col("p_partkey"), 11).alias("ids"))
 
 
-@Q.add("f28_mask_tokens")
+@Q.add("f28_mask_tokens", f"""WITH e AS (SELECT p_partkey, list_concat(list_concat([1], {CHARS}), [2]) AS ids FROM part)
+SELECT p_partkey, CASE WHEN len(list_filter(ids, lambda x: x NOT IN (0, 1, 2))) > 3 THEN list_transform(ids, lambda x, i: CASE WHEN x NOT IN (0, 1, 2)
+  AND CAST('0x' || substr(md5(p_partkey || ':' || (i - 1) || ':11'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE < 0.15 THEN 3 ELSE x END) ELSE ids END AS ids FROM e""")
 def _(s, d):
     return table(s, d, "part").select("p_partkey", X.mask_tokens(X.char_ids("p_name"), F.col("p_partkey"), 11).alias("ids"))
 
