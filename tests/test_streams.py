@@ -213,3 +213,38 @@ def test_rate_limit_tables_stay_small_and_empty_tables_pass(spark):
     assert [limits.left(both, e, 900.0) for e in entries] == [limits.left(whole, e, 900.0) for e in entries]
     empty = spark.createDataFrame([], "ip string, n int, t double")
     assert limits.rate_limit(empty, "ip", ["t", "n"], "n", "t").count() == 0
+
+
+def test_runs_of_alike_frames_equal_single_frames():
+    import random
+
+    rnd = random.Random(5)
+    for kind in (M.LetterStabilizer, M.SlidingCommit):
+        one, many, got, want, at = kind(), kind(), [], [], 0
+        for _ in range(400):
+            n = rnd.choice([1, 2, 7, 14, 40, 90])
+            if kind is M.SlidingCommit:
+                token = rnd.choice([0, 0, 1, 2])
+                want += [e for i in range(at, at + n) for e in one.step((i, token))]
+                got += many.run((at, token), n, range(at, at + n))
+            else:
+                row = (rnd.choice(["A", "B", None, None]), rnd.choice([0.9, 0.9, 0.3]))
+                want += [e for _ in range(n) for e in one.step(row)]
+                got += many.run(row, n)
+            at += n
+        assert got + many.finish() == want + one.finish() and len(got) > 20
+
+
+def test_rows_that_stand_for_frames_are_folded_like_the_frames(spark):
+    from pyspark.sql import functions as F
+
+    from tracklore.streaming.run import fold_batch
+
+    rows = [("a", 1, 9, "X"), ("a", 2, 20, "Y"), ("a", 2, 20, "Y"), ("b", 1, 12, None), ("b", 0, 70, "Z")]
+    rows = spark.createDataFrame(rows, "session string, t int, n int, letter string")
+    frames = lambda r: F.transform(F.sequence(F.lit(0), r["n"]), lambda i: F.struct(
+        i.alias("i"), r["letter"].alias("letter"), F.lit(0.9).alias("conf")))
+    apart = rows.select("session", "t", F.explode(frames(F.struct(*rows.columns))).alias("f")).select("session", "t", "f.*")
+    want = fold_batch(apart, "session", ["t", "i"], ["letter", "conf"], M.LetterStabilizer).collect()
+    got = fold_batch(rows, "session", ["t"], ["letter", "conf"], M.LetterStabilizer, frames).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 4

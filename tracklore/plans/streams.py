@@ -27,11 +27,14 @@ def letters(s, d):
         F.chr(65 + F.col("k") % 3).alias("label"), (0.65 + (F.col("event_id") * 7 % 36) / 100.0).alias("conf"), "k")
 
 
-def spelled(s, d):
-    """Frames of the letters: held 14 frames each, then a pause of 3 to 62."""
-    run = F.sequence(F.lit(0), 17 + F.col("k") * 7 % 60)
-    return letters(s, d).select("session", "ts", "event_id", F.explode_outer(run).alias("i"), "label", "conf").select(
-        "session", "ts", "event_id", "i", F.when(F.col("i") < 14, F.col("label")).alias("letter"), "conf")
+def framed(row):
+    """Frames of a letter: held 14 frames, then a pause of 3 to 62."""
+    run = F.sequence(F.lit(0), F.coalesce(17 + row["k"] * 7 % 60, F.lit(0)))
+    return F.transform(run, lambda i: F.struct(i.alias("i"), F.when(i < 14, row["label"]).alias("letter"), row["conf"].alias("conf")))
+
+
+def stabilized(s, d, machine):
+    return fold_batch(letters(s, d), "session", ["ts", "event_id"], ["letter", "conf"], machine, framed)
 
 
 def r6(df, *cols):
@@ -42,14 +45,12 @@ def r6(df, *cols):
 
 @Q.add("t1_letter_stabilizer")
 def _(s, d):
-    f = spelled(s, d)
-    return fold_batch(f, "session", ["ts", "event_id", "i"], ["letter", "conf"], M.LetterStabilizer).drop("text")
+    return stabilized(s, d, M.LetterStabilizer).drop("text")
 
 
 @Q.add("t2_sentence_buffer")
 def _(s, d):
-    f = spelled(s, d)
-    out = fold_batch(f, "session", ["ts", "event_id", "i"], ["letter", "conf"], M.LetterStabilizer)
+    out = stabilized(s, d, M.LetterStabilizer)
     # an unfinished sentence ends with its session
     return out.where("event in ('END', 'OPEN')").select("session", "text")
 
@@ -181,8 +182,8 @@ class Sentences(M.LetterStabilizer):
                 out.append((self.number, text))
         return out
 
-    def step(self, row) -> list[tuple]:
-        return self._only(super().step(row))
+    def run(self, row, n: int) -> list[tuple]:
+        return self._only(super().run(row, n))
 
     def finish(self) -> list[tuple]:
         return self._only(super().finish())
@@ -195,8 +196,7 @@ def _(s, d):
     from tracklore.operators import corpus as C
     from tracklore.operators import spelling as SP
 
-    f = spelled(s, d)
-    said = fold_batch(f, "session", ["ts", "event_id", "i"], ["letter", "conf"], Sentences)
+    said = stabilized(s, d, Sentences)
     tokens = said.select(F.concat_ws("#", "session", "number").alias("sentence_id"), F.posexplode_outer(X.tokens(F.lower("text"))).alias("pos", "word")).where("word is not null")
     part = table(s, d, "part").select(F.split("p_name", " ").alias("w"))
     uni = C.explode_tokens(part, F.col("w")).groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("freq"))
@@ -211,9 +211,13 @@ def chained(s, d):
     from tracklore.streaming import chain
 
     kind = F.when(F.col("event_type") == "purchase", "SUBMIT").when(F.col("event_type") == "error", "BACKSPACE").when(F.col("event_type") == "signup", "SPACE")
-    f = spelled(s, d).join(I.events(s, d).select("event_id", kind.alias("kind")), "event_id")
-    f = f.withColumn("control", F.when(F.col("i") == 15, F.col("kind")))
-    return chain.events(f, "session", ["ts", "event_id", "i"])
+
+    def frames(row):
+        return F.transform(framed(row), lambda f: F.struct(
+            f["i"].alias("i"), F.when(f["i"] == 15, row["kind"]).alias("control"), f["letter"].alias("letter"), f["conf"].alias("conf")))
+
+    given = letters(s, d).join(I.events(s, d).select("event_id", kind.alias("kind")), "event_id")
+    return chain.events(given, "session", ["ts", "event_id"], frames)
 
 
 def part_words(s, d):
@@ -261,9 +265,13 @@ def _(s, d):
 @Q.add("t15_sliding_ctc_commit")
 def _(s, d):
     e = I.events(s, d).select(F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("session"),
-                              "ts", "event_id", (F.col("k") % 4).alias("token"), F.explode_outer(F.sequence(F.lit(0), F.col("k"))).alias("i"))
-    tok = e.withColumn("token", F.when(F.col("i") < 3, F.col("token")).otherwise(0))
-    return fold_batch(tok, "session", ["ts", "event_id", "i"], ["i", "token"], M.SlidingCommit)
+                              "ts", "event_id", (F.col("k") % 4).alias("token"), "k")
+
+    def frames(row):
+        return F.transform(F.coalesce(F.sequence(F.lit(0), row["k"]), F.array(F.lit(None).cast("int"))), lambda i: F.struct(
+            i.alias("i"), F.when(i < 3, row["token"]).otherwise(0).alias("token")))
+
+    return fold_batch(e, "session", ["ts", "event_id"], ["i", "token"], M.SlidingCommit, frames)
 
 
 @Q.add("t16_j_z_tracker")

@@ -6,6 +6,8 @@ spelling, sentence form and translation are joins on the distinct prefixes and w
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,15 +47,21 @@ class FrameChain(machines.LetterStabilizer):
         self._unlock()
         return [self._event("END_SENTENCE", None, words)]
 
-    def step(self, row) -> list[tuple]:
+    def _event_of(self, event: str, letter: str | None) -> list[tuple]:
+        return [self._event("END_SENTENCE", None, text.split()) if event == "END" else self._event(event, given)
+                for event, given, text in super()._event_of(event, letter)]
+
+    def run(self, row, n: int) -> list[tuple]:
         control, letter, conf = row
         if control == "SUBMIT":
-            return self._submit()
+            return [e for _ in range(n) for e in self._submit()]
         if control in ("SPACE", "BACKSPACE"):
-            (self.said.close_word if control == "SPACE" else self.said.backspace)()
-            return [self._event(control)]
-        return [self._event("END_SENTENCE", None, text.split()) if event == "END" else self._event(event, given)
-                for event, given, text in super().step((letter, conf))]
+            out = []
+            for _ in range(n):
+                (self.said.close_word if control == "SPACE" else self.said.backspace)()
+                out.append(self._event(control))
+            return out
+        return super().run((letter, conf), n)
 
     def finish(self) -> list[tuple]:
         return self._submit() if self.said.text() else []
@@ -68,9 +76,10 @@ def controls(hands: DataFrame, keys: list[str], chunk: Column, frames: int = 20)
     return open_.select(*keys, "frame_idx", "control").unionByName(held)
 
 
-def events(frames: DataFrame, session: str, order: list[str]) -> DataFrame:
-    """Events of frames(session, order..., control, letter, conf); written once, as suggestions and sentences both read them."""
-    return written(fold_batch(frames, session, order, ["control", "letter", "conf"], FrameChain))
+def events(rows: DataFrame, session: str, order: list[str], frames: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Events of rows(session, order..., control, letter, conf), or of the ``frames`` that rows stand for (see ``fold_batch``);
+    written once, as suggestions and sentences both read them."""
+    return written(fold_batch(rows, session, order, ["control", "letter", "conf"], FrameChain, frames))
 
 
 def suggestions(said: DataFrame, session: str, unigrams: DataFrame, k: int = SUGGESTIONS) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -18,15 +22,21 @@ def _out_schema(df: DataFrame, key: str, machine) -> T.StructType:
     return T.StructType([df.schema[key], *parsed.fields])
 
 
-def fold_batch(df: DataFrame, key: str, order: list[str], inputs: list[str], machine: Callable) -> DataFrame:
+def fold_batch(df: DataFrame, key: str, order: list[str], inputs: list[str], machine: Callable,
+               frames: Callable[[Column], Column] | None = None) -> DataFrame:
     """One pass per task over rows sorted by (session, order).
 
     A task holds one machine and one Arrow batch at a time, never a whole session. What a machine holds open at the
     end of its session comes from its ``finish``, where it has one.
-    Sessions should be cut by time (a user's day, a recording), which bounds them.
+    Sessions should be cut by time (a user's day, a recording), which bounds them. A machine with ``run`` is given neighbouring
+    rows with equal inputs at once; Arrow finds them.
+
+    With ``frames``, a row stands for several: the array of structs it makes of the row (a struct), each with its place first
+    and then the inputs. Rows are sorted before they become frames; frames of rows with equal ``order`` are merged by place.
     """
     schema = _out_schema(df, key, machine)
     names = schema.names
+    kind = getattr(machine, "func", machine)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
@@ -42,8 +52,61 @@ def fold_batch(df: DataFrame, key: str, order: list[str], inputs: list[str], mac
         yield pd.DataFrame(ended(), columns=names)
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.select(*dict.fromkeys([key, *order, *inputs])).repartition(n, key)
-    return spread.sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    if frames is not None:
+        alike = df.repartition(n, key).groupBy(key, *order).agg(F.collect_list(F.struct(*df.columns)).alias("_m"))
+        made = F.when(F.size("_m") == 1, frames(F.get("_m", F.lit(0)))).otherwise(F.array_sort(F.flatten(F.transform("_m", frames))))
+        given = alike.sortWithinPartitions(key, *order).select(key, made.alias("_f"))
+        return given.mapInArrow(_runs(machine, inputs, getattr(kind, "MOVING", None), schema, True), schema)
+    given = df.select(*dict.fromkeys([key, *order, *inputs])).repartition(n, key).sortWithinPartitions(key, *order)
+    if hasattr(kind, "run"):
+        return given.select(key, *inputs).mapInArrow(_runs(machine, inputs, getattr(kind, "MOVING", None), schema, False), schema)
+    return given.mapInPandas(run, schema)
+
+
+def _runs(machine: Callable, inputs: list[str], moving: int | None, schema: T.StructType, listed: bool) -> Callable:
+    """Batches of (key, inputs), or (key, array of frames), to events; frames are alike if all but the ``moving`` input are equal."""
+    target = to_arrow_schema(schema)
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[] for _ in target]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        ended = lambda: [(current, *r) for r in getattr(state, "finish", list)()]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held, at = batch.column(0), np.arange(batch.num_rows + 1)
+            columns = batch.columns[1:]
+            if listed:
+                at = np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column(1)).to_numpy())))
+                flat = batch.column(1).flatten()
+                columns = [pc.struct_field(flat, c) for c in inputs]
+            ends = [ended_at(c) for i, c in enumerate(columns) if i != moving]
+            ends = np.unique(np.concatenate([at[ended_at(held)], *ends]))
+            ends = ends[ends > 0]
+            if not len(ends):
+                continue
+            starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+            of = held.take(pa.array(np.searchsorted(at, starts, "right") - 1))
+            first = pa.table([of, *[c.take(pa.array(starts)) for c in columns]], names=[str(i) for i in range(len(columns) + 1)]).to_pandas()
+            frames = None if moving is None else columns[moving].to_numpy(zero_copy_only=False)
+            rows = []
+            for i, j, (k, *values) in zip(starts.tolist(), ends.tolist(), first.itertuples(index=False, name=None)):
+                if state is None or k != current:
+                    rows += ended()
+                    current, state = k, machine()
+                rows += [(k, *r) for r in (state.run(values, j - i) if frames is None else state.run(values, j - i, frames[i:j]))]
+            yield table(rows)
+        yield table(ended())
+
+    return run
+
+
+def ended_at(column: pa.Array) -> np.ndarray:
+    """Ends of the runs of equal neighbours."""
+    return pc.run_end_encode(column).run_ends.to_numpy()
 
 
 class _Session(StatefulProcessor):
