@@ -53,3 +53,12 @@ def test_copies_are_counted_and_never_paired(spark):
     rows = K.trajectory_leaks(spark.createDataFrame(clips, SCHEMA), 0.1, 10.0).collect()
     assert [(r.clip, r.other, r.split, r.overlap, r.copies, r.other_copies) for r in rows] == [(0, 1000, "train", 6.0, 400, 300)]
     assert K.trajectory_leaks(spark.createDataFrame([], SCHEMA), 0.1, 10.0).count() == 0
+
+
+def test_pairs_are_found_across_packs(spark, monkeypatch):
+    rnd = random.Random(8)
+    clips = [(i, rnd.choice(["train", "val", "test"]), "a", 0, float(rnd.randrange(4)), 9.0, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(120)]
+    monkeypatch.setattr(K, "PACK", (3, 7))
+    got = [(r.clip, r.other) for r in K.trajectory_leaks(spark.createDataFrame(clips, SCHEMA), 0.9, 20.0).collect()]
+    want = brute(clips, 0.9)
+    assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want
