@@ -151,19 +151,23 @@ def spelling_distance(typed: pd.Series, word: pd.Series) -> pd.Series:
     return pd.Series(spelling_costs(typed.to_list(), word.to_list()))
 
 
-def dtw_costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Alignment cost of each row pair of two stacks of series, all pairs at once."""
-    n, m = a.shape[1], b.shape[1]
-    prev = np.full((a.shape[0], m + 1), np.inf)
-    prev[:, 0] = 0.0
+def dtw_costs(a: np.ndarray, b: np.ndarray, pairs: int = 1 << 10) -> np.ndarray:
+    """Alignment cost of each row pair of two stacks of series, ``pairs`` at once: a cell of the table is a vector over them."""
+    if len(a) > pairs:
+        return np.concatenate([dtw_costs(a[i : i + pairs], b[i : i + pairs]) for i in range(0, len(a), pairs)])
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    n, m = len(a), len(b)
+    prev = np.full((m + 1, a.shape[1]), np.inf)
+    prev[0] = 0.0
     for i in range(n):
         cur = np.full_like(prev, np.inf)
-        cost = np.abs(a[:, i : i + 1] - b)
-        for j in range(1, m + 1):
-            step = np.minimum(np.minimum(prev[:, j], prev[:, j - 1]), cur[:, j - 1])
-            cur[:, j] = cost[:, j - 1] + step
+        cost = np.abs(a[i] - b)
+        way = np.minimum(prev[1:], prev[:-1])
+        for j in range(m):
+            np.minimum(way[j], cur[j], out=cur[j + 1])
+            cur[j + 1] += cost[j]
         prev = cur
-    return prev[:, m]
+    return prev[m]
 
 
 @F.pandas_udf(T.DoubleType())

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tracklore.functions import vectors as V
 from tracklore.operators import metric
 from tracklore.operators.learner import chunked
-from tracklore.session import spread, written
+from tracklore.session import written
 
 BUCKET = 64  # frames per bucket of a range join
+ALIGNED = 2000  # series of a task that aligns them
 
 
 # -- small candidate tables -----------------------------------------------------
@@ -131,8 +132,13 @@ def weave(tokens: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def align_exemplars(rows: DataFrame, key: str, series: str, exemplars: DataFrame, label: str, centre: str) -> DataFrame:
-    """Nearest exemplar of each series by dynamic time warping."""
+    """Nearest exemplar of each series by dynamic time warping.
+
+    Series lie in blocks of about ``ALIGNED`` on tasks that are as many as the blocks, so a task doesn't grow with the table.
+    """
     from tracklore.functions.edit import dtw_distance
-    src = chunked(spread(rows.select(key, series)), exemplars, label, centre).withColumn("__e", F.explode_outer("__c"))
+    few = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = rows.select(key, series).repartition(max(few, -(-rows.count() // ALIGNED)))
+    src = chunked(given, exemplars, label, centre).withColumn("__e", F.explode_outer("__c"))
     d = src.select(key, F.col(f"__e.{label}").alias("exemplar"), F.round(dtw_distance(series, f"__e.{centre}"), 6).alias("cost"))
     return d.groupBy(key).agg(F.min(F.struct("cost", "exemplar")).alias("b")).select(key, "b.exemplar", "b.cost")
