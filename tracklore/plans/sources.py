@@ -129,8 +129,10 @@ SELECT split, place // 100 AS shard, count(*) AS rows, min(place) AS first, max(
   count(*) FILTER (WHERE NOT COALESCE(length(text) = n_chars, false)) AS broken_length, count(*) FILTER (WHERE NOT COALESCE(n_chars >= 300, false)) AS broken_long
 FROM n GROUP BY ALL""")
 def _(s, d):
-    rules = {"length": F.char_length("text") == F.col("n_chars"), "long": F.col("n_chars") >= 300}
-    return W.shard_list(W.numbered_shards(split(s, d), "split", ["doc_id"], 100), "split", rules)
+    # rules are judged before rows are numbered: texts needn't travel
+    judged = split(s, d).select("split", "doc_id", (F.char_length("text") == F.col("n_chars")).alias("length"), (F.col("n_chars") >= 300).alias("long"))
+    rules = {"length": F.col("length"), "long": F.col("long")}
+    return W.shard_list(W.numbered_shards(judged, "split", ["doc_id"], 100), "split", rules)
 
 
 @Q.add("s9_resume_filter", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
