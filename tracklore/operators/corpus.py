@@ -7,13 +7,21 @@ of the corpus arrives as partial counts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklore.functions import text as X
 from tracklore.functions.vectors import let
 from tracklore.operators import ordered
 
+BLOCK = 2000  # documents that look up their tokens together
+
 
 def explode_tokens(docs: DataFrame, words: Column, *keep: str) -> DataFrame:
     """One row per token; outer explode avoids a second evaluation as a filter."""
@@ -61,21 +69,65 @@ def lookup_ids(tokens: DataFrame, vocab: DataFrame, missing: int = X.UNK) -> Dat
     return tokens.join(vocab, "token", "left").withColumn("id", F.coalesce("id", F.lit(missing)))
 
 
+def _in_blocks(rows: DataFrame, items: str, by: list[str], table: DataFrame, item: str, value: str, finish: Callable, schema: T.StructType) -> DataFrame:
+    """``finish(rows, lists, place, values)`` of blocks of about ``BLOCK`` rows with an array ``items``.
+
+    Rows are dealt by ``by``; a block looks up its distinct items once, so what is shuffled is the rows and a dictionary for each
+    block, never a row for each item. ``place`` says for every item of the block where in ``values`` it is, null if it has no value.
+    """
+    few = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(few, -(-rows.count() // BLOCK))
+    dealt = rows.withColumn("__b", F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")).repartition(few, "__b")
+    asked = dealt.select("__b", F.explode(items).alias(item)).where(F.col(item).isNotNull()).distinct()
+    found = asked.join(table.select(item, value), item).select(F.col("__b").alias("__of"), item, value)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lists = left[items].combine_chunks()
+        place = pc.index_in(lists.flatten(), value_set=right[item].combine_chunks())
+        return finish(left, lists, place, right[value].combine_chunks())
+
+    return dealt.groupBy("__b").cogroup(found.groupBy("__of")).applyInArrow(run, schema)
+
+
+def _merged(left: pa.Table, key: str, lists: pa.ListArray, kept: np.ndarray, values: pa.Array) -> tuple[pa.Array, pa.ListArray]:
+    """Keys with their kept values in order of place and value; rows of one key are one. Keys without any are left out."""
+    keys = left[key].combine_chunks()
+    coded = keys.dictionary_encode(null_encoding="encode")
+    n = pc.list_value_length(lists).to_numpy()
+    code, pos = np.repeat(coded.indices.to_numpy(), n)[kept], (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))[kept]
+    if len(coded.dictionary) < len(keys):
+        order = np.lexsort((pc.rank(values, tiebreaker="dense").to_numpy(), pos, code))
+        code, values = code[order], values.take(pa.array(order))
+    size = np.bincount(code, minlength=len(coded.dictionary))
+    offsets = np.concatenate(([0], np.cumsum(size[size > 0])))
+    return coded.dictionary.take(pa.array(np.flatnonzero(size))), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
 def encode(docs: DataFrame, words: Column, vocab: DataFrame, key: str, missing: int = X.UNK) -> DataFrame:
-    """Token ids per document.  Each distinct (document, token) is looked up once;
-    positions travel with it and the array is put in order at the end."""
-    pos = docs.select(key, F.posexplode_outer(words).alias("pos", "token")).where("token is not null")
-    ids = lookup_ids(pos, vocab, missing)
-    return ids.groupBy(key).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("ids"))
+    """Token ids per document, looked up once for each distinct token of a block of documents."""
+    given = docs.select(key, words.alias("__w")).where(F.size("__w") > 0)
+    schema = T.StructType([given.schema[key], T.StructField("ids", T.ArrayType(T.LongType()))])
+
+    def finish(left, lists, place, values):
+        ids = pc.fill_null(values.cast(pa.int64()).take(place), missing)
+        keys, ids = _merged(left, key, lists, np.ones(len(ids), bool), ids)
+        return pa.table([keys, ids], names=[key, "ids"])
+
+    return _in_blocks(given, "__w", [key], vocab, "token", "id", finish, schema)
 
 
 def decode(encoded: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    pos = encoded.select(key, F.posexplode_outer("ids").alias("pos", "id")).where(
-        ~F.col("id").isin(X.PAD, X.BOS, X.EOS))
-    named = pos.join(vocab, "id", "left").withColumn("token", F.coalesce("token", F.lit("<UNK>")))
-    return named.groupBy(key).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]), " ").alias("text"))
+    given = encoded.select(key, "ids").where(F.size("ids") > 0)
+    schema = T.StructType([given.schema[key], T.StructField("text", T.StringType())])
+
+    def finish(left, lists, place, values):
+        flat = lists.flatten()
+        kept = pc.and_(pc.is_valid(flat), pc.invert(pc.is_in(flat, value_set=pa.array([X.PAD, X.BOS, X.EOS], flat.type)))).to_numpy(zero_copy_only=False)
+        names = pc.fill_null(values.take(place), "<UNK>").filter(pa.array(kept))
+        keys, names = _merged(left, key, lists, kept, names)
+        return pa.table([keys, pc.binary_join(names, " ")], names=[key, "text"])
+
+    return _in_blocks(given, "ids", [key], vocab, "id", "token", finish, schema)
 
 
 def vocab_contiguity(vocab: DataFrame) -> DataFrame:
@@ -108,10 +160,17 @@ def label_collisions(pairs: DataFrame) -> DataFrame:
 
 def unk_rate(docs: DataFrame, words: Column, vocab: DataFrame, key: str, source: str) -> DataFrame:
     """Unknown share of tokens and sequences, per source and over all."""
-    per = explode_tokens(docs, words, key, source).groupBy(key, source, "token").agg(F.count(F.lit(1)).alias("n"))
-    seen = per.join(vocab.select("token", F.lit(1).alias("known")), "token", "left")
-    seq = seen.groupBy(key, source).agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("u"))
+    given = docs.select(key, source, words.alias("__w")).where(F.size("__w") > 0)
+    schema = T.StructType([given.schema[key], given.schema[source], T.StructField("n", T.LongType()), T.StructField("u", T.LongType())])
+
+    def finish(left, lists, place, values):
+        n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        unknown = np.concatenate(([0], np.cumsum(pc.is_null(place).to_numpy(zero_copy_only=False))))
+        end = np.cumsum(n)
+        return pa.table([left[key], left[source], n, unknown[end] - unknown[end - n]], names=[key, source, "n", "u"])
+
+    per = _in_blocks(given, "__w", [key, source], vocab, "token", "id", finish, schema)
+    seq = per.groupBy(key, source).agg(F.sum("n").alias("n"), F.sum("u").alias("u"))
     return seq.rollup(source).agg(
         (F.sum("u") / F.sum("n") * 100).alias("unk_percent"),
         (F.count_if(F.col("u") > 0) / F.count(F.lit(1)) * 100).alias("sequence_percent"),
