@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracklore.functions import vectors as V
 from tracklore.functions.text import unit
 from tracklore.operators import poses as P
 from tracklore.operators import tracks
@@ -82,11 +83,9 @@ def augment(frames: DataFrame, seed: int) -> DataFrame:
 
 def yaw(frames: DataFrame, seed: int, degrees: float = 15.0) -> DataFrame:
     """Rotation about the vertical axis, one angle per clip."""
-    f = frames.withColumn("__a", F.radians(_draw(seed, "yaw", -degrees, degrees)))
-    f = f.withColumn("__c", F.cos("__a")).withColumn("__s", F.sin("__a"))
-    return f.withColumn("kps", F.transform("kps", lambda p: P.struct([
-        p["x"] * F.col("__c") + p["z"] * F.col("__s"), p["y"], p["z"] * F.col("__c") - p["x"] * F.col("__s")],
-        p["valid"].alias("valid")))).drop("__a", "__c", "__s")
+    a = F.radians(_draw(seed, "yaw", -degrees, degrees))
+    return frames.withColumn("kps", V.let(F.struct(F.cos(a).alias("c"), F.sin(a).alias("s")), lambda r: F.transform("kps", lambda p: P.struct([
+        p["x"] * r["c"] + p["z"] * r["s"], p["y"], p["z"] * r["c"] - p["x"] * r["s"]], p["valid"].alias("valid")))))
 
 
 def drop_points(frames: DataFrame, seed: int, joint: float = 0.05, frame: float = 0.02) -> DataFrame:
@@ -102,15 +101,13 @@ def mask_hand_span(frames: DataFrame, seed: int, span: int = 8) -> DataFrame:
     t = frames.groupBy("clip_id").agg((F.max("frame_idx") + 1).alias("T"))
     start = F.floor(_draw(seed, "start", 0.0, 1.0) * F.greatest(F.lit(1), F.col("T") - span))
     right = unit(F.col("clip_id"), F.lit(seed), F.lit("hand")) < 0.5
-    hit = F.col("frame_idx").between(start, start + span - 1)
-    first = F.when(right, 21).otherwise(0)
-    return frames.join(t, "clip_id").withColumn("kps", F.transform("kps", lambda p, i: F.when(
-        hit & (i >= first) & (i < first + 21), P.struct([F.lit(0.0)] * 3, F.lit(False).alias("valid"))).otherwise(p))).drop("T")
+    drawn = F.struct(F.col("frame_idx").between(start, start + span - 1).alias("hit"), F.when(right, 21).otherwise(0).alias("first"))
+    return frames.join(t, "clip_id").withColumn("kps", V.let(drawn, lambda d: F.transform("kps", lambda p, i: F.when(
+        d["hit"] & (i >= d["first"]) & (i < d["first"] + 21), P.struct([F.lit(0.0)] * 3, F.lit(False).alias("valid"))).otherwise(p)))).drop("T")
 
 
 def flip_handedness(frames: DataFrame) -> DataFrame:
     """Mirror every frame with the canonical swap table."""
-    s = F.transform(F.array(*[F.lit(i) for i in P.SWAP]), lambda i: F.get("kps", i))
-    return frames.withColumn("kps", F.transform(s, lambda p: P.struct([-p["x"], p["y"], p["z"]], p["valid"].alias("valid"))))
-
-
+    mirrored = lambda p: P.struct([-p["x"], p["y"], p["z"]], p["valid"].alias("valid"))
+    return frames.withColumn("kps", V.let(F.col("kps"), lambda k: F.transform(
+        F.array(*[F.lit(i) for i in P.SWAP]), lambda i: mirrored(F.get(k, i)))))

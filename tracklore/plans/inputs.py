@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklore.functions.vectors import let
 from tracklore.session import table
 
 LESSONS, CATEGORIES = 20, 5
@@ -138,19 +139,19 @@ def bodies(spark: SparkSession, d: str) -> DataFrame:
     """60-keypoint frames: element (7*kp + 3*axis + 5) mod 64 of each vector."""
     v = F.col("embedding").cast("array<double>")
 
-    def axis(i, a):
+    def axis(v, i, a):
         return F.element_at(v, ((i * 7 + a * 3 + 5) % 64 + 1).cast("int"))
 
     return table(spark, d, "embeddings").select(
         F.floor(F.col("vec_id") / CLIP).cast("bigint").alias("clip_id"),
         (F.col("vec_id") % CLIP).cast("int").alias("frame_idx"),
-        F.transform(
+        let(v, lambda v: F.transform(
             F.sequence(F.lit(0), F.lit(59)),
             lambda i: F.struct(
-                axis(i, 0).alias("x"), axis(i, 1).alias("y"), axis(i, 2).alias("z"),
-                (F.abs(axis(i, 0)) > 0.02).alias("valid"),
+                axis(v, i, 0).alias("x"), axis(v, i, 1).alias("y"), axis(v, i, 2).alias("z"),
+                (F.abs(axis(v, i, 0)) > 0.02).alias("valid"),
             ),
-        ).alias("kps"),
+        )).alias("kps"),
     )
 
 
