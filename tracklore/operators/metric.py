@@ -2,20 +2,24 @@
 
 A distance is a weighted sum of Euclidean distances of parts, so the triangle inequality holds. Items are dealt to the
 nearest of up to ``FAN`` pivots drawn from them, and a cell of more than ``CELL`` items is dealt again, level by
-level. A query first walks to one leaf, which bounds its answer, then visits only the cells whose ring of distances around
-the pivot can hold something as near. Every step is an equi-join on the cell: a row meets at most ``FAN`` pivots or ``CELL``
-items at a time, and is copied only to the cells that its bound reaches.
+level. A query first walks to one leaf, which bounds its answer. What can be as near is then looked up pack by pack
+(``packs``), in the order of the leaves; where all items within a bound are wanted, a query visits the cells whose ring of distances
+around the pivot can hold one (``reached``), and is copied to them. Steps on the tree are equi-joins on the cell: a row meets at
+most ``FAN`` pivots or ``CELL`` items at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklore.functions import vectors as V
+from tracklore.operators import packs
 from tracklore.session import written
 
 FAN, CELL = 64, 256
@@ -24,7 +28,8 @@ SLACK = 2e-9  # of a bound: distances are compared on nine places
 
 @dataclass
 class Tree:
-    """nodes: for each level (cell, subs), subs with pivot, ring (lo, hi) and least and greatest label; leaves: (cell, members)."""
+    """nodes: for each level (cell, subs), subs with pivot, ring (lo, hi) and least and greatest label; leaves: (cell, members, path),
+    path with the number of the sub-cell taken on each level."""
 
     columns: list[str]  # of queries and items
     parts: dict[str, float]  # their names in the tables of the tree, and weights
@@ -62,7 +67,7 @@ def tree(items: DataFrame, key: str, parts: Mapping[str, float], label: str | No
         other = some.where("tag <> _least").groupBy(*[F.col(f"o.{c}").alias(c) for c in vecs]).agg(F.min_by("tag", "item").alias("tag"), F.min("item").alias("item"))
         least = some.where("tag = _least").select("item", "tag", *[f"o.{c}" for c in vecs])
         one = least.unionByName(other)
-    here = written(one.select("item", "tag", *vecs, F.lit(0).cast("long").alias("cell")))
+    here = written(one.select("item", "tag", *vecs, F.lit(0).cast("long").alias("cell"), F.array().cast("array<int>").alias("path")))
     nodes, done, level = [], [], 0
     while True:
         heavy = written(here.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell).select("cell"))
@@ -77,19 +82,20 @@ def tree(items: DataFrame, key: str, parts: Mapping[str, float], label: str | No
         fans = drawn.groupBy("cell").agg(F.collect_list(F.struct("b", *vecs)).alias("fan"))  # at most `fan`
         near = F.array_min(F.transform("fan", lambda p: F.struct(distance(parts, HERE, p).alias("d"), p["b"].alias("b"))))
         placed = crowd.join(fans, "cell").withColumn("_n", near)
-        here = written(placed.select("item", "tag", *vecs, F.col("cell").alias("parent"), "_n.b", "_n.d", F.xxhash64("cell", "_n.b").alias("cell")))
+        here = written(placed.select("item", "tag", *vecs, F.col("cell").alias("parent"), "_n.b", "_n.d", F.xxhash64("cell", "_n.b").alias("cell"),
+                                     F.concat("path", F.array("_n.b")).alias("path")))
         rings = here.groupBy("parent", "b", "cell").agg(
             F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("tag").alias("first"), F.max("tag").alias("last"))
         subs = rings.join(drawn.withColumnRenamed("cell", "parent"), ["parent", "b"])
         subs = subs.groupBy(F.col("parent").alias("cell")).agg(F.collect_list(F.struct(
             F.col("cell").alias("sub"), "lo", "hi", "first", "last", "tag", *vecs)).alias("subs"))
         nodes.append(written(subs))
-        here = here.select("item", "tag", *vecs, "cell")
+        here = here.select("item", "tag", *vecs, "cell", "path")
         level += 1
     rows = done[0]
     for more in done[1:]:
         rows = rows.unionByName(more)
-    leaves = written(rows.groupBy("cell").agg(F.collect_list(F.struct("item", "tag", *vecs)).alias("members")))  # at most `cell`
+    leaves = written(rows.groupBy("cell").agg(F.collect_list(F.struct("item", "tag", *vecs)).alias("members"), F.first("path").alias("path")))  # at most `cell`
     return Tree(columns, parts, nodes, leaves, label is not None)
 
 
@@ -109,6 +115,11 @@ def asked(queries: DataFrame, t: Tree, key: str, label: str | None = None) -> Da
 
 def bounded(q: DataFrame, t: Tree) -> DataFrame:
     """Queries with ``bound``: the distance to some item that may answer, met on one way down the tree (infinite if none)."""
+    return _walked(q, t).drop("path")
+
+
+def _walked(q: DataFrame, t: Tree) -> DataFrame:
+    """Queries with ``bound`` and the path of the leaf where they end."""
     q = q.withColumn("cell", F.lit(0).cast("long")).withColumn("bound", F.lit(float("inf")))
     names = q.columns
     for node in t.nodes:
@@ -118,7 +129,7 @@ def bounded(q: DataFrame, t: Tree) -> DataFrame:
         near = F.array_min(F.transform(F.filter("_s", lambda x: _other(t, x["s"]["tag"])), lambda x: x["d"]))
         q = j.withColumn("bound", F.least("bound", near)).withColumn("cell", F.coalesce(way["sub"], F.col("cell"))).select(*names)
     here = F.array_min(F.transform(F.filter("members", lambda m: _other(t, m["tag"])), lambda m: distance(t.parts, HERE, m)))
-    return q.join(t.leaves, "cell", "left").withColumn("bound", F.least("bound", here)).select(*names).drop("cell")
+    return q.join(t.leaves, "cell", "left").withColumn("bound", F.least("bound", here)).select(*names, "path").drop("cell")
 
 
 def reached(q: DataFrame, t: Tree, wide: bool = False) -> DataFrame:
@@ -142,9 +153,21 @@ def nearest(queries: DataFrame, items: DataFrame, key: str, item: str, parts: Ma
     """(key, item, distance): the nearest item of each query, of another label where labels are given; ties, on so many
     places, go to the least item. Queries without any such item are left out."""
     t = tree(items, item, parts, label, fan, cell)
-    q = written(bounded(asked(queries, t, key, label), t))
+    q = written(_walked(asked(queries, t, key, label), t).withColumn("_whole", _whole(t)))
     judged = lambda d: F.round(d, places) if places is not None else d
-    each = F.transform(F.filter("members", lambda m: _other(t, m["tag"])), lambda m: V.let(distance(t.parts, HERE, m), lambda d: F.struct(
-        judged(d).alias("near"), m["item"].alias("item"), d.alias("distance"))))
-    best = reached(q, t).select("query", F.array_min(each).alias("b")).where("b is not null")
+    known = t.leaves.select("path", F.explode("members").alias("m")).select("m.*", "path").where(_whole(t))
+    found = packs.nearest(q.where("_whole"), packs.put(known, t.parts, "path"), t.parts, "path", t.labelled, SLACK, known.schema["item"].dataType)
+    best = found.select("query", F.struct(judged(F.col("distance")).alias("near"), "item", "distance").alias("b"))
+    odd = q.where("not _whole").drop("path", "_whole")
+    if not odd.isEmpty():
+        each = F.transform(F.filter("members", lambda m: _other(t, m["tag"])), lambda m: V.let(distance(t.parts, HERE, m), lambda d: F.struct(
+            judged(d).alias("near"), m["item"].alias("item"), d.alias("distance"))))
+        best = best.unionByName(reached(odd, t).select("query", F.array_min(each).alias("b")).where("b is not null"))
     return best.groupBy(F.col("query").alias(key)).agg(F.min("b").alias("b")).select(key, F.col("b.item").alias(item), "b.distance")
+
+
+def _whole(t: Tree) -> Column:
+    """All parts are vectors of numbers, so that a distance to others like them is a number."""
+    strange = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    tests = [F.coalesce(~F.exists(v, strange), F.lit(False)) for v in t.parts]
+    return reduce(and_, tests)
