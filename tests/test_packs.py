@@ -37,10 +37,18 @@ def test_queries_are_not_copied_to_the_cells_they_reach(spark, monkeypatch):
     assert answers(spark, v.tolist(), label) == brute(v, label)
 
 
-def test_rows_without_numbers_are_no_answers(spark):
+def test_rows_without_vectors_or_labels(spark):
     rnd = np.random.default_rng(9)
     v = rnd.normal(0, 1, (300, 8)).tolist()
     label = [i % 2 for i in range(300)]
     want = brute(np.array(v), label)
-    got = answers(spark, v + [None, [float("nan")] * 8, [0.1] * 6, [None] * 8], label + [0, 1, 1, 0])
-    assert {i: got[i] for i in range(300)} == want
+    got = answers(spark, v + [None, [float("nan")] * 8, [0.1] * 6, v[5]], label + [0, 1, 1, None])
+    assert {i: got[i] for i in range(300)} == want and 303 not in got
+
+
+def test_an_item_without_a_distance_comes_first(spark):
+    rnd = np.random.default_rng(2)
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rnd.normal(0, 1, (20, 4)))], "id int, v array<double>")
+    items = spark.createDataFrame([(0, [0.0] * 4), (1, [None, 0.0, 0.0, 0.0]), (2, None)], "code int, v array<double>")
+    got = M.nearest(q, items, "id", "code", {"v": 1.0}).collect()
+    assert len(got) == 20 and all(r.code == 1 and r.distance is None for r in got)

@@ -155,14 +155,24 @@ def nearest(queries: DataFrame, items: DataFrame, key: str, item: str, parts: Ma
     t = tree(items, item, parts, label, fan, cell)
     q = written(_walked(asked(queries, t, key, label), t).withColumn("_whole", _whole(t)))
     judged = lambda d: F.round(d, places) if places is not None else d
-    known = t.leaves.select("path", F.explode("members").alias("m")).select("m.*", "path").where(_whole(t))
+    members = t.leaves.select("cell", "path", F.explode("members").alias("m")).select("m.*", "cell", "path").withColumn("_whole", _whole(t))
+    known = members.where("_whole")
     found = packs.nearest(q.where("_whole"), packs.put(known, t.parts, "path"), t.parts, "path", t.labelled, SLACK, known.schema["item"].dataType)
     best = found.select("query", F.struct(judged(F.col("distance")).alias("near"), "item", "distance").alias("b"))
-    odd = q.where("not _whole").drop("path", "_whole")
-    if not odd.isEmpty():
+
+    def met(some: DataFrame, leaves: DataFrame) -> DataFrame:
         each = F.transform(F.filter("members", lambda m: _other(t, m["tag"])), lambda m: V.let(distance(t.parts, HERE, m), lambda d: F.struct(
             judged(d).alias("near"), m["item"].alias("item"), d.alias("distance"))))
-        best = best.unionByName(reached(odd, t).select("query", F.array_min(each).alias("b")).where("b is not null"))
+        at = reached(some.drop("path", "_whole"), Tree(t.columns, t.parts, t.nodes, leaves, t.labelled))
+        return at.select("query", F.array_min(each).alias("b")).where("b is not null")
+
+    odd = q.where("not _whole")
+    if not odd.isEmpty():
+        best = best.unionByName(met(odd, t.leaves))
+    strange = written(members.where("not _whole").groupBy("cell").agg(
+        F.collect_list(F.struct("item", "tag", *t.parts)).alias("members"), F.first("path").alias("path")))
+    if not strange.isEmpty():  # no distance comes before all others
+        best = best.unionByName(met(q.where("_whole"), strange))
     return best.groupBy(F.col("query").alias(key)).agg(F.min("b").alias("b")).select(key, F.col("b.item").alias(item), "b.distance")
 
 

@@ -155,7 +155,7 @@ def _search(rows: pa.Table, listed: pa.Table, folder: str, parts: Mapping[str, f
             some = near[first:first + PACK]
             d, error = _about(q, some, s, weights)
             if labelled:
-                d[(tags[some][:, None] == own) | (own < 0)] = np.inf
+                d[(tags[some][:, None] == own) | (own < 0) | (tags[some][:, None] < 0)] = np.inf
             if (s.lengths != s.lengths[0]).any() or (q.lengths[some] != s.lengths[0]).any():
                 d[(q.lengths[some][:, None] != s.lengths).any(2)] = np.inf
             low = d.min(1)
