@@ -23,6 +23,34 @@ def test_pieces_give_the_library_s_ids(name, rows):
     assert got == [lib.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
 
 
+def test_the_library_sees_few_pieces_at_once():
+    import pyarrow as pa
+
+    class Spy:
+        def __init__(self, lib):
+            self.lib, self.most = lib, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.most = max(self.most, sum(len(t.split()) for t in texts))
+            return self.lib.encode_batch_fast(texts, **how)
+
+    text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" + ("9" if i % 2 else "") for i in range(17_000))
+    enc = Encoder(worker_path("byte_bpe_50k.json"))
+    want = enc.lib.encode(text, add_special_tokens=False).ids + [2]
+    enc.lib = Spy(enc.lib)
+    assert [ids.tolist() for _, ids, _ in enc.closed(pa.array([text]), 2)] == [want]
+    assert enc.lib.most <= 5_000
+
+
+def test_batches_follow_bytes_and_not_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 2_000, 1, 1).select("id", F.repeat(F.lit("long text "), 1_000).alias("text"))  # 20 MB in one task
+    seen = store.map_arrow(rows, lambda batches: ({"n": [b.num_rows], "size": [b.nbytes]} for b in batches), "n long, size long").collect()
+    assert sum(r["n"] for r in seen) == 2_000
+    assert max(r["size"] for r in seen) <= 6 << 20
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(-(1 << 40), 1 << 40), max_size=700))
 def test_elias_fano_round_trip(values):
