@@ -253,3 +253,45 @@ def test_token_passing_matches_brute_force(spark):
         got.setdefault(r.clip, (round(r.cost, 9), []))[1].append((r.token, r.first, r.last))
     assert got == {c: (round(w[0], 9), w[1]) for c, x in clips.items() for w in [passed(x, exemplars, 0.7)]}
     assert D.token_spans(f.limit(0), "clip", "n", "v", e).count() == 0
+
+
+def test_phrases_join_choices_and_not_candidates(spark):
+    """Choices that the word before turns, against a plain left-to-right fold; tokens carry no lists of candidates."""
+    import re
+
+    from tracklore.operators import spelling as S
+
+    words = "then than them they thin than the there three her here hear heat head bread brad beat boat".split()
+    uni = spark.createDataFrame([(w, 10 * 3 ** (i % 5)) for i, w in enumerate(dict.fromkeys(words))], "word string, freq long")
+    pairs = [("then", "hear", 10), ("than", "heat", 100_000), ("the", "heat", 10**18), ("her", "bread", 50), ("here", "boat", 10_000), ("you", "heat", 10), ("are", "here", 10**8)]
+    bi = spark.createDataFrame(pairs, "w1 string, w2 string, freq long")
+    phrases = ["thxn hea bre boa", "u hea r her", "thn heax hee brad", "zzzzzzzz hea", "i hea they r herr boqt", "anna hea"]
+    tokens = spark.createDataFrame([(k, i, w) for k, p in enumerate(phrases) for i, w in enumerate(p.split())], "key long, pos int, word string")
+    out = S.correct_phrases(tokens, uni, bi, "key", ["anna"])
+    assert not re.search(r"struct\(pos, [^)]*, c, ", out._jdf.queryExecution().optimizedPlan().toString())
+
+    found = {}
+    for r in S.scored_candidates(tokens.select("word"), uni).collect():
+        found.setdefault(r["word"], []).append((r["rank"], r["term"], r["score"]))
+    bonus = {(r["w1"], r["w2"]): r["bonus"] for r in S._bonus(bi).collect()}
+
+    def settled(w, prev):
+        if w == "anna" or w == "u" and prev in ("can", "thank", "love", "see", "meet", "how", "are"):
+            return w if w == "anna" else "you"
+        if w == "r" and prev in ("you", "they", "we"):
+            return "are"
+        if w in ("i", "1", "l") and prev in (None, "and", "that", "so", "but"):
+            return "i"
+        return w if len(w) <= 1 else None
+
+    want = []
+    for k, p in enumerate(phrases):
+        said = []
+        for w in p.split():
+            prev = said[-1] if said else None
+            best = min(((round(s + bonus.get((prev, t), 0.0), 9), rank, t) for rank, t, s in found.get(w, [])), default=(0, 0, w))[2]
+            said.append(settled(w, prev) or best)
+        want.append((k, said))
+    assert sorted((r["key"], r["words"]) for r in out.collect()) == want
+    usual = [[settled(w, None) or min(((round(s, 9), rank, t) for rank, t, s in found.get(w, [])), default=(0, 0, w))[2] for w in p.split()] for p in phrases]
+    assert usual != [said for _, said in want]  # some choice is turned

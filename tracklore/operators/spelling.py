@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tracklore.functions import edit
 from tracklore.functions.text import CONVERSATION_PAIRS, CONVERSATION_WORDS
-from tracklore.functions.vectors import let
 from tracklore.session import spread, written
 
 EDITS = 2
@@ -151,33 +150,38 @@ def correct_phrases(tokens: DataFrame, unigrams: DataFrame, bigrams: DataFrame,
                     lexicon: DataFrame | None = None) -> DataFrame:
     """Left-to-right correction of tokens(key, pos, word), each choice the context of the next.
 
-    Candidates, and the bonus of neighbouring candidates for each distinct pair of neighbouring words, are joined in first;
-    the fold then only reads arrays of one phrase. Names and short forms are settled as for single words; lexicon(key, names)
-    adds names of a phrase's own.
+    A word's usual choice is made once for each distinct word, and one for each word before it whose bonus turns it. A bonus never
+    costs, so only a candidate with one can take the place of the usual choice. What may turn a token is joined to it for each
+    distinct pair of neighbours, and the fold looks it up. Names and short forms are settled as for single words;
+    lexicon(key, names) adds names of a phrase's own.
     """
     protected = F.array(*map(F.lit, names)).cast("array<string>")
     c = written(scored_candidates(tokens.select("word"), unigrams).groupBy("word").agg(
         F.array_sort(F.collect_list(F.struct("rank", "term", "score"))).alias("c")))
+    usual = F.array_min(F.transform("c", lambda x: F.struct(F.round(x["score"], 9).alias("total"), x["rank"].alias("rank"), x["term"].alias("term"))))
+    c = c.withColumn("best", usual).select("word", "c", F.struct("best.total", "best.rank").alias("least"), F.col("best.term").alias("usual"))
     w = Window.partitionBy(key).orderBy("pos")
     t = spread(tokens, key).select(key, "pos", "word", F.lag("word").over(w).alias("before"))
     # a word can come out as one of its candidates, as itself or as a short form written out
-    terms = c.select("word", F.explode("c").alias("s")).select("word", F.col("s.term").alias("w"), F.col("s.rank").alias("rank"))
+    terms = c.select("word", F.explode("c").alias("s"), "least", "usual").select(
+        "word", F.col("s.term").alias("w"), F.col("s.rank").alias("rank"), F.col("s.score").alias("score"), "least", "usual")
     near = t.where("before is not null").select("before", "word").distinct()
     forms = F.explode(F.array(F.col("before"), F.lit("you"), F.lit("are"), F.lit("i"))).alias("w1")
     first = near.select("before", forms).where("w1 = before or before in ('u', 'r', 'i', '1', 'l')")
     first = first.unionByName(terms.select(F.col("word").alias("before"), F.col("w").alias("w1"))).distinct()
-    both = near.join(first, "before").join(terms.withColumnRenamed("w", "w2"), "word").join(_bonus(bigrams), ["w1", "w2"])
-    by_first = both.groupBy("before", "word", "w1").agg(F.collect_list(F.struct("rank", "bonus")).alias("b"))
-    maps = by_first.groupBy("before", "word").agg(F.collect_list(F.struct("w1", "b")).alias("bg"))
-    full = t.join(c, "word", "left").join(maps, ["before", "word"], "left")
-    rows = full.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "word", "c", "bg"))).alias("p"))
+    cost = F.struct(F.round(F.col("score") + F.col("bonus"), 9).alias("total"), "rank")
+    helped = terms.withColumnRenamed("w", "w2").join(_bonus(bigrams), "w2").withColumn("cost", cost).groupBy("word", "w1").agg(
+        F.min_by("w2", "cost").alias("term"), F.min("cost").alias("cost"), F.first("least").alias("least"), F.first("usual").alias("usual"))
+    turned = F.when((F.col("cost") <= F.col("least")) & (F.col("term") != F.col("usual")), F.struct("w1", "term"))
+    maps = near.join(first, "before").join(helped.select("word", "w1", turned.alias("turned")), ["word", "w1"]).groupBy("before", "word").agg(
+        F.min("w1").alias("lead"), F.collect_list("turned").alias("bg"))  # lead: the order of tokens at one place
+    full = t.join(c.select("word", "usual"), "word", "left").join(maps, ["before", "word"], "left")
+    rows = full.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "word", "usual", "lead", "bg"))).alias("p"))
 
     def step(acc, s):
         prev = F.get(acc, F.size(acc) - 1)
-        bonus = lambda b, rank: F.coalesce(F.get(F.filter(b, lambda e: e["rank"] == rank), F.lit(0))["bonus"], F.lit(0.0))
-        scored = let(F.get(F.filter(s["bg"], lambda e: e["w1"] == prev), F.lit(0))["b"], lambda b: F.array_min(F.transform(s["c"], lambda x: F.struct(
-            F.round(x["score"] + bonus(b, x["rank"]), 9).alias("total"), x["rank"].alias("rank"), x["term"].alias("term")))))
-        return F.concat(acc, F.array(F.coalesce(settled(s["word"], prev, F.col("names")), scored["term"], s["word"])))
+        by_bonus = F.get(F.filter(s["bg"], lambda e: e["w1"] == prev), F.lit(0))["term"]
+        return F.concat(acc, F.array(F.coalesce(settled(s["word"], prev, F.col("names")), by_bonus, s["usual"], s["word"])))
 
     start = F.array().cast("array<string>")
     rows = rows.withColumn("names", protected)
