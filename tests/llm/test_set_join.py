@@ -4,8 +4,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tracklore.llm import set_join
-from tracklore.llm.components import components
+from tracklore.llm import set_join, store
+from tracklore.llm.components import components, extended
 
 from .conftest import table
 
@@ -103,6 +103,68 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
+def recorded(monkeypatch):
+    """(name, number of rows) of the tables that are kept from now on."""
+    seen, kept = [], store.kept
+
+    def counted(df, name):
+        out = kept(df, name)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(store, "kept", counted)
+    return seen
+
+
+def test_edges_inside_a_component_are_read_once(spark, monkeypatch):
+    pairs = [(i, j) for i in range(50) for j in range(i)] + [(100 + i, 101 + i) for i in range(30)] + [(7, 7), (200, 200), (250, 251), (251, 250)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    seen = recorded(monkeypatch)
+    got = {r["node"]: r["root"] for r in components(edges).collect()}
+    assert got == {i: 0 for i in range(50)} | {i: 100 for i in range(100, 131)} | {200: 200, 250: 250, 251: 250}
+    assert [n for name, n in seen if name == "edges"] == [50 * 49 // 2 + 30 + 3, 0]
+
+
+def test_more_edges_extend_components_without_reading_the_first(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    first, more = ([tuple(int(x) for x in p) for p in rng.integers(0, 400, (n, 2))] for n in (150, 120))
+    df = lambda pairs: spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    root, want = components(df(first)), components(df(first + more))
+    seen = recorded(monkeypatch)
+    named = lambda of: {r["node"]: r["root"] for r in of.collect() if r["node"] != r["root"]}
+    assert named(extended(root, df(more))) == named(want)
+    assert max(n for name, n in seen if name == "edges") <= len(more)
+
+
+def test_suspected_sets_of_many_groups_are_connected_once_a_task(spark, monkeypatch):
+    monkeypatch.setattr(set_join, "SKETCHES", 2000)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 120).astype(np.uint64)
+    sets = [np.unique(np.append(base, rng.integers(0, 1 << 62, 3).astype(np.uint64))) for _ in range(40)]
+    sketch = set_join.sketched(spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "node long, tokens binary"))
+    rest = spark.createDataFrame([(100 + g, i, i) for g in range(30) for i in range(40) if i != g], "sig long, node long, root long")
+    got = set_join.suspected(rest, sketch, 85).collect()
+    assert {r["node"]: r["root"] for r in components(spark.createDataFrame(got)).collect()} == dict.fromkeys(range(40), 0)
+    assert len(got) <= 4 * 39  # four tasks
+
+
+def test_stars_connect_what_the_edges_connect(monkeypatch):
+    rng = np.random.default_rng(9)
+    edges = [tuple(int(x) for x in p) for p in rng.integers(0, 300, (260, 2))]
+
+    def groups(some):
+        parent = {}
+        set_join.forest(some, parent)
+        return {x: set_join.top(parent, x) for x in range(300)}
+
+    whole = list(set_join.stars(edges * 3))
+    assert len(whole) == 1 and all(a < b for a, b in whole[0]) and len({b for _, b in whole[0]}) == len(whole[0])
+    assert groups(whole[0]) == groups(edges)
+    monkeypatch.setattr(set_join, "NODES", 20)
+    parts = list(set_join.stars(edges * 3))
+    assert len(parts) > 5 and all(len(p) <= 21 for p in parts) and groups(e for p in parts for e in p) == groups(edges)
+
+
 @pytest.mark.parametrize("shingles,sketches", [(300, 1000), (100_000, 1 << 18)])
 def test_families_of_many_components_are_compared_in_blocks(spark, monkeypatch, shingles, sketches):
     monkeypatch.setattr(set_join, "SHINGLES", shingles)
