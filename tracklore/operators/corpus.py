@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracklore.functions import text as X
 from tracklore.functions.vectors import let
-from tracklore.operators import ordered
+from tracklore.operators import lists, ordered
 
 
 def explode_tokens(docs: DataFrame, words: Column, *keep: str) -> DataFrame:
@@ -62,20 +62,17 @@ def lookup_ids(tokens: DataFrame, vocab: DataFrame, missing: int = X.UNK) -> Dat
 
 
 def encode(docs: DataFrame, words: Column, vocab: DataFrame, key: str, missing: int = X.UNK) -> DataFrame:
-    """Token ids per document.  Each distinct (document, token) is looked up once;
-    positions travel with it and the array is put in order at the end."""
-    pos = docs.select(key, F.posexplode_outer(words).alias("pos", "token")).where("token is not null")
-    ids = lookup_ids(pos, vocab, missing)
-    return ids.groupBy(key).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("ids"))
+    """Token ids per document. Each distinct token of a block of documents is looked up once; the
+    documents themselves stay in files until the ids are there."""
+    return lists.looked_up(docs, key, words, "token", lambda tokens: lookup_ids(tokens, vocab, missing), "id", "ids")
 
 
 def decode(encoded: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    pos = encoded.select(key, F.posexplode_outer("ids").alias("pos", "id")).where(
-        ~F.col("id").isin(X.PAD, X.BOS, X.EOS))
-    named = pos.join(vocab, "id", "left").withColumn("token", F.coalesce("token", F.lit("<UNK>")))
-    return named.groupBy(key).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]), " ").alias("text"))
+    def named(ids: DataFrame) -> DataFrame:
+        return ids.join(vocab, "id", "left").withColumn("token", F.coalesce("token", F.lit("<UNK>")))
+
+    ids = F.transform("ids", lambda i: F.when(~i.isin(X.PAD, X.BOS, X.EOS), i))
+    return lists.looked_up(encoded, key, ids, "id", named, "token", "tokens").select(key, F.array_join("tokens", " ").alias("text"))
 
 
 def vocab_contiguity(vocab: DataFrame) -> DataFrame:
